@@ -1,8 +1,8 @@
 """The queries of the corpus operators and their SQL."""
 
-from tiergraph.llm import quality_rules
+from tiergraph.llm import decontaminate, line_dedup, ngram_jaccard, quality_rules, substring_dedup
 
-_MODULES = [quality_rules]
+_MODULES = [quality_rules, ngram_jaccard, substring_dedup, line_dedup, decontaminate]
 
 QUERIES = {name: f for m in _MODULES for name, f in m.QUERIES.items()}
 ORACLES = {name: sql for m in _MODULES for name, sql in m.ORACLES.items()}
