@@ -250,7 +250,7 @@ def substring_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     size = int(d._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     bits = min(max_bits, max(20, (size // 4).bit_length()))
     bitmaps = spark.sparkContext.broadcast([b.tobytes() for b in repeated_bits(d, bits, k)])
-    n = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     marks = d.mapInArrow(_windows_part(bitmaps, bits, k, n), BLOBS).groupBy("key").applyInArrow(_settle(n), BLOBS)
     texts = d.mapInArrow(_dealt_texts(n), "key int, _id long, _t string")
     schema = "_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * with_text
