@@ -5,16 +5,21 @@ Two sets A and B with similarity t or more differ in at most
 scheme deals n-grams into ``m`` parts by hash, with ``m`` so much above that
 bound that two similar sets must have an equal part that is not trivial.  The
 hash of such a part is a signature; a document has signatures in the scheme of
-its own band and of the bands of smaller partners.  Documents that share one
-are in one cluster, so every link lies inside a cluster, and a passage that many
-documents share joins nothing by itself.
-
-A cluster, ordered by size, is cut into tiles.  In a tile hashed bitmaps of the
-sets give an upper bound of each overlap from bit counts alone; pairs that pass
-it, and are not connected yet, get the exact intersection of sorted arrays.
-Only the links that connect something leave the tile.  A cluster of more than one
-tile first meets some pivots; afterwards just the documents outside its
-largest component meet the other blocks.
+its own band and of the bands of smaller partners.  Linked documents
+share one, and a passage that many documents share makes few of them equal.
+
+Every class has a hashed bitmap of its set, of twice as many bits as n-grams or
+more.  For two sets, the bits that only one has give an upper bound of the
+overlap from bit counts alone.  Pairs that pass it are verified by the exact
+intersection of sorted arrays:
+
+1. In each group of documents with one signature the others meet some pivots,
+   and each document verifies its least partner that passes the bound.
+2. Groups that are still in several components are cut, ordered by size, into
+   tiles.  In a tile all pairs across components are bounded, and those that
+   pass leave it to be verified.  Pairs inside one component need no look, so a
+   group of copies costs a row for each, and no pair is left out that a
+   link could join.
 
 Equal sets are one class from the start (by a 64-bit hash of the set), so exact
 copies cost one row each.
@@ -137,17 +142,61 @@ def signatures(scheme: Scheme, grams: np.ndarray, at: np.ndarray, use: np.ndarra
     return np.concatenate(out_s), np.concatenate(out_d)
 
 
+def width(sizes: np.ndarray) -> np.ndarray:
+    """Bits of the bitmap of a set of each size: powers of two."""
+    return 1 << np.clip(np.ceil(np.log2(np.maximum(2 * sizes, 1))).astype(np.int64), 9, 14)
+
+
+def bitmaps(grams: np.ndarray, at: np.ndarray) -> list[bytes]:
+    sizes = np.diff(at)
+    bits = width(sizes)
+    base = np.concatenate(([0], np.cumsum(bits)))
+    flags = np.zeros(base[-1], bool)
+    flags[np.repeat(base[:-1], sizes) + ((grams >> U(20)) & np.repeat(bits - 1, sizes).astype(U)).astype(np.int64)] = True
+    whole, edge = np.packbits(flags, bitorder="little").tobytes(), (base >> 3).tolist()
+    return [whole[x:y] for x, y in zip(edge, edge[1:], strict=False)]
+
+
+def folded(maps: list[bytes]) -> np.ndarray:
+    """Bitmaps as rows of words, all of the least width among them."""
+    least = min(map(len, maps))
+    out = np.empty((len(maps), least // 8), U)
+    for i, m in enumerate(maps):
+        x = np.frombuffer(m, U).reshape(-1, least // 8)
+        out[i] = x[0] if len(x) == 1 else np.bitwise_or.reduce(x)
+    return out
+
+
+def may_link(size_a, map_a: np.ndarray, size_b, map_b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the upper bound of the overlap, from bit counts, allows a link."""
+    need = -(-(size_a + size_b) * percent // (100 + percent))
+    most_a = size_a - np.bitwise_count(map_a & ~map_b).sum(-1, dtype=np.int64)
+    most_b = size_b - np.bitwise_count(map_b & ~map_a).sum(-1, dtype=np.int64)
+    return np.minimum(most_a, most_b) >= need
+
+
+def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
+    """Exact intersection of two sorted arrays."""
+    spot = np.searchsorted(b, a)
+    spot[spot == len(b)] = 0
+    shared = int((b[spot] == a).sum())
+    return 100 * shared >= percent * (len(a) + len(b) - shared)
+
+
 def _signed(percent: int, n: int, lower: bool, shards: int):
     def run(batches):
-        scheme, held, docs, size, seen = Scheme(percent), [], [], 0, set()
+        scheme, held, docs, maps, size, seen = Scheme(percent), [], [], [], 0, set()
+        shard = lambda x: (x >> U(32)).astype(np.int64) * shards >> 32
 
         def flush():
-            rows = []
-            if held:
-                sig, fp = (np.concatenate(c) for c in zip(*held, strict=True))
-                rows = [(k, pack(*c)) for k, c in dealt((sig >> U(32)).astype(np.int64) * shards >> 32, shards, sig, fp)]
+            sig, fp = (np.concatenate(c) for c in zip(*held, strict=True))
+            rows = [(k, pack(*c)) for k, c in dealt(shard(sig), shards, sig, fp)]
             ids, fp, count = (np.concatenate(c) for c in zip(*docs, strict=True))
-            rows += [(shards + k, pack(*c)) for k, c in dealt((fp >> U(32)).astype(np.int64) * shards >> 32, shards, ids, fp, count)]
+            rows += [(shards + k, pack(*c)) for k, c in dealt(shard(fp), shards, ids, fp, count)]
+            fp, count, bits = np.array([m[0] for m in maps], U), np.array([m[1] for m in maps], np.int64), [m[2] for m in maps]
+            for k, (own, c, i) in dealt(shard(fp), shards, fp, count, np.arange(len(fp))):
+                flat = np.frombuffer(b"".join(bits[j] for j in i.tolist()), np.uint8)
+                rows += [(2 * shards + k, pack(own, c)), (2 * shards + k, pack(flat))]
             return batch(rows)
 
         for b in batches:
@@ -156,35 +205,64 @@ def _signed(percent: int, n: int, lower: bool, shards: int):
                 grams, at = shingle_sets(chunk, n, lower)
                 fp = classes(grams, at)
                 docs.append((ids[chunk.first : chunk.first + chunk.n], fp, np.diff(at)))
-                use = np.array([not (x in seen or seen.add(x)) for x in fp.tolist()], bool)
+                use = np.array([not (x in seen or seen.add(x)) for x in fp.tolist()], bool) & (np.diff(at) > 0)
                 sig, doc = signatures(scheme, grams, at, use)
                 held.append((sig, fp[doc]))
+                maps += [x for x, u in zip(zip(fp.tolist(), np.diff(at).tolist(), bitmaps(grams, at), strict=True), use.tolist(), strict=True) if u]
                 size += len(sig) + chunk.n
                 if size >= BLOCK:
                     yield flush()
-                    held, docs, size, seen = [], [], 0, set()
+                    held, docs, maps, size, seen = [], [], [], 0, set()
         if docs:
             yield flush()
 
     return run
 
 
-def _met(shards: int):
-    """Of a shard's signatures: edges from the least class of each to the others."""
+MET = "kind int, a long, b long, members array<long>, data binary"
+EDGE, GROUP, DOCS, CLASS = range(4)
+
+
+def _rows(kind: int, n: int, a=None, b=None, members=None, data=None) -> pa.Table:
+    none = lambda x, t: pa.nulls(n, t) if x is None else pa.array(x, t)
+    return pa.table({"kind": pa.array(np.full(n, kind, np.int32)), "a": none(a, pa.int64()), "b": none(b, pa.int64()), "members": none(members, pa.list_(pa.int64())), "data": none(data, pa.binary())})
+
+
+def _met(shards: int, percent: int):
+    """Of a shard's signatures: edges from some pivots of each group to the others,
+    and the groups of three and more; of its documents, what they came with."""
 
     def run(table: pa.Table) -> pa.Table:
-        columns = unpack_all(x.as_py() for x in table.column("blob"))
-        if table.column("key")[0].as_py() >= shards:
-            return pa.table({"a": pa.nulls(1, pa.int64()), "b": pa.nulls(1, pa.int64()), "docs": [pack(*columns)]})
-        sig, fp = columns
+        blobs, kind = [x.as_py() for x in table.column("blob")], table.column("key")[0].as_py() // shards
+        if kind == 1:
+            return _rows(DOCS, 1, data=[pack(*unpack_all(blobs))])
+        if kind == 2:
+            found = {}
+            parts = [unpack(x) for x in blobs]
+            for (fp, count), (flat,) in zip([x for x in parts if len(x) == 2], [x for x in parts if len(x) == 1], strict=True):
+                edge = np.concatenate(([0], np.cumsum(width(count) >> 3)))
+                found |= {f: (c, flat[x:y].tobytes()) for f, c, x, y in zip(fp.view(np.int64).tolist(), count.tolist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True)}
+            return _rows(CLASS, len(found), list(found), [x[0] for x in found.values()], data=[x[1] for x in found.values()])
+        sig, fp = unpack_all(blobs)
         order = np.lexsort((fp, sig))
         sig, fp = sig[order], fp[order]
-        first = np.ones(len(sig), bool)
-        first[1:] = sig[1:] != sig[:-1]
-        head = np.flatnonzero(first)[np.cumsum(first) - 1]
-        a, b = fp[head], fp
-        pairs = np.unique(np.stack((a[a != b], b[a != b]), 1), axis=0).view(np.int64)
-        return pa.table({"a": pairs[:, 0], "b": pairs[:, 1], "docs": pa.nulls(len(pairs), pa.binary())})
+        new = np.ones(len(sig), bool)
+        new[1:] = (sig[1:] != sig[:-1]) | (fp[1:] != fp[:-1])
+        sig, fp = sig[new], fp[new].view(np.int64)
+        at = np.append(np.flatnonzero(np.append(True, sig[1:] != sig[:-1])), len(sig)) if len(sig) else np.zeros(1, int)
+        size = np.diff(at)
+        many = size >= 2
+        start, size = at[:-1][many], size[many]
+        pairs = []
+        for pivot in (0, 0.5, 1):  # large groups get three
+            use = size > (1 if pivot == 0 else PIVOTS)
+            head = fp[(start + (pivot * (size - 1)).astype(int))[use]]
+            rows = np.repeat(start[use] - np.cumsum(size[use]) + size[use], size[use]) + np.arange(size[use].sum())
+            a, b = np.repeat(head, size[use]), fp[rows]
+            pairs.append(np.stack((np.minimum(a, b), np.maximum(a, b)), 1)[a != b])
+        pairs = np.unique(np.concatenate(pairs), axis=0)
+        groups = {fp[x : x + n].tobytes() for x, n in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True)}
+        return pa.concat_tables([_rows(EDGE, len(pairs), pairs[:, 0], pairs[:, 1]), _rows(GROUP, len(groups), members=[np.frombuffer(x, np.int64) for x in sorted(groups)])])
 
     return run
 
@@ -196,7 +274,7 @@ def _docs_of(batches):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=ids == NO_ID), pa.array(fp.view(np.int64)), pa.array(count)], ["_id", "_k", "_n"])
 
 
-def _payload(n: int, lower: bool, wanted):
+def _sets(n: int, lower: bool, wanted):
     def run(batches):
         found, seen = np.frombuffer(wanted.value, np.uint8), set()
         for b in batches:
@@ -206,135 +284,150 @@ def _payload(n: int, lower: bool, wanted):
                 pick = [i for i in np.flatnonzero(holds(found, fp) & (np.diff(at) > 0)).tolist() if not (fp[i] in seen or seen.add(fp[i]))]
                 if len(seen) > BLOCK:
                     seen.clear()
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(fp[pick].view(np.int64)), pa.array(np.diff(at)[pick]), pa.array([grams[at[i] : at[i + 1]].tobytes() for i in pick], pa.binary())], ["_k", "_n", "_set"]
-                )
+                yield pa.RecordBatch.from_arrays([pa.array(fp[pick].view(np.int64)), pa.array([grams[at[i] : at[i + 1]].tobytes() for i in pick], pa.binary())], ["_k", "_set"])
 
     return run
 
 
-def _bitmaps(sets: list[np.ndarray]) -> np.ndarray:
-    width = 1 << max(9, min(15, (2 * max(map(len, sets))).bit_length()))
-    out = np.zeros((len(sets), width), bool)
-    for i, s in enumerate(sets):
-        out[i, (s >> U(20)).astype(np.int64) & (width - 1)] = True
-    return np.packbits(out, axis=1).view(U)
-
-
-def links_in(sets: list[np.ndarray], percent: int, left: np.ndarray | None = None) -> list[tuple[int, int]]:
-    """Links that connect the sets as all links would; with ``left``, of pairs
-    with at least one end in it."""
-    sizes = np.array([len(s) for s in sets])
-    order = np.argsort(sizes, kind="stable")
-    sizes, sets = sizes[order], [sets[i] for i in order]
-    left = np.ones(len(sets), bool) if left is None else left[order]
-    maps, root, out = _bitmaps(sets), np.arange(len(sets)), []
-    for i in range(len(sets) - 1):
-        end = int(np.searchsorted(sizes, sizes[i] * 100 // percent, "right"))
-        j = np.arange(i + 1, end)
-        j = j[(root[j] != root[i]) & (left[i] | left[j])]
-        if not len(j):
-            continue
-        both = sizes[i] + sizes[j]
-        need = -(-both * percent // (100 + percent))
-        only_i = np.bitwise_count(maps[i] & ~maps[j]).sum(1)
-        only_j = np.bitwise_count(maps[j] & ~maps[i]).sum(1)
-        for k in j[np.minimum(sizes[i] - only_i, sizes[j] - only_j) >= need].tolist():
-            if root[k] == root[i]:
-                continue
-            spot = np.searchsorted(sets[k], sets[i])
-            spot[spot == len(sets[k])] = 0
-            shared = int((sets[k][spot] == sets[i]).sum())
-            if 100 * shared >= percent * (len(sets[i]) + len(sets[k]) - shared):
-                root[root == root[k]] = root[i]
-                out.append((int(order[i]), int(order[k])))
-    return out
+def _bounded(percent: int):
+    """Pairs with the sizes and bitmaps of both: those that may be links."""
+
+    def run(batches):
+        for b in batches:
+            na, nb = (b.column(i).to_numpy() for i in (2, 3))
+            keep = np.flatnonzero(100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
+            maps = [b.column(i).to_pylist() for i in (4, 5)]
+            ok = [i for i in keep.tolist() if may_link(na[i], (m := folded([maps[0][i], maps[1][i]]))[0], nb[i], m[1], percent)]
+            yield b.select(["a", "b"]).take(pa.array(ok, pa.int64()))
+
+    return run
 
 
-def _tiles(percent: int):
+def _exact(percent: int):
+    def run(batches):
+        for b in batches:
+            ok = [i for i, (x, y) in enumerate(zip(b.column(2), b.column(3), strict=True)) if linked(np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U), percent)]
+            yield b.select(["a", "b"]).take(pa.array(ok, pa.int64()))
+
+    return run
+
+
+def _tile(percent: int):
+    """Of each tile: the pairs across components that may be links."""
+
     def run(table: pa.Table) -> pa.Table:
         tile = table.column("_tile").to_numpy()
         order = np.argsort(tile, kind="stable")
-        keys, side = table.column("_k").to_numpy(), table.column("_left").to_numpy()
-        blobs, a, b = table.column("_set"), [], []
+        column = {c: table.column(c).to_numpy() for c in ("_k", "_c", "_n", "_side")}
+        maps, a, b = table.column("_map"), [], []
         for rows in np.split(order, np.flatnonzero(np.diff(tile[order])) + 1):
-            own, at = np.unique(keys[rows], return_index=True)
-            sets = [np.frombuffer(blobs[int(i)].as_py(), U) for i in rows[at]]
-            left = np.zeros(len(own), bool)
-            left[np.searchsorted(own, keys[rows][side[rows]])] = True
-            for x, y in links_in(sets, percent, left):
-                a.append(own[x])
-                b.append(own[y])
+            rows = rows[np.argsort(column["_n"][rows], kind="stable")]
+            k, c, n, side = (column[x][rows] for x in ("_k", "_c", "_n", "_side"))
+            m = folded([maps[int(i)].as_py() for i in rows])
+            for i in range(len(rows) - 1):
+                end = int(np.searchsorted(n, n[i] * 100 // percent, "right"))
+                j = np.arange(i + 1, end)
+                # Sides: 0 for both blocks in one, else 1 meets 2.
+                j = j[(c[j] != c[i]) & ((side[i] == 0) | (side[j] != side[i]))]
+                if len(j):
+                    j = j[may_link(n[i], m[i], n[j], m[j], percent)]
+                    a += np.minimum(k[i], k[j]).tolist()
+                    b += np.maximum(k[i], k[j]).tolist()
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-def _links(rows: DataFrame, payload: DataFrame, percent: int, bins: int) -> DataFrame:
-    """rows: (_tile, _k, _left). The tiles are dealt into bins, so that small ones share a call."""
-    full = rows.join(payload.select("_k", "_set"), "_k").withColumn("_bin", F.pmod(F.xxhash64("_tile"), F.lit(bins)).cast("int"))
-    return full.groupBy("_bin").applyInArrow(_tiles(percent), "a long, b long")
+class _Join:
+    """What the rounds share: the texts, the classes with their bitmaps, the parameters."""
+
+    def __init__(self, texts: DataFrame, classes: DataFrame, n: int, percent: int, lower: bool, bins: int):
+        self.texts, self.classes, self.n, self.percent, self.lower, self.bins = texts, classes, n, percent, lower, bins
+
+    def bounded(self, pairs: DataFrame) -> DataFrame:
+        c = self.classes
+        both = pairs.join(c.select(F.col("_k").alias("a"), F.col("_n").alias("na"), F.col("_map").alias("ma")), "a")
+        both = both.join(c.select(F.col("_k").alias("b"), F.col("_n").alias("nb"), F.col("_map").alias("mb")), "b")
+        return both.select("a", "b", "na", "nb", "ma", "mb").mapInArrow(_bounded(self.percent), "a long, b long")
+
+    def verified(self, pairs: DataFrame) -> DataFrame:
+        """The links among the pairs, a written table."""
+        spark = pairs.sparkSession
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("_k")).distinct()
+        bits = min(30, max(16, (16 * ends.count()).bit_length()))
+        wanted = spark.sparkContext.broadcast(bitmap(ends, bits))
+        sets = self.texts.mapInArrow(_sets(self.n, self.lower, wanted), "_k long, _set binary").dropDuplicates(["_k"])
+        sets = written(sets.join(ends, "_k", "left_semi"), "sets")
+        both = pairs.join(sets.withColumnsRenamed({"_k": "a", "_set": "sa"}), "a").join(sets.withColumnsRenamed({"_k": "b", "_set": "sb"}), "b")
+        out = written(both.select("a", "b", "sa", "sb").mapInArrow(_exact(self.percent), "a long, b long"), "links")
+        release(spark)
+        return out
+
+    def across(self, groups: DataFrame, part: DataFrame) -> DataFrame:
+        """Pairs across components that may be links, from the tiles of the groups."""
+        rows = groups.select(F.xxhash64("members").alias("_g"), "members").dropDuplicates(["_g"]).select("_g", F.explode("members").alias("_k"))
+        rows = rows.join(part, "_k", "left").withColumn("_c", F.coalesce("_c", "_k"))
+        open_ = rows.groupBy("_g").agg(F.count("*").alias("_size"), F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).where("_lo <> _hi")
+        rows = written(rows.join(open_.select("_g", "_size"), "_g").join(self.classes, "_k"), "open")
+        tiles = rows.where(F.col("_size") <= TILE).select(F.col("_g").alias("_tile"), "_k", "_c", "_n", "_map", F.lit(0).alias("_side"))
+        large = rows.where(F.col("_size") > TILE)
+        if large.limit(1).count():
+            # Blocks by size; only those with documents outside the largest component meet all others.
+            place = F.row_number().over(Window.partitionBy("_g").orderBy("_n", "_k")) - 1
+            large = written(large.withColumn("_block", F.floor(place / TILE)), "large")
+            count = large.groupBy("_g", "_c").count()
+            main = count.groupBy("_g").agg(F.max_by("_c", F.struct("count", "_c")).alias("_main"))
+            span = large.join(main, "_g").groupBy("_g", "_block").agg(F.min("_n").alias("_lo"), F.max("_n").alias("_hi"), F.max(F.col("_c") != F.col("_main")).alias("_out"))
+            x, y = span.where("_out").alias("x"), span.alias("y")
+            meet = x.join(y, "_g").where(f"(x._block < y._block or not y._out or x._block = y._block) and x._lo * {self.percent} <= y._hi * 100 and y._lo * {self.percent} <= x._hi * 100")
+            meet = meet.select("_g", F.col("x._block").alias("_from"), F.col("y._block").alias("_to"))
+            tile = F.xxhash64("_g", "_from", "_to").alias("_tile")
+            own = ["_k", "_c", "_n", "_map"]
+            for end, side in (("_from", 1), ("_to", 2)):
+                same = F.lit(0) if side == 1 else None
+                use = meet if side == 1 else meet.where("_from <> _to")
+                mark = F.when(F.col("_from") == F.col("_to"), same).otherwise(F.lit(side)) if side == 1 else F.lit(2)
+                part_rows = use.join(large.select("_g", F.col("_block").alias(end), *own), ["_g", end])
+                tiles = tiles.unionByName(part_rows.select(tile, *own, mark.alias("_side")))
+        tiles = tiles.withColumn("_bin", F.pmod(F.xxhash64("_tile"), F.lit(self.bins)).cast("int"))
+        return tiles.groupBy("_bin").applyInArrow(_tile(self.percent), "a long, b long").distinct()
+
+
+def _part(links: DataFrame) -> DataFrame:
+    return components(links).select(F.col("node").alias("_k"), F.col("component").alias("_c"))
 
 
 def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, lower: bool = True) -> DataFrame:
     """(id, n_shingles, component_id) for each row: the size of its set, and the
     least id that links reach from it."""
     spark = docs.sparkSession
-    shards = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t"))
-    met = d.mapInArrow(_signed(percent, n, lower, shards), BLOBS).groupBy("key").applyInArrow(_met(shards), "a long, b long, docs binary")
-    met = written(met, "met")
-    release(spark)
-    members = met.where("docs is not null").select("docs").mapInArrow(_docs_of, "_id long, _k long, _n long")
-    clusters = written(components(met.where("docs is null").select("a", "b")).select(F.col("node").alias("_k"), F.col("component").alias("_cluster")), "clusters")
-    found = clusters.count()
-    bits = min(30, max(16, (16 * found).bit_length()))
-    wanted = spark.sparkContext.broadcast(bitmap(clusters.select("_k"), bits))
-    payload = d.select("_t").mapInArrow(_payload(n, lower, wanted), "_k long, _n long, _set binary")
-    payload = written(payload.dropDuplicates(["_k"]).join(clusters, "_k"), "payload")
+    met = written(d.mapInArrow(_signed(percent, n, lower, shards), BLOBS).groupBy("key").applyInArrow(_met(shards, percent), MET), "met")
     release(spark)
-
-    # Clusters of one tile are done in one go, larger ones meet pivots first.
-    size = payload.groupBy("_cluster").agg(F.count("*").alias("_size"))
-    ranked = payload.select("_k", "_n", "_cluster").join(size, "_cluster")
-    small = ranked.where(F.col("_size").between(2, TILE)).select(F.xxhash64("_cluster").alias("_tile"), "_k", F.lit(True).alias("_left"))
-    links = _links(small, payload, percent, shards)
-    large = ranked.where(F.col("_size") > TILE)
-    if large.limit(1).count():
-        place = F.row_number().over(Window.partitionBy("_cluster").orderBy("_n", "_k")) - 1
-        large = written(large.withColumn("_block", F.floor(place / TILE)).withColumn("_pivot", place % F.floor(F.col("_size") / PIVOTS) == 0), "large")
-        blocks = large.select("_cluster", "_block").distinct()
-        pivots = large.where("_pivot").select("_cluster", "_k").join(blocks, "_cluster")
-        star = large.select("_cluster", "_k", "_block").unionByName(pivots).distinct()
-        first = written(links.unionByName(_links(star.select(F.xxhash64("_cluster", "_block").alias("_tile"), "_k", F.lit(True).alias("_left")), payload, percent, shards)), "links")
-        links = first.unionByName(_rest(large, components(first), payload, percent, shards))
-    links = written(links, "links")
+    kind = lambda k: met.where(F.col("kind") == k)
+    members = kind(DOCS).select("data").mapInArrow(_docs_of, "_id long, _k long, _n long")
+    classes_ = kind(CLASS).select(F.col("a").alias("_k"), F.col("b").alias("_n"), F.col("data").alias("_map"))
+    join = _Join(d.select("_t"), classes_, n, percent, lower, shards)
+
+    pairs = written(join.bounded(kind(EDGE).select("a", "b").distinct()), "pairs")
+    one = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = join.verified(one)
+    part = written(_part(links), "part")
+    # What is left: bounded pairs not verified yet, and pairs of groups in several components.
+    more = pairs.unionByName(join.across(kind(GROUP).select("members"), part)).distinct().join(one, ["a", "b"], "left_anti")
+    ends = [part.select(F.col("_k").alias(x), F.col("_c").alias("c" + x)) for x in "ab"]
+    more = more.join(ends[0], "a", "left").join(ends[1], "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+    more = written(more, "more")
     release(spark)
-
-    part = components(links).select(F.col("node").alias("_k"), F.col("component").alias("_c"))
-    members = members.join(part, "_k", "left").withColumn("_c", F.coalesce("_c", "_k"))
-    least = members.where("_n > 0").groupBy("_c").agg(F.min("_id").alias("_least"))
-    out = members.join(least, "_c", "left")
+    if more.limit(1).count():
+        part = _part(links.unionByName(join.verified(more)))
+    known = members.join(part, "_k", "left").withColumn("_c", F.coalesce("_c", "_k"))
+    least = known.where("_n > 0").groupBy("_c").agg(F.min("_id").alias("_least"))
+    out = known.join(least, "_c", "left")
     return out.select(F.col("_id").alias(id_col), F.col("_n").alias("n_shingles"), F.when(F.col("_n") > 0, F.col("_least")).otherwise(F.col("_id")).alias("component_id"))
 
 
-def _rest(large: DataFrame, part: DataFrame, payload: DataFrame, percent: int, bins: int) -> DataFrame:
-    """Documents of large clusters outside the largest component of their cluster
-    meet every block whose sizes can match."""
-    known = large.join(part.select(F.col("node").alias("_k"), F.col("component").alias("_c")), "_k", "left").withColumn("_c", F.coalesce("_c", "_k"))
-    count = known.groupBy("_cluster", "_c").count()
-    main = count.groupBy("_cluster").agg(F.max_by("_c", F.struct("count", "_c")).alias("_main"))
-    out = written(known.join(main, "_cluster").where("_c <> _main").select("_cluster", "_k", "_n", "_block"), "rest")
-    spans = large.groupBy("_cluster", "_block").agg(F.min("_n").alias("_lo"), F.max("_n").alias("_hi"))
-    lone = out.groupBy("_cluster", F.col("_block").alias("_from")).agg(F.min("_n").alias("_a"), F.max("_n").alias("_b"))
-    meet = lone.join(spans, "_cluster").where(f"_a * {percent} <= _hi * 100 and _lo * {percent} <= _b * 100")
-    tile = F.xxhash64("_cluster", "_from", "_block").alias("_tile")
-    meet = meet.select("_cluster", "_from", "_block")
-    left = meet.join(out.select("_cluster", F.col("_block").alias("_from"), "_k"), ["_cluster", "_from"]).select(tile, "_k", F.lit(True).alias("_left"))
-    right = meet.join(large.select("_cluster", "_block", "_k"), ["_cluster", "_block"]).select(tile, "_k", F.lit(False).alias("_left"))
-    return _links(left.unionByName(right), payload, percent, bins)
-
-
 def op2_ngram_jaccard_join(spark, sf_dir: str) -> DataFrame:
     return ngram_jaccard(spark.read.parquet(f"{sf_dir}/documents.parquet"), n=4, percent=85)
 
