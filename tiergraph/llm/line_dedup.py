@@ -48,7 +48,8 @@ def _occurrences(docs: DataFrame, shingle: int, bottom: int, min_shingles: int)
         "_r",
         "_pos",
         F.xxhash64("_s").alias("_k"),
-        F.slice("_s", 1, bottom).alias("_sig"),
+        # The upper halves keep the order and are enough for a band.
+        F.transform(F.slice("_s", 1, bottom), lambda h: F.shiftright(h, 32).cast("int")).alias("_sig"),
     )
 
 
@@ -56,7 +57,7 @@ def line_decisions(
     docs: DataFrame,
     id_col: str = "doc_id",
     text_col: str = "text",
-    shingle: int = 10,
+    shingle: int = 12,
     bottom: int = 8,
     threshold: float = 0.8,
     min_shingles: int = 5,
