@@ -5,7 +5,8 @@ Two sets A and B with similarity t or more differ in at most
 scheme deals n-grams into ``m`` parts by hash, with ``m`` so much above that
 bound that two similar sets must have an equal part that is not trivial.  The
 hash of such a part is a signature; a document has signatures in the scheme of
-its own band and of the bands of smaller partners.  Linked documents
+its own band and of the bands of smaller partners.  N-grams that very many
+documents share are left out of the parts, as that only lessens the difference.  Linked documents
 share one, and a passage that many documents share makes few of them equal.
 
 Every class has a hashed bitmap of its set, of twice as many bits as n-grams or
@@ -107,41 +108,103 @@ def classes(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(U))
 
 
-def signatures(scheme: Scheme, grams: np.ndarray, at: np.ndarray, use: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, text) for the texts in ``use``."""
+def _parts(scheme: Scheme, grams: np.ndarray, at: np.ndarray, docs: np.ndarray, band: np.ndarray, tag: int):
+    """Signatures of the parts that say enough, the place in ``docs`` of each, and
+    how many parts of each document say too little."""
+    m, count = scheme.parts[band], np.diff(at)[docs]
+    row = np.repeat(np.arange(len(docs)), count)
+    item = grams[np.arange(count.sum()) + np.repeat(at[docs] - np.concatenate(([0], np.cumsum(count)[:-1])), count)]
+    base = np.concatenate(([0], np.cumsum(m)))
+    part = base[row] + ((item >> U(33)) % m[row].astype(U)).astype(np.int64)
+    load = np.bincount(part, minlength=base[-1])
+    total = np.zeros(base[-1], U)
+    np.add.at(total, part, mix(item + U(11)))
+    doc = np.repeat(np.arange(len(docs)), m)
+    kept = np.flatnonzero(load > scheme.trivial[band][doc])
+    number = np.arange(base[-1]) - base[doc]
+    name = band[doc[kept]].astype(U) << U(32) | number[kept].astype(U) << U(2) | U(tag)
+    return mix(total[kept] + mix(name)), doc[kept], m - np.bincount(doc[kept], minlength=len(docs))
+
+
+def signatures(scheme: Scheme, grams: np.ndarray, at: np.ndarray, use: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(signature, text) for the texts in ``use``.
+
+    N-grams in ``common`` are left out first: without them sets differ in no more
+    n-grams than before.  Texts that then have too many parts that say too
+    little get signatures of their whole sets too, to meet others of their kind;
+    and one more if even that is too little."""
     sizes = np.diff(at)
     out_s, out_d = [], []
     own = scheme.band(np.maximum(sizes, 1))
     least = scheme.band(np.maximum(-(-sizes * scheme.percent // 100), 1))
+    rare = np.ones(len(grams), bool)
+    if len(common):
+        rare = common[np.minimum(np.searchsorted(common, grams), len(common) - 1)] != grams
+    rare_at = np.concatenate(([0], np.cumsum(rare)))[at]
+    rare_grams = grams[rare]
     for below in range(int((own - least).max(initial=0)) + 1):
         docs = np.flatnonzero(use & (own - below >= least) & (sizes > 0))
         docs = docs[scheme.parts[own[docs] - below] > 0]
-        if not len(docs):
-            continue
-        band = own[docs] - below
-        m, count = scheme.parts[band], sizes[docs]
-        row = np.repeat(np.arange(len(docs)), count)
-        item = grams[np.arange(count.sum()) + np.repeat(at[docs] - np.concatenate(([0], np.cumsum(count)[:-1])), count)]
-        base = np.concatenate(([0], np.cumsum(m)))
-        part = base[row] + ((item >> U(33)) % m[row].astype(U)).astype(np.int64)
-        load = np.bincount(part, minlength=base[-1])
-        total = np.zeros(base[-1], U)
-        np.add.at(total, part, mix(item + U(11)))
-        doc = np.repeat(np.arange(len(docs)), m)
-        kept = np.flatnonzero(load > scheme.trivial[band][doc])
-        number = np.arange(base[-1]) - base[doc]
-        tag = band[doc[kept]].astype(U) << U(32) | number[kept].astype(U)
-        out_s.append(mix(total[kept] + mix(tag)))
-        out_d.append(docs[doc[kept]])
-        weak = m - np.bincount(doc[kept], minlength=len(docs))
-        sparse = np.flatnonzero(weak > scheme.spare[band])
-        out_s.append(mix(band[sparse].astype(U) + U(0xE7037ED1A0B428DB)))
-        out_d.append(docs[sparse])
+        for tag, (g, x) in enumerate(((rare_grams, rare_at), (grams, at))):
+            if not len(docs):
+                break
+            band = own[docs] - below
+            sig, doc, weak = _parts(scheme, g, x, docs, band, tag)
+            out_s.append(sig)
+            out_d.append(docs[doc])
+            docs = docs[weak > scheme.spare[band]]
+        if len(docs):
+            out_s.append(mix((own[docs] - below).astype(U) + U(0xE7037ED1A0B428DB)))
+            out_d.append(docs)
     if not out_s:
         return np.zeros(0, U), np.zeros(0, np.int64)
     return np.concatenate(out_s), np.concatenate(out_d)
 
 
+def _often(n: int, lower: bool, shards: int, least: int):
+    """N-grams that ``least`` texts or more of a part of a partition have, with how many."""
+
+    def run(batches):
+        held, size = [], 0
+
+        def flush():
+            value, count = np.unique(np.concatenate(held), return_counts=True)
+            value, count = value[count >= least], count[count >= least]
+            return batch([(k, pack(*c)) for k, c in dealt((value >> U(32)).astype(np.int64) * shards >> 32, shards, value, count)])
+
+        for b in batches:
+            for chunk in chunks(b.column(0)):
+                held.append(shingle_sets(chunk, n, lower)[0])
+                size += len(held[-1])
+                if size >= 4 * BLOCK:
+                    yield flush()
+                    held, size = [], 0
+        if size:
+            yield flush()
+
+    return run
+
+
+def _most(keep: int):
+    def run(table: pa.Table) -> pa.Table:
+        value, count = unpack_all(x.as_py() for x in table.column("blob"))
+        value, back = np.unique(value, return_inverse=True)
+        count = np.bincount(back, count).astype(np.int64)
+        top = np.argsort(-count, kind="stable")[:keep]
+        return pa.Table.from_batches([batch([(table.column("key")[0].as_py(), pack(value[top], count[top]))])])
+
+    return run
+
+
+def common_grams(texts: DataFrame, n: int, lower: bool, shards: int, keep: int = 1 << 16, least: int = 3) -> np.ndarray:
+    """The n-grams of the most texts, ``keep`` at most, sorted. What is in it decides how
+    much work is done, and not what is found."""
+    found = texts.mapInArrow(_often(n, lower, shards, least), BLOBS).groupBy("key").applyInArrow(_most(keep // shards + 1), BLOBS)
+    parts = [unpack(bytes(r.blob)) for r in found.collect()]
+    value, count = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, t) for i, t in ((0, U), (1, np.int64)))
+    return np.sort(value[np.argsort(-count, kind="stable")[:keep]])
+
+
 def width(sizes: np.ndarray) -> np.ndarray:
     """Bits of the bitmap of a set of each size: powers of two."""
     return 1 << np.clip(np.ceil(np.log2(np.maximum(2 * sizes, 1))).astype(np.int64), 9, 14)
@@ -183,7 +246,7 @@ def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def _signed(percent: int, n: int, lower: bool, shards: int):
+def _signed(percent: int, n: int, lower: bool, shards: int, common):
     def run(batches):
         scheme, held, docs, maps, size, seen = Scheme(percent), [], [], [], 0, set()
         shard = lambda x: (x >> U(32)).astype(np.int64) * shards >> 32
@@ -206,7 +269,7 @@ def _signed(percent: int, n: int, lower: bool, shards: int):
                 fp = classes(grams, at)
                 docs.append((ids[chunk.first : chunk.first + chunk.n], fp, np.diff(at)))
                 use = np.array([not (x in seen or seen.add(x)) for x in fp.tolist()], bool) & (np.diff(at) > 0)
-                sig, doc = signatures(scheme, grams, at, use)
+                sig, doc = signatures(scheme, grams, at, use, common.value)
                 held.append((sig, fp[doc]))
                 maps += [x for x, u in zip(zip(fp.tolist(), np.diff(at).tolist(), bitmaps(grams, at), strict=True), use.tolist(), strict=True) if u]
                 size += len(sig) + chunk.n
@@ -403,7 +466,8 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t"))
-    met = written(d.mapInArrow(_signed(percent, n, lower, shards), BLOBS).groupBy("key").applyInArrow(_met(shards, percent), MET), "met")
+    common = spark.sparkContext.broadcast(common_grams(d.select("_t"), n, lower, shards))
+    met = written(d.mapInArrow(_signed(percent, n, lower, shards, common), BLOBS).groupBy("key").applyInArrow(_met(shards, percent), MET), "met")
     release(spark)
     kind = lambda k: met.where(F.col("kind") == k)
     members = kind(DOCS).select("data").mapInArrow(_docs_of, "_id long, _k long, _n long")
