@@ -20,8 +20,8 @@ solved once, all units of a batch side by side in numpy:
 The N best of a text then follow from its units' score losses.
 
 Defined results: null texts count as empty; an empty text has no pieces, score 0
-and no further segmentations; fewer paths than N give nulls; equal scores are
-ordered by the longer last piece first; rows with equal ids get a row each;
+and no further segmentations; fewer paths than N give nulls; which of two paths with
+equal scores comes first is fixed but means nothing; rows with equal ids get a row each;
 other columns are not read.
 """
 
@@ -83,12 +83,17 @@ class Pieces:
 
     def find(self, h: np.ndarray) -> np.ndarray:
         """Index of the piece with each hash, or -1."""
-        spot, out = (h >> U(44)).astype(np.int64), np.full(h.shape, -1, np.int32)
-        for _ in range(self.probes):
-            got = self.table[spot]
-            hit = (got >= 0) & (self.hashes[got] == h)
-            out[hit] = got[hit]
-            spot = (spot + 1) & 0xFFFFF
+        spot = (h >> U(44)).astype(np.int32)
+        got = self.table[spot]
+        out = np.where((got >= 0) & (self.hashes[got] == h), got, -1)
+        again = np.nonzero((got >= 0) & (out < 0))  # taken by another: few
+        for k in range(1, self.probes):
+            if not len(again[0]):
+                break
+            got = self.table[(spot[again] + k) & 0xFFFFF]
+            hit = (got >= 0) & (self.hashes[got] == h[again])
+            out[tuple(x[hit] for x in again)] = got[hit]
+            again = tuple(x[(got >= 0) & ~hit] for x in again)
         return out
 
 
@@ -136,9 +141,12 @@ def solve(pieces: Pieces, units: list[bytes], n: int) -> Solved:
     longest = score.shape[2]
     best = np.full((count, width + 1), -np.inf)
     best[:, 0] = 0
+    reach = np.full_like(score, -np.inf)  # of the best path that ends with each edge
     for j in range(1, width + 1):
         most = min(j, longest)
-        best[:, j] = (best[:, j - most : j][:, ::-1] + score[:, j, :most]).max(1)
+        np.add(best[:, j - most : j][:, ::-1], score[:, j, :most], out=reach[:, j, :most])
+        best[:, j] = reach[:, j, :most].max(1)
+    reach, edges = reach.reshape(-1, longest), score.reshape(-1)
 
     # The open list: value, place, suffix score and last node of each entry.
     value = np.full((count, n), -np.inf)
@@ -166,13 +174,10 @@ def solve(pieces: Pieces, units: list[bytes], n: int) -> Solved:
             found[u] += 1
         u, g, at, here = active[~done], g[~done], at[~done], here[~done]
         if len(u):
-            lengths = np.arange(longest)
-            before = at[:, None] - 1 - lengths
-            edge = score[u[:, None], at[:, None], lengths]
-            reach = np.where(before >= 0, edge + best[u[:, None], np.maximum(before, 0)], -np.inf) + g[:, None]
+            row = u * (width + 1) + at
             # Only the n best of the old entries and the new ones can be needed.
-            pool = np.concatenate((value[u], reach), 1)
-            keep = np.argsort(-pool, axis=1, kind="stable")[:, :n]
+            pool = np.concatenate((value[u], reach.take(row, axis=0) + g[:, None]), 1)
+            keep = np.argpartition(-pool, n - 1, axis=1)[:, :n]
             rows = np.arange(len(u))[:, None]
             fresh = (keep >= n) & (pool[rows, keep] > -np.inf)
             old = np.where(keep < n, keep, 0)
@@ -183,7 +188,7 @@ def solve(pieces: Pieces, units: list[bytes], n: int) -> Solved:
             steps.append(np.stack((np.broadcast_to(u[:, None], keep.shape)[fresh], np.broadcast_to(at[:, None], keep.shape)[fresh], new[fresh]), 1))
             made += int(fresh.sum())
             place[u] = np.where(fresh, at[:, None] - 1 - new, place[u[:, None], old])
-            suffix[u] = np.where(fresh, g[:, None] + edge[rows, new], suffix[u[:, None], old])
+            suffix[u] = np.where(fresh, g[:, None] + edges.take(row[:, None] * longest + new), suffix[u[:, None], old])
             node[u] = np.where(fresh, number, node[u[:, None], old])
             value[u] = pool[rows, keep]
         active = active[found[active] < n]
@@ -282,7 +287,7 @@ def _units(pieces: Pieces, chunk):
 class Codec:
     """Encodes and decodes; solved units are kept up to a bound."""
 
-    def __init__(self, pieces: Pieces, n: int, keep: int = 150_000):
+    def __init__(self, pieces: Pieces, n: int, keep: int = 250_000):
         self.pieces, self.n, self.keep = pieces, n, keep
         self.width = np.zeros(int(max(pieces.ids.max(), pieces.byte_ids.max())) + 1, np.int64)
         text = [b""] * len(self.width)
@@ -296,7 +301,7 @@ class Codec:
         self._clear()
 
     def _clear(self):
-        self.number: dict[bytes, int] = {}
+        self.number: dict[int, int] = {}
         self.scores, self.loss = np.zeros((0, self.n)), np.zeros((0, self.n))
         self.ids, self.at, self.length = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
@@ -314,17 +319,22 @@ class Codec:
     def encode(self, chunk):
         """ids of all texts end to end, where each text's begin, and (texts, n) scores."""
         raw, at, cuts = _units(self.pieces, chunk)
-        whole = raw.tobytes()
-        bounds = [*cuts.tolist(), len(whole)]
-        units = [whole[a:b] for a, b in zip(bounds, bounds[1:], strict=False)]
+        # Units are told apart by a 64-bit hash; ``round_trip`` would show a mix-up.
+        sums = np.zeros(len(raw) + 1, U)
+        np.cumsum(_BYTE[raw] * powers(_ODD, len(raw)), out=sums[1:])
+        stop = np.append(cuts[1:], len(raw)) if len(cuts) else cuts
+        h = mix((sums[stop] - sums[cuts]) * powers(_INV, len(raw))[cuts])
+        own, place, back = np.unique(h, return_index=True, return_inverse=True)
         if len(self.number) > self.keep:
             self._clear()
-        fresh = [u for u in dict.fromkeys(units) if u not in self.number]
-        for u in fresh:
-            self.number[u] = len(self.number)
+        known = self.number
+        fresh = [i for i, x in enumerate(own.tolist()) if x not in known]
         if fresh:
-            self._add(fresh)
-        unit = np.array([self.number[u] for u in units], np.int64)
+            for x in own[fresh].tolist():
+                known[x] = len(known)
+            whole = raw.tobytes()
+            self._add([whole[a:b] for a, b in zip(cuts[place[fresh]].tolist(), stop[place[fresh]].tolist(), strict=True)])
+        unit = np.array([known[x] for x in own.tolist()], np.int64)[back]
         bound = np.searchsorted(cuts, at)
         length = self.length[unit]
         take = np.repeat(self.at[unit] - (np.cumsum(length) - length), length) + np.arange(length.sum())
@@ -362,7 +372,7 @@ def _encoded(held, n: int, with_ids: bool):
     def run(batches):
         codec = Codec(held.value, n)
         for b in batches:
-            for chunk in chunks(b.column(1), 1 << 20):
+            for chunk in chunks(b.column(1), 4 << 20):
                 ids, begin, scores = codec.encode(chunk)
                 same, digest = [], []
                 for t in range(chunk.n):
