@@ -115,13 +115,16 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     false; one that had no text stays as it was."""
     removed = line_decisions(docs, id_col, text_col, **options)
     removed = removed.select(F.col("_id").alias("_pid"), F.col("_r").alias("_pr"), "_removed")
-    joined = docs.withColumn("_lines", F.split(text_col, "\n")).join(removed, docs[id_col].eqNullSafe(removed["_pid"]) & (F.xxhash64(docs[text_col]) == removed["_pr"]), "left")
+    # The row goes along as one struct, so that no column of it can clash.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
+    rows = rows.select("*", F.xxhash64("_t").alias("_r"), F.split("_t", "\n").alias("_lines"))
+    joined = rows.join(removed, rows["_id"].eqNullSafe(removed["_pid"]) & (rows["_r"] == removed["_pr"]), "left")
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_removed"))
     left = F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n")
-    out = joined.withColumn("_left", F.when(F.col("_removed").isNull(), docs[text_col]).otherwise(left))
+    out = joined.withColumn("_left", F.when(F.col("_removed").isNull(), F.col("_t")).otherwise(left))
     if drop_emptied:
-        out = out.where(F.col("_removed").isNull() | (F.btrim("_left", F.lit(" \t\n\x0b\f\r")) != ""))
-    return out.select(*[F.col("_left").alias(text_col) if c == text_col else docs[c] for c in docs.columns])
+        out = where_once(out, F.col("_removed").isNull() | (F.btrim("_left", F.lit(" \t\n\x0b\f\r")) != ""))
+    return out.select(*[F.col("_left").alias(c) if c == text_col else F.col(f"_row.`{c}`").alias(c) for c in docs.columns])
 
 
 def op9_line_dedup(spark, sf_dir: str) -> DataFrame:

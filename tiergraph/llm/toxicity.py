@@ -151,15 +151,13 @@ class Network:
         g["ec"][0] = 0
         return g
 
-    def train(self, texts: list[np.ndarray], y: np.ndarray, rounds: int = 3, epochs: int = 2, rate: float = 0.05, seed: int = 3) -> Network:
+    def train(self, ids: np.ndarray, at: np.ndarray, y: np.ndarray, rounds: int = 3, epochs: int = 2, rate: float = 0.05, seed: int = 3) -> Network:
         r = np.random.default_rng(seed)
-        ids = np.concatenate(texts)
-        at = np.concatenate(([0], np.cumsum([len(t) for t in texts])))
         for table, columns in (("ew", [0]), ("ec", range(1, ids.shape[1]))):
             size = len(self.p[table])
             seen = np.zeros((2, size))
-            for t, own in zip(texts, y, strict=True):
-                seen[int(own), np.unique(t[:, columns])] += 1
+            for a, b, own in zip(at[:-1].tolist(), at[1:].tolist(), y, strict=True):
+                seen[int(own), np.unique(ids[a:b, columns])] += 1
             n = np.bincount(y.astype(int), minlength=2)[:, None]
             odds = np.log((seen + 0.5) / (n + 1))
             self.p[table][:, 0] = np.where(seen.sum(0) >= 3, np.clip(odds[1] - odds[0], -4, 4), 0)
@@ -187,7 +185,7 @@ class Network:
                     for k, x in g.items():
                         speed[k] += x * x
                         self.p[k] -= (rate * x / np.sqrt(speed[k])).astype(np.float32)
-        self._finish(summary(self.logits(ids, first, length), doc, len(texts)), y, at)
+        self._finish(summary(self.logits(ids, first, length), doc, len(y)), y, at)
         return self
 
     def _finish(self, x, y, at):
@@ -247,10 +245,13 @@ def train(docs: DataFrame, labels: DataFrame, max_train: int = 2000, folds: int
         sample = labelled_sample(docs, labels.where(F.col("toxic") == y), "toxic", folds, held_fold, max_train)
         found += sample.mapInArrow(_read, "_id long, x binary, y int").collect()
     found = sorted((r for r in found if r.x), key=lambda r: (r["_id"], r.y))
-    texts, y = [np.frombuffer(r.x, np.int32).reshape(-1, 1 + len(PREFIXES)) for r in found], np.array([r.y for r in found], float)
+    y = np.array([r.y for r in found], float)
     if len(set(y.tolist())) < 2:
         return Constant(float(y.mean()) if len(y) else 0.0)
-    return Network().train(texts, y)
+    at = np.concatenate(([0], np.cumsum([len(r.x) for r in found]))) // (4 * (1 + len(PREFIXES)))
+    ids = np.frombuffer(b"".join(r.x for r in found), np.int32).reshape(-1, 1 + len(PREFIXES))
+    del found
+    return Network().train(ids, at, y)
 
 
 def toxicity(docs: DataFrame, model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
