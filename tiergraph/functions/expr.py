@@ -70,7 +70,7 @@ def lei_valid(x: Column) -> Column:
 
 def real_date(x: Column) -> Column:
     """Whether a string of the shape yyyy-mm-dd is a day of the calendar."""
-    return F.coalesce(x.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & F.try_to_date(x, F.lit("yyyy-MM-dd")).isNotNull(), F.lit(False))
+    return F.coalesce(x.rlike("^[0-9]{4}-[0-9]{2}-[0-9]{2}$") & F.try_to_date(x, "yyyy-MM-dd").isNotNull(), F.lit(False))
 
 
 def normalised_date(x: Column) -> Column:
