@@ -14,8 +14,9 @@ more.  For two sets, the bits that only one has give an upper bound of the
 overlap from bit counts alone.  Pairs that pass it are verified by the exact
 intersection of sorted arrays:
 
-1. In each group of documents with one signature the others meet some pivots,
-   and each document verifies its least partner that passes the bound.
+1. In each group of documents with one signature the others meet some pivots;
+   each document verifies its least partner that passes the bound, and then
+   those others that would still join something.
 2. Groups that are still in several components are cut, ordered by size, into
    tiles.  In a tile all pairs across components are bounded, and those that
    pass leave it to be verified.  Pairs inside one component need no look, so a
@@ -435,23 +436,21 @@ class _Join:
         tiles = rows.where(F.col("_size") <= TILE).select(F.col("_g").alias("_tile"), "_k", "_c", "_n", "_map", F.lit(0).alias("_side"))
         large = rows.where(F.col("_size") > TILE)
         if large.limit(1).count():
-            # Blocks by size; only those with documents outside the largest component meet all others.
-            place = F.row_number().over(Window.partitionBy("_g").orderBy("_n", "_k")) - 1
-            large = written(large.withColumn("_block", F.floor(place / TILE)), "large")
+            # Blocks by size. Those outside a group's largest component, in blocks of
+            # their own, meet all blocks; pairs inside that component need no look.
             count = large.groupBy("_g", "_c").count()
             main = count.groupBy("_g").agg(F.max_by("_c", F.struct("count", "_c")).alias("_main"))
-            span = large.join(main, "_g").groupBy("_g", "_block").agg(F.min("_n").alias("_lo"), F.max("_n").alias("_hi"), F.max(F.col("_c") != F.col("_main")).alias("_out"))
-            x, y = span.where("_out").alias("x"), span.alias("y")
-            meet = x.join(y, "_g").where(f"(x._block < y._block or not y._out or x._block = y._block) and x._lo * {self.percent} <= y._hi * 100 and y._lo * {self.percent} <= x._hi * 100")
+            block = lambda df: df.withColumn("_block", F.floor((F.row_number().over(Window.partitionBy("_g").orderBy("_n", "_k")) - 1) / TILE))
+            own = ["_k", "_c", "_n", "_map"]
+            large = written(block(large).select("_g", "_block", *own), "large")
+            out = written(block(large.join(main, "_g").where("_c <> _main").drop("_block")).select("_g", "_block", *own), "out")
+            span = lambda df: df.groupBy("_g", "_block").agg(F.min("_n").alias("_lo"), F.max("_n").alias("_hi"))
+            meet = span(out).alias("x").join(span(large).alias("y"), "_g").where(f"x._lo * {self.percent} <= y._hi * 100 and y._lo * {self.percent} <= x._hi * 100")
             meet = meet.select("_g", F.col("x._block").alias("_from"), F.col("y._block").alias("_to"))
             tile = F.xxhash64("_g", "_from", "_to").alias("_tile")
-            own = ["_k", "_c", "_n", "_map"]
-            for end, side in (("_from", 1), ("_to", 2)):
-                same = F.lit(0) if side == 1 else None
-                use = meet if side == 1 else meet.where("_from <> _to")
-                mark = F.when(F.col("_from") == F.col("_to"), same).otherwise(F.lit(side)) if side == 1 else F.lit(2)
-                part_rows = use.join(large.select("_g", F.col("_block").alias(end), *own), ["_g", end])
-                tiles = tiles.unionByName(part_rows.select(tile, *own, mark.alias("_side")))
+            for end, df, side in (("_from", out, 1), ("_to", large, 2)):
+                rows_of = meet.join(df.withColumnRenamed("_block", end), ["_g", end])
+                tiles = tiles.unionByName(rows_of.select(tile, *own, F.lit(side).alias("_side")))
         tiles = tiles.withColumn("_bin", F.pmod(F.xxhash64("_tile"), F.lit(self.bins)).cast("int"))
         return tiles.groupBy("_bin").applyInArrow(_tile(self.percent), "a long, b long").distinct()
 
@@ -475,17 +474,21 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     join = _Join(d.select("_t"), classes_, n, percent, lower, shards)
 
     pairs = written(join.bounded(kind(EDGE).select("a", "b").distinct()), "pairs")
-    one = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = join.verified(one)
+    done = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
+    links = join.verified(done)
     part = written(_part(links), "part")
-    # What is left: bounded pairs not verified yet, and pairs of groups in several components.
-    more = pairs.unionByName(join.across(kind(GROUP).select("members"), part)).distinct().join(one, ["a", "b"], "left_anti")
-    ends = [part.select(F.col("_k").alias(x), F.col("_c").alias("c" + x)) for x in "ab"]
-    more = more.join(ends[0], "a", "left").join(ends[1], "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-    more = written(more, "more")
-    release(spark)
-    if more.limit(1).count():
-        part = _part(links.unionByName(join.verified(more)))
+    # Then the other pairs with pivots that still join something, and at last the
+    # pairs of groups that are in several components.
+    for last in (False, True):
+        more = join.across(kind(GROUP).select("members"), part) if last else pairs
+        more = more.join(done, ["a", "b"], "left_anti")
+        ends = [part.select(F.col("_k").alias(x), F.col("_c").alias("c" + x)) for x in "ab"]
+        more = more.join(ends[0], "a", "left").join(ends[1], "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+        more = written(more, "more")
+        release(spark)
+        if more.limit(1).count():
+            links, done = links.unionByName(join.verified(more)), done.unionByName(more)
+            part = written(_part(links), "part")
     known = members.join(part, "_k", "left").withColumn("_c", F.coalesce("_c", "_k"))
     least = known.where("_n > 0").groupBy("_c").agg(F.min("_id").alias("_least"))
     out = known.join(least, "_c", "left")
