@@ -108,7 +108,3 @@ def windows(values: np.ndarray, at: np.ndarray, k: int, base: int = 0xD1342543DE
     inverse = powers(pow(base, -1, 1 << 64), n)
     return mix((sums[start + k] - sums[start]) * inverse[start]), new
 
-
-def word_list(chunk: Chunk, which: np.ndarray) -> list[bytes]:
-    whole = chunk.raw.tobytes()
-    return [whole[a:b] for a, b in zip(chunk.starts[which].tolist(), chunk.ends[which].tolist(), strict=True)]
