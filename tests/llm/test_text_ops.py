@@ -194,6 +194,23 @@ def test_line_dedup_recall(spark):
     assert len(near) > 10 and gone <= near and len(gone) >= 0.9 * len(near)
 
 
+def test_line_dedup_compares_all_lines_of_a_band(spark, monkeypatch):
+    """Lines that share a long passage: most are not similar, some pairs are."""
+    monkeypatch.setattr(line_dedup, "BLOCK", 4, raising=False)
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    passage = " ".join(word() for _ in range(40))
+    tails = [[word() for _ in range(20)] for _ in range(40)]
+    lines = [passage + " " + " ".join(t) for t in tails] + [passage + " " + " ".join(t[:-1] + ["edit"]) for t in tails]
+    r.shuffle(lines)
+    cut = lambda t: {t[m.start() : m.start() + 12] for m in re.finditer(r"\b\w", t)}
+    sets = [cut(x) for x in lines]
+    near = {b for b in range(80) if any(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a in range(b))}
+    docs = spark.createDataFrame(rows_of(list(enumerate(lines))), SCHEMA)
+    gone = {r.doc_id for r in docs.join(line_dedup.line_dedup(docs), "doc_id", "left_anti").collect()}
+    assert len(near) == 40 and gone == near
+
+
 def test_lm_scoring(docs, corpus, empty):
     import math
     import zlib

@@ -9,6 +9,8 @@ similarity 0.8 a pair of long lines shares a band with probability 0.985, with 0
 0.9995.  Lines that share a band are paired with the least line of the band and
 with their neighbour in it, verified by the exact Jaccard similarity of their
 whole shingle sets, and the verified links go through a distributed union-find.
+Then all pairs of a band that are still in different components are verified in
+the same way, block by block, so that every pair that shares a band is judged.
 One line of each component stays: the first by (document, position).
 
 Equal shingle sets are one line from the start, so copies never meet in a band.
@@ -28,6 +30,8 @@ from pyspark.sql import functions as F
 from tiergraph.components import components
 from tiergraph.plans.shared import release, where_once, written
 
+BLOCK = 64
+
 
 def shingles(line: Column, shingle: int) -> Column:
     """Sorted distinct hashes of the character shingles of a line."""
@@ -53,6 +57,43 @@ def _occurrences(docs: DataFrame, shingle: int, bottom: int, min_shingles: int)
     )
 
 
+def _sets(lines: DataFrame, shingle: int, min_shingles: int, *keys: str) -> DataFrame:
+    return lines.select(*keys, shingles(F.col("_line"), shingle).alias("_s"))
+
+
+def _bands(lines: DataFrame) -> DataFrame:
+    neighbours = F.transform(F.sequence(F.lit(1), F.size("_sig") - 1), lambda i: F.xxhash64(F.get("_sig", i - 1), F.get("_sig", i)))
+    return lines.select("_k", F.explode(neighbours).alias("_band"))
+
+
+def _links(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """The pairs whose exact similarity is at least ``threshold``."""
+    both = pairs.join(sets.select(F.col("_k").alias("_a"), F.col("_s").alias("_sa")), "_a").join(sets.select(F.col("_k").alias("_b"), F.col("_s").alias("_sb")), "_b")
+    shared = F.size(F.array_intersect("_sa", "_sb"))
+    similar = (1 + threshold) * shared >= threshold * (F.size("_sa") + F.size("_sb")) - 1e-9
+    return both.where(similar).select(F.col("_a").alias("a"), F.col("_b").alias("b"))
+
+
+def _open_pairs(lines: DataFrame, sets: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
+    """(_a, _b): lines that share a band, are not in one component and are not
+    too different in size.  The lines of a band, in the order of their components,
+    fall into blocks; two blocks within one component do not meet."""
+    known = sets.select("_k", F.size("_s").alias("_n")).join(parts.withColumnRenamed("node", "_k"), "_k", "left")
+    known = known.select("_k", "_n", F.coalesce("component", "_k").alias("_g"))
+    rows = _bands(lines.join(known.select("_k"), "_k", "left_semi")).distinct().join(known, "_k")
+    band = "partition by _band"
+    rows = rows.selectExpr("*", f"min(_g) over ({band}) as _lo", f"max(_g) over ({band}) as _hi", f"row_number() over ({band} order by _g, _k) as _at").where("_lo <> _hi")
+    blocks = rows.groupBy("_band", F.expr(f"(_at - 1) div {BLOCK}").alias("_block"))
+    blocks = blocks.agg(F.min("_g").alias("_lo"), F.max("_g").alias("_hi"), F.collect_list(F.struct("_k", "_n", "_g")).alias("_in"))
+    one, two = blocks.alias("x"), blocks.alias("y")
+    met = one.join(two, F.expr("x._band = y._band and x._block <= y._block and not (x._lo = y._hi and x._hi = y._lo)"))
+    # Dealt out again, so that the blocks of one band are compared in many tasks.
+    met = met.selectExpr("x._band as _band", "x._block as _bx", "y._block as _by", "x._in as _x", "y._in as _y").repartition("_band", "_bx", "_by")
+    near = f"a._g <> b._g and least(a._n, b._n) >= {threshold} * greatest(a._n, b._n) - 1e-9"
+    found = met.selectExpr(f"explode(flatten(transform(_x, a -> transform(filter(_y, b -> {near}), b -> struct(least(a._k, b._k) as _a, greatest(a._k, b._k) as _b))))) as _p")
+    return found.select("_p.*").distinct()
+
+
 def line_decisions(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -73,31 +114,33 @@ def line_decisions(
     lines = written(occurrences.groupBy("_k").agg(first, F.min("_sig").alias("_sig")), "distinct")
     release(spark)
 
-    neighbours = F.transform(F.sequence(F.lit(1), F.size("_sig") - 1), lambda i: F.xxhash64(F.get("_sig", i - 1), F.get("_sig", i)))
-    bands = lines.select("_k", F.explode(neighbours).alias("_band"))
+    bands = _bands(lines)
     band = "partition by _band"
     met = bands.selectExpr("_k", f"min(_k) over ({band}) as _least", f"lag(_k) over ({band} order by _k) as _next").where("_next is not null")
     pairs = met.select(F.explode(F.array_distinct(F.array("_least", "_next"))).alias("_a"), F.col("_k").alias("_b"))
     pairs = written(pairs.where("_a <> _b").distinct(), "pairs")
     release(spark)
 
-    # The whole shingle sets of the lines in a pair, from their first places.
+    # The whole shingle sets of all lines that share a band with another, from their first places.
     wanted = pairs.select(F.explode(F.array("_a", "_b")).alias("_k")).distinct()
     places = lines.join(wanted, "_k").select("_k", "_first.*")
     places = places.groupBy("_id", "_r").agg(F.collect_list(F.struct("_pos", "_k")).alias("_at"))
     texts = keyed.where("_t is not null").join(places.withColumnRenamed("_id", "_pid").withColumnRenamed("_r", "_pr"), F.col("_id").eqNullSafe(F.col("_pid")) & (F.col("_r") == F.col("_pr")))
     texts = texts.select(F.split("_t", "\n").alias("_l"), F.explode("_at").alias("_at"))
-    sets = texts.select(F.col("_at._k").alias("_k"), shingles(F.get("_l", F.col("_at._pos")), shingle).alias("_s"))
-    sets = written(sets.dropDuplicates(["_k"]), "sets")
+    sets = texts.select(F.col("_at._k").alias("_k"), F.get("_l", F.col("_at._pos")).alias("_line"))
+    sets = written(_sets(sets, shingle, min_shingles, "_k").dropDuplicates(["_k"]), "sets")
     release(spark)
-    both = pairs.join(sets.select(F.col("_k").alias("_a"), F.col("_s").alias("_sa")), "_a").join(sets.select(F.col("_k").alias("_b"), F.col("_s").alias("_sb")), "_b")
-    shared = F.size(F.array_intersect("_sa", "_sb"))
-    similar = (1 + threshold) * shared >= threshold * (F.size("_sa") + F.size("_sb")) - 1e-9
-    links = both.where(similar).select(F.col("_a").alias("a"), F.col("_b").alias("b"))
-    links = written(links, "links")
+    links = written(_links(pairs, sets, threshold), "links")
+    release(spark)
+
+    # What is left: all pairs of a band whose lines are not in one component yet.
+    parts = components(links)
+    more = written(_links(_open_pairs(lines, sets, parts, threshold), sets, threshold), "links")
     release(spark)
+    if not more.isEmpty():
+        parts = components(links.unionByName(more))
 
-    parts = components(links).withColumnRenamed("node", "_k")
+    parts = parts.withColumnRenamed("node", "_k")
     grouped = lines.join(parts, "_k", "left").select("_k", "_first", F.coalesce("component", "_k").alias("_c"))
     linked = grouped.where("_c is not null").join(parts.select("component").distinct().withColumnRenamed("component", "_c"), "_c", "left_semi")
     keeper = linked.groupBy("_c").agg(F.min("_first").alias("_keep"))
