@@ -211,6 +211,15 @@ def test_line_dedup_compares_all_lines_of_a_band(spark, monkeypatch):
     assert len(near) == 40 and gone == near
 
 
+def test_line_dedup_of_few_words_and_without_spaces(spark):
+    han = "".join(chr(0x4E00 + 37 * i) for i in range(200))
+    lines = ["Copyright notice: reserved", "Copyright notice: reserved", "internationalisation-department/headquarters", "internationalisation-department/headquarters.", han, han[:-2] + "新字",
+             "supercalifragilistic responsibilities notwithstanding everything", "supercalifragilistic responsibilities notwithstanding everything x", "too short", "too short"]
+    docs = spark.createDataFrame(rows_of(list(enumerate(lines))), SCHEMA)
+    kept = {r.doc_id for r in line_dedup.line_dedup(docs).collect()}
+    assert kept == {0, 2, 4, 6, 8, 9}
+
+
 def test_lm_scoring(docs, corpus, empty):
     import math
     import zlib

@@ -1,7 +1,10 @@
 """Fuzzy line deduplication with DataFrame functions only.
 
 A line's character shingles are the sequences of up to ``shingle`` characters of
-the lower-cased line that begin where a word begins.  Their hashes, sorted, are
+the lower-cased line that begin where a word begins, and at every character of a
+script that is written without spaces.  Lines with few word starts also have the
+shingles of ``shingle`` characters at every place; those decide where one of two
+lines has too few word starts.  Their hashes, sorted, are
 the line's MinHash order; the signature is the ``bottom`` least.  A band is a
 pair of hashes that are neighbours in that signature, so that one character
 shingle more or less shifts no other band.  With ``bottom`` 8 and Jaccard
@@ -14,9 +17,12 @@ the same way, block by block, so that every pair that shares a band is judged.
 One line of each component stays: the first by (document, position).
 
 Equal shingle sets are one line from the start, so copies never meet in a band.
+A line with too few word starts is not similar to one with twice
+``min_shingles`` of them or more.
 
 Defined results: null and empty texts have no lines to remove; lines with fewer
-than ``min_shingles`` distinct shingles are too short to judge and stay; a line
+than ``min_shingles`` distinct shingles of either kind are too short to judge and
+stay, copies too (below 16 characters with the defaults); a line
 repeated in one document stays once; rows with equal id and text are one
 document and get equal results; null ids count as one id; an empty table gives
 an empty result; other columns are not read.
@@ -31,11 +37,22 @@ from tiergraph.components import components
 from tiergraph.plans.shared import release, where_once, written
 
 BLOCK = 64
+#: Scripts without spaces: Thai, Lao, Myanmar, Khmer, kana, Han.
+DENSE = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
 
 
 def shingles(line: Column, shingle: int) -> Column:
     """Sorted distinct hashes of the character shingles of a line."""
-    found = F.regexp_extract_all(F.lower(line), F.lit(rf"(?<![\p{{L}}\p{{N}}])(?=([\p{{L}}\p{{N}}].{{0,{shingle - 1}}}))"), F.lit(1))
+    return _hashed(line, rf"(?:(?<![\p{{L}}\p{{N}}])|(?=[{DENSE}]))(?=([\p{{L}}\p{{N}}].{{0,{shingle - 1}}}))")
+
+
+def every_shingle(line: Column, shingle: int) -> Column:
+    """The same of all runs of ``shingle`` characters, wherever they begin."""
+    return _hashed(line, rf"(?=(.{{{shingle}}}))")
+
+
+def _hashed(line: Column, pattern: str) -> Column:
+    found = F.regexp_extract_all(F.lower(line), F.lit(pattern), F.lit(1))
     return F.sort_array(F.array_distinct(F.transform(found, lambda s: F.xxhash64(s))))
 
 
@@ -46,50 +63,58 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _occurrences(docs: DataFrame, shingle: int, bottom: int, min_shingles: int) -> DataFrame:
     lines = docs.select("_id", "_r", F.posexplode(F.split("_t", "\n")).alias("_pos", "_line"))
-    lines = where_once(lines.select("_id", "_r", "_pos", shingles(F.col("_line"), shingle).alias("_s")), F.size("_s") >= min_shingles)
-    return lines.select(
-        "_id",
-        "_r",
-        "_pos",
-        F.xxhash64("_s").alias("_k"),
-        # The upper halves keep the order and are enough for a band.
-        F.transform(F.slice("_s", 1, bottom), lambda h: F.shiftright(h, 32).cast("int")).alias("_sig"),
-    )
+    lines = _sets(lines, shingle, min_shingles, "_id", "_r", "_pos")
+    lines = where_once(lines, (F.size("_s") >= min_shingles) | (F.size("_e") >= min_shingles))
+    # The upper halves keep the order and are enough for a band.
+    least = lambda c: F.transform(F.slice(c, 1, bottom), lambda h: F.shiftright(h, 32).cast("int"))
+    return lines.select("_id", "_r", "_pos", F.xxhash64("_s", "_e").alias("_k"), least("_s").alias("_sig"), least("_e").alias("_esig"))
 
 
 def _sets(lines: DataFrame, shingle: int, min_shingles: int, *keys: str) -> DataFrame:
-    return lines.select(*keys, shingles(F.col("_line"), shingle).alias("_s"))
+    """``_s``: shingles at word starts; ``_e``: at every place, where these are few."""
+    lines = lines.select(*keys, "_line", shingles(F.col("_line"), shingle).alias("_s"))
+    every = F.when(F.size("_s") < 2 * min_shingles, every_shingle(F.col("_line"), shingle)).otherwise(F.array().cast("array<bigint>"))
+    return lines.select(*keys, "_s", every.alias("_e"))
 
 
 def _bands(lines: DataFrame) -> DataFrame:
-    neighbours = F.transform(F.sequence(F.lit(1), F.size("_sig") - 1), lambda i: F.xxhash64(F.get("_sig", i - 1), F.get("_sig", i)))
-    return lines.select("_k", F.explode(neighbours).alias("_band"))
+    def bands(c: str, *kind) -> Column:
+        pairs = F.transform(F.sequence(F.lit(1), F.size(c) - 1), lambda i: F.xxhash64(F.get(c, i - 1), F.get(c, i), *kind))
+        return F.when(F.size(c) > 1, pairs).otherwise(F.array().cast("array<bigint>"))
+
+    return lines.select("_k", F.explode(F.concat(bands("_sig"), bands("_esig", F.lit(1)))).alias("_band"))
 
 
-def _links(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+def _links(pairs: DataFrame, sets: DataFrame, threshold: float, min_shingles: int) -> DataFrame:
     """The pairs whose exact similarity is at least ``threshold``."""
-    both = pairs.join(sets.select(F.col("_k").alias("_a"), F.col("_s").alias("_sa")), "_a").join(sets.select(F.col("_k").alias("_b"), F.col("_s").alias("_sb")), "_b")
-    shared = F.size(F.array_intersect("_sa", "_sb"))
-    similar = (1 + threshold) * shared >= threshold * (F.size("_sa") + F.size("_sb")) - 1e-9
+    side = lambda x: sets.select(F.col("_k").alias(f"_{x}"), F.col("_s").alias(f"_s{x}"), F.col("_e").alias(f"_e{x}"))
+    both = pairs.join(side("a"), "_a").join(side("b"), "_b")
+
+    def alike(x: str, y: str) -> Column:
+        return (1 + threshold) * F.size(F.array_intersect(x, y)) >= threshold * (F.size(x) + F.size(y)) - 1e-9
+
+    long = F.least(F.size("_sa"), F.size("_sb")) >= min_shingles
+    similar = F.when(long, alike("_sa", "_sb")).otherwise((F.least(F.size("_ea"), F.size("_eb")) > 0) & alike("_ea", "_eb"))
     return both.where(similar).select(F.col("_a").alias("a"), F.col("_b").alias("b"))
 
 
-def _open_pairs(lines: DataFrame, sets: DataFrame, parts: DataFrame, threshold: float) -> DataFrame:
+def _open_pairs(lines: DataFrame, sets: DataFrame, parts: DataFrame, threshold: float, min_shingles: int) -> DataFrame:
     """(_a, _b): lines that share a band, are not in one component and are not
     too different in size.  The lines of a band, in the order of their components,
     fall into blocks; two blocks within one component do not meet."""
-    known = sets.select("_k", F.size("_s").alias("_n")).join(parts.withColumnRenamed("node", "_k"), "_k", "left")
-    known = known.select("_k", "_n", F.coalesce("component", "_k").alias("_g"))
+    known = sets.select("_k", F.size("_s").alias("_n"), F.size("_e").alias("_m")).join(parts.withColumnRenamed("node", "_k"), "_k", "left")
+    known = known.select("_k", "_n", "_m", F.coalesce("component", "_k").alias("_g"))
     rows = _bands(lines.join(known.select("_k"), "_k", "left_semi")).distinct().join(known, "_k")
     band = "partition by _band"
     rows = rows.selectExpr("*", f"min(_g) over ({band}) as _lo", f"max(_g) over ({band}) as _hi", f"row_number() over ({band} order by _g, _k) as _at").where("_lo <> _hi")
     blocks = rows.groupBy("_band", F.expr(f"(_at - 1) div {BLOCK}").alias("_block"))
-    blocks = blocks.agg(F.min("_g").alias("_lo"), F.max("_g").alias("_hi"), F.collect_list(F.struct("_k", "_n", "_g")).alias("_in"))
+    blocks = blocks.agg(F.min("_g").alias("_lo"), F.max("_g").alias("_hi"), F.collect_list(F.struct("_k", "_n", "_m", "_g")).alias("_in"))
     one, two = blocks.alias("x"), blocks.alias("y")
     met = one.join(two, F.expr("x._band = y._band and x._block <= y._block and not (x._lo = y._hi and x._hi = y._lo)"))
     # Dealt out again, so that the blocks of one band are compared in many tasks.
     met = met.selectExpr("x._band as _band", "x._block as _bx", "y._block as _by", "x._in as _x", "y._in as _y").repartition("_band", "_bx", "_by")
-    near = f"a._g <> b._g and least(a._n, b._n) >= {threshold} * greatest(a._n, b._n) - 1e-9"
+    close = lambda n: f"least(a.{n}, b.{n}) >= {threshold} * greatest(a.{n}, b.{n}) - 1e-9"
+    near = f"a._g <> b._g and if(least(a._n, b._n) >= {min_shingles}, {close('_n')}, {close('_m')})"
     found = met.selectExpr(f"explode(flatten(transform(_x, a -> transform(filter(_y, b -> {near}), b -> struct(least(a._k, b._k) as _a, greatest(a._k, b._k) as _b))))) as _p")
     return found.select("_p.*").distinct()
 
@@ -111,7 +136,7 @@ def line_decisions(
 
     # Without copies: each distinct line with its first place.
     first = F.min(F.struct("_id", "_r", "_pos")).alias("_first")
-    lines = written(occurrences.groupBy("_k").agg(first, F.min("_sig").alias("_sig")), "distinct")
+    lines = written(occurrences.groupBy("_k").agg(first, F.min("_sig").alias("_sig"), F.min("_esig").alias("_esig")), "distinct")
     release(spark)
 
     bands = _bands(lines)
@@ -130,12 +155,12 @@ def line_decisions(
     sets = texts.select(F.col("_at._k").alias("_k"), F.get("_l", F.col("_at._pos")).alias("_line"))
     sets = written(_sets(sets, shingle, min_shingles, "_k").dropDuplicates(["_k"]), "sets")
     release(spark)
-    links = written(_links(pairs, sets, threshold), "links")
+    links = written(_links(pairs, sets, threshold, min_shingles), "links")
     release(spark)
 
     # What is left: all pairs of a band whose lines are not in one component yet.
     parts = components(links)
-    more = written(_links(_open_pairs(lines, sets, parts, threshold), sets, threshold), "links")
+    more = written(_links(_open_pairs(lines, sets, parts, threshold, min_shingles), sets, threshold, min_shingles), "links")
     release(spark)
     if not more.isEmpty():
         parts = components(links.unionByName(more))
