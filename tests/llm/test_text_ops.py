@@ -165,6 +165,15 @@ def test_decontaminate(spark, docs, corpus, empty):
     assert decontaminate.decontaminate(docs, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("limit", [4000, 0])
+def test_decontaminate_with_null_ids(spark, limit):
+    item, other = "one two three four five six seven", "red green blue black white grey pink"
+    docs = spark.createDataFrame([(None, "so " + item), (None, "plain words that hold nothing at all"), (1, other)], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item), (None, other)], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.n_shared, r.n_item) for r in decontaminate.decontaminate(docs, bench, inline_sketch=limit).collect()}
+    assert got == {(None, 7, 3, 3), (1, None, 3, 3)}
+
+
 def test_line_dedup(spark, empty):
     base = "the quick brown fox jumps over the lazy dog while another lazy dog sleeps near the river bank and the old stone mill by the water where many small birds sing every morning of the long summer until today"
     near = base[:-5] + "again"

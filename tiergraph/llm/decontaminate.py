@@ -13,7 +13,7 @@ case and punctuation do not hide a copy.
 
 Defined results: null and empty texts, and texts or items with fewer words than
 a shingle, match nothing; rows with equal ids count once, with the best
-containment; an empty table on either side gives an empty result; other columns
+containment; null ids count as one id, of documents and of items; an empty table on either side gives an empty result; other columns
 are not read.
 """
 
@@ -83,9 +83,13 @@ def decontaminate(
         pairs = found.join(sketch, "_hash").select("_id", "_item", "_w").distinct()
     else:
         d = where_once(d, F.col("_h").isNotNull())
-        keys = d.select("_id", F.explode(F.array_distinct("_h")).alias("_hash")).join(sketch, "_hash")
-        pairs = keys.select("_id", "_item").distinct().join(d.select("_id", "_w"), "_id")
-    held = pairs.join(items.select("_item", "_is"), "_item").withColumn("_ds", shingle_strings("_w", shingle))
+        # Ids may be null or stand for several texts: the hash of the words tells them apart.
+        d = d.withColumn("_r", F.xxhash64("_w"))
+        keys = d.select("_id", "_r", F.explode(F.array_distinct("_h")).alias("_hash")).join(sketch, "_hash")
+        keys = keys.select(F.col("_id").alias("_pid"), F.col("_r").alias("_pr"), "_item").distinct()
+        pairs = keys.join(d, (F.col("_r") == F.col("_pr")) & F.col("_id").eqNullSafe(F.col("_pid"))).select("_id", "_item", "_w")
+    told = items.select(F.col("_item").alias("_pitem"), "_is")
+    held = pairs.join(told, F.col("_item").eqNullSafe(F.col("_pitem"))).withColumn("_ds", shingle_strings("_w", shingle))
     n_shared, n_item = F.size(F.array_intersect("_is", "_ds")), F.size("_is")
     out = held.select("_id", "_item", n_shared.alias("n_shared"), n_item.alias("n_item"))
     out = out.where(F.col("n_shared") >= F.ceil(F.col("n_item") * threshold - 1e-9))
