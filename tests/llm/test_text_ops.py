@@ -92,33 +92,57 @@ def _components(corpus, n, percent, lower=True):
     return sorted([(i is None, i or 0, len(s), i if not s else least.get(find(k))) for k, (i, s) in enumerate(sets)], key=str)
 
 
-@pytest.mark.parametrize(("n", "percent", "tile", "keep"), [(4, 85, 512, 1 << 16), (5, 80, 512, 0), (2, 60, 2, 1 << 16)])
-def test_ngram_jaccard(docs, corpus, empty, monkeypatch, n, percent, tile, keep):
+@pytest.mark.parametrize(("n", "percent", "tile", "block"), [(4, 85, 1 << 19, 1 << 20), (5, 80, 1 << 19, 50), (2, 60, 2, 1 << 20)])
+def test_ngram_jaccard(docs, corpus, empty, monkeypatch, n, percent, tile, block):
     monkeypatch.setattr(ngram_jaccard, "TILE", tile)
-    if not keep:
-        monkeypatch.setattr(ngram_jaccard, "common_grams", lambda *a, **k: np.zeros(0, np.uint64))
+    monkeypatch.setattr(ngram_jaccard, "BLOCK", block)
     got = ngram_jaccard.ngram_jaccard(docs, n=n, percent=percent).collect()
     assert sorted([(r.doc_id is None, r.doc_id or 0, r.n_shingles, r.component_id) for r in got], key=str) == _components(corpus, n, percent)
-    if tile == 512 and keep:
+    if tile > 2:
         assert ngram_jaccard.ngram_jaccard(empty).count() == 0
 
 
-def test_signatures_miss_no_pair():
-    """Any two sets that are similar enough share a signature."""
+@pytest.mark.parametrize("tile", [1 << 19, 64])
+def test_ngram_jaccard_of_families(spark, monkeypatch, tile):
+    """Families of edited copies around the threshold: some link with the base, some only with each other, most with nothing."""
+    monkeypatch.setattr(ngram_jaccard, "TILE", tile)
+    r = random.Random(12)
+    vocab = ["".join(r.choice("abcdefghijkl") for _ in range(5)) for _ in range(3000)]
+    texts = []
+    for family in range(4):
+        base = [r.choice(vocab) for _ in range(60 + 40 * family)]
+        for _ in range(40):
+            w = [x if r.random() > 0.02 * r.random() * (family + 1) else "edit" + str(r.randrange(60)) for x in base]
+            w = w[: len(w) - r.randrange(8)]
+            texts.append(" ".join(w) + " " + " ".join(vocab[:30]) * (r.random() < 0.3))
+    rows = list(enumerate(texts))
+    r.shuffle(rows)
+    got = ngram_jaccard.ngram_jaccard(spark.createDataFrame(rows_of(rows), SCHEMA), n=4, percent=85).collect()
+    want = _components(rows, 4, 85)
+    assert sorted([(False, r.doc_id, r.n_shingles, r.component_id) for r in got], key=str) == want
+    assert 20 < len({c for *_, c in want}) < 150
+
+
+def test_prefixes_miss_no_pair():
+    """Any two sets that are similar enough share an n-gram of their prefixes."""
     r = np.random.default_rng(1)
     for percent in (80, 85):
-        scheme = ngram_jaccard.Scheme(percent)
         for _ in range(300):
             n = int(r.integers(1, 400))
             a = np.unique(r.integers(0, 1 << 63, n, dtype=np.uint64))
             cut = int(len(a) * (100 - percent) / (100 + percent))
             b = np.unique(np.concatenate((a[int(r.integers(0, cut + 1)) :], r.integers(0, 1 << 63, int(r.integers(0, cut + 1)), dtype=np.uint64))))
-            shared = len(np.intersect1d(a, b))
-            if 100 * shared < percent * (len(a) + len(b) - shared) or len(b) == len(a) == shared:
+            both = np.intersect1d(a, b)
+            if 100 * len(both) < percent * (len(a) + len(b) - len(both)):
                 continue
-            common = np.sort(a[: int(r.integers(0, len(a) + 1))]) if r.random() < 0.5 else np.zeros(0, np.uint64)
-            sig, doc = ngram_jaccard.signatures(scheme, np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)]), np.ones(2, bool), common)
-            assert set(sig[doc == 0].tolist()) & set(sig[doc == 1].tolist()), (len(a), len(b), shared)
+            more = np.concatenate((both, a[r.random(len(a)) < 0.3], b[r.random(len(b)) < 0.3]))  # a third set has these
+            level = {int(g): int(r.integers(4, 40)) for g in np.unique(more)}
+            heads = []
+            for s in (a, b):
+                own = np.array([g for g in s if int(g) in level], np.uint64)
+                assert len(own) >= -(-len(s) * percent // 100)
+                heads.append(set(ngram_jaccard.prefix(own, np.array([level[int(g)] for g in own], np.uint8), len(s), percent).tolist()))
+            assert heads[0] & heads[1], (len(a), len(b), len(both))
 
 
 def test_substring_dedup(docs, corpus, empty):

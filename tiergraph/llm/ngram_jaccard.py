@@ -1,30 +1,35 @@
 """Documents that are near duplicates by the Jaccard similarity of word n-grams.
 
-Two sets A and B with similarity t or more differ in at most
-``(1 - t) / (1 + t) * (|A| + |B|)`` n-grams.  Sizes are cut into bands; a band's
-scheme deals n-grams into ``m`` parts by hash, with ``m`` so much above that
-bound that two similar sets must have an equal part that is not trivial.  The
-hash of such a part is a signature; a document has signatures in the scheme of
-its own band and of the bands of smaller partners.  N-grams that very many
-documents share are left out of the parts, as that only lessens the difference.  Linked documents
-share one, and a passage that many documents share makes few of them equal.
-
-Every class has a hashed bitmap of its set, of twice as many bits as n-grams or
-more.  For two sets, the bits that only one has give an upper bound of the
-overlap from bit counts alone.  Pairs that pass it are verified by the exact
-intersection of sorted arrays:
-
-1. In each group of documents with one signature the others meet some pivots;
-   each document verifies its least partner that passes the bound, and then
-   those others that would still join something.
-2. Groups that are still in several components are cut, ordered by size, into
-   tiles.  In a tile all pairs across components are bounded, and those that
-   pass leave it to be verified.  Pairs inside one component need no look, so a
-   group of copies costs a row for each, and no pair is left out that a
-   link could join.
+A document can only be similar to another set if few of its n-grams are its own:
+with similarity t or more, at least t of them occur in a second document.  So the
+n-grams are counted first:
+
+1. Every partition deals its texts into blocks, and sends the n-grams of each
+   block, once each with the number of texts that hold them, to a shard by hash.
+   A shard answers each block with those of its n-grams that two or more texts of
+   the corpus hold, and how many.  A block asks once, however many of its texts
+   hold an n-gram, and no table of all n-grams exists in one place.  (Within a
+   shard n-grams are told apart by 32 bits; a mix-up only makes one look shared.)
+2. With the answers each block finds the documents that can be similar to others
+   and their prefixes: of n-grams ordered from the rarest to the most common, the
+   first ``n - ceil(t * n) + 1``.  Two similar sets share an n-gram of their prefixes.
+   Everything below works on these documents and their shared n-grams alone.
+3. In each group of documents with one prefix n-gram the others meet a pivot, the
+   member with the fewest n-grams of its own; a link joins components.
+4. Groups that overlap are one cluster.  Clusters that are still in several
+   components are cut into size bands, and these into tiles of a bounded number
+   of n-grams.  Tiles of a band meet each other and those of the next band, but two
+   tiles within the largest component do not meet.  So no pair is left out that
+   a link could join, and a group of copies costs a row for each.
+
+In a tile, and for pivots, every document has a hashed bitmap of its shared
+n-grams.  The bits that only one of two documents has bound the overlap from
+above, by bit counts alone; pairs that pass are verified by the exact
+intersection of sorted arrays.  A tile returns only links that join components,
+less than it has documents.
 
 Equal sets are one class from the start (by a 64-bit hash of the set), so exact
-copies cost one row each.
+copies cost one row each.  N-grams are told apart by 64-bit hashes.
 
 Defined results: null texts and texts without words have no n-grams and are
 their own component; texts with fewer than ``n`` words have their whole word
@@ -35,54 +40,22 @@ read.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tiergraph.components import components
-from tiergraph.llm._bitmap import bitmap, holds
-from tiergraph.llm._pack import BLOBS, batch, dealt, pack, unpack, unpack_all
+from tiergraph.llm._pack import pack, unpack
 from tiergraph.llm._words import U, Chunk, chunks, mix, powers, windows
 from tiergraph.plans.shared import release, written
 
-BLOCK = 1 << 20
-TILE = 512
-PIVOTS = 32
+BLOCK = 1 << 20  # n-grams and texts of a block
+TILE = 1 << 19  # n-grams of a tile
 NO_ID = np.iinfo(np.int64).max
 _SHORT = 0xA0761D6478BD642F
-
-
-class Scheme:
-    """Size bands and their parts, for a similarity of percent / 100."""
-
-    def __init__(self, percent: int, largest: int = 1 << 40):
-        edges = [1]
-        while edges[-1] < largest:
-            edges.append(max(edges[-1] + 1, edges[-1] * 10_000 // percent**2))
-        self.percent, self.edges = percent, np.array(edges)
-        self.parts, self.trivial, self.spare = [], [], []
-        for low, high in zip(edges, edges[1:], strict=False):
-            a = high - 1
-            differ = (a + a * 100 // percent) * (100 - percent) // (100 + percent)
-            trivial = 1 if low >= 64 else 0  # a part of so many n-grams says too little
-            m = differ + 1
-            for _ in range(40):
-                mean = low / m
-                p = math.exp(-mean) * (1 + mean * trivial)
-                spare = math.ceil(m * p + 3 * math.sqrt(m * p)) + 1
-                if differ + 1 + spare <= m:
-                    break
-                m = differ + 1 + spare
-            self.parts.append(m if differ else 0)
-            self.trivial.append(trivial)
-            self.spare.append(m - differ - 1)
-        self.parts, self.trivial, self.spare = map(np.array, (self.parts, self.trivial, self.spare))
-
-    def band(self, sizes: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.edges, sizes, "right") - 1
+_LOW = U(0xFFFFFFFF)
 
 
 def shingle_sets(chunk: Chunk, n: int, lower: bool) -> tuple[np.ndarray, np.ndarray]:
@@ -109,116 +82,98 @@ def classes(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(U))
 
 
-def _parts(scheme: Scheme, grams: np.ndarray, at: np.ndarray, docs: np.ndarray, band: np.ndarray, tag: int):
-    """Signatures of the parts that say enough, the place in ``docs`` of each, and
-    how many parts of each document say too little."""
-    m, count = scheme.parts[band], np.diff(at)[docs]
-    row = np.repeat(np.arange(len(docs)), count)
-    item = grams[np.arange(count.sum()) + np.repeat(at[docs] - np.concatenate(([0], np.cumsum(count)[:-1])), count)]
-    base = np.concatenate(([0], np.cumsum(m)))
-    part = base[row] + ((item >> U(33)) % m[row].astype(U)).astype(np.int64)
-    load = np.bincount(part, minlength=base[-1])
-    total = np.zeros(base[-1], U)
-    np.add.at(total, part, mix(item + U(11)))
-    doc = np.repeat(np.arange(len(docs)), m)
-    kept = np.flatnonzero(load > scheme.trivial[band][doc])
-    number = np.arange(base[-1]) - base[doc]
-    name = band[doc[kept]].astype(U) << U(32) | number[kept].astype(U) << U(2) | U(tag)
-    return mix(total[kept] + mix(name)), doc[kept], m - np.bincount(doc[kept], minlength=len(docs))
-
-
-def signatures(scheme: Scheme, grams: np.ndarray, at: np.ndarray, use: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(signature, text) for the texts in ``use``.
-
-    N-grams in ``common`` are left out first: without them sets differ in no more
-    n-grams than before.  Texts that then have too many parts that say too
-    little get signatures of their whole sets too, to meet others of their kind;
-    and one more if even that is too little."""
-    sizes = np.diff(at)
-    out_s, out_d = [], []
-    own = scheme.band(np.maximum(sizes, 1))
-    least = scheme.band(np.maximum(-(-sizes * scheme.percent // 100), 1))
-    rare = np.ones(len(grams), bool)
-    if len(common):
-        rare = common[np.minimum(np.searchsorted(common, grams), len(common) - 1)] != grams
-    rare_at = np.concatenate(([0], np.cumsum(rare)))[at]
-    rare_grams = grams[rare]
-    for below in range(int((own - least).max(initial=0)) + 1):
-        docs = np.flatnonzero(use & (own - below >= least) & (sizes > 0))
-        docs = docs[scheme.parts[own[docs] - below] > 0]
-        for tag, (g, x) in enumerate(((rare_grams, rare_at), (grams, at))):
-            if not len(docs):
-                break
-            band = own[docs] - below
-            sig, doc, weak = _parts(scheme, g, x, docs, band, tag)
-            out_s.append(sig)
-            out_d.append(docs[doc])
-            docs = docs[weak > scheme.spare[band]]
-        if len(docs):
-            out_s.append(mix((own[docs] - below).astype(U) + U(0xE7037ED1A0B428DB)))
-            out_d.append(docs)
-    if not out_s:
-        return np.zeros(0, U), np.zeros(0, np.int64)
-    return np.concatenate(out_s), np.concatenate(out_d)
-
-
-def _often(n: int, lower: bool, shards: int, least: int):
-    """N-grams that ``least`` texts or more of a part of a partition have, with how many."""
+def _shard(grams: np.ndarray, shards: int) -> np.ndarray:
+    return (grams >> U(32)) * U(shards) >> U(32)
+
+
+def _first(values: np.ndarray) -> np.ndarray:
+    """Whether each value is the first of its kind."""
+    out = np.zeros(len(values), bool)
+    out[np.unique(values, return_index=True)[1]] = True
+    return out
+
+
+DEALT = "shard int, block long, data binary"
+
+
+def _dealt(n: int, lower: bool, shards: int):
+    """For each block a row with its texts (shard -1) and a row for each shard with its n-grams."""
 
     def run(batches):
-        held, size = [], 0
+        base, held, rows, size, number = TaskContext.get().partitionId() << 32, [], [], 0, 0
 
         def flush():
-            value, count = np.unique(np.concatenate(held), return_counts=True)
-            value, count = value[count >= least], count[count >= least]
-            return batch([(k, pack(*c)) for k, c in dealt((value >> U(32)).astype(np.int64) * shards >> 32, shards, value, count)])
+            texts = pa.Table.from_batches(rows).combine_chunks()
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, texts.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                out.write_table(texts)
+            grams, count = np.unique(np.concatenate(held), return_counts=True)
+            cut = np.searchsorted(_shard(grams, shards), np.arange(shards + 1).astype(U))
+            low = (grams & _LOW).astype(np.uint32)
+            key, data = [-1], [sink.getvalue().to_pybytes()]
+            for s in np.flatnonzero(np.diff(cut)).tolist():
+                value, times = low[cut[s] : cut[s + 1]], count[cut[s] : cut[s + 1]]
+                order = np.argsort(value, kind="stable")
+                value, times = value[order], times[order]
+                key.append(s)
+                data.append(pack(np.diff(value, prepend=np.uint32(0)), times.astype(np.uint32)))
+            return pa.RecordBatch.from_arrays([pa.array(key, pa.int32()), pa.array(np.full(len(key), base + number)), pa.array(data, pa.binary())], ["shard", "block", "data"])
 
         for b in batches:
-            for chunk in chunks(b.column(0)):
-                held.append(shingle_sets(chunk, n, lower)[0])
-                size += len(held[-1])
-                if size >= 4 * BLOCK:
+            ids, texts = b.column(0).cast(pa.int64()), b.column(1)
+            for chunk in chunks(texts):
+                grams, at = shingle_sets(chunk, n, lower)
+                fresh = _first(classes(grams, at))
+                held.append(grams[np.repeat(fresh, np.diff(at))])
+                rows.append(pa.RecordBatch.from_arrays([ids.slice(chunk.first, chunk.n), texts.slice(chunk.first, chunk.n)], ["id", "text"]))
+                size += len(grams) + chunk.n
+                if size >= BLOCK:
                     yield flush()
-                    held, size = [], 0
+                    held, rows, size, number = [], [], 0, number + 1
         if size:
             yield flush()
 
     return run
 
 
-def _most(keep: int):
-    def run(table: pa.Table) -> pa.Table:
-        value, count = unpack_all(x.as_py() for x in table.column("blob"))
-        value, back = np.unique(value, return_inverse=True)
-        count = np.bincount(back, count).astype(np.int64)
-        top = np.argsort(-count, kind="stable")[:keep]
-        return pa.Table.from_batches([batch([(table.column("key")[0].as_py(), pack(value[top], count[top]))])])
+ANSWERS = "shard int, block long, data binary"
+
+
+def _answers(table: pa.Table) -> pa.Table:
+    """For each block its n-grams that two or more texts hold, with four times the
+    logarithm of how many."""
+    shard, blocks, parts = table.column("shard")[0].as_py(), table.column("block").to_pylist(), [unpack(x.as_py()) for x in table.column("data")]
+    value = np.concatenate([np.cumsum(p[0], dtype=np.uint32) for p in parts])
+    count = np.concatenate([p[1] for p in parts])
+    kind, back = np.unique(value, return_inverse=True)
+    total = np.bincount(back, count, len(kind))
+    level = np.where(total >= 2, np.minimum(4 * np.log2(total), 255), 0).astype(np.uint8)[back]
+    edge = np.cumsum([0, *(len(p[0]) for p in parts)])
+    out = []
+    for block, x, y in zip(blocks, edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+        shared = np.flatnonzero(level[x:y]) + x
+        if len(shared):
+            out.append((block, pack(value[shared], level[shared])))
+    return pa.table({"shard": pa.array([shard] * len(out), pa.int32()), "block": pa.array([x[0] for x in out], pa.int64()), "data": pa.array([x[1] for x in out], pa.binary())})
 
-    return run
 
+def prefix(grams: np.ndarray, level: np.ndarray, size: int, percent: int) -> np.ndarray:
+    """Of a set of ``size`` n-grams, of which ``grams`` are shared, those of the prefix.
 
-def common_grams(texts: DataFrame, n: int, lower: bool, shards: int, keep: int = 1 << 16, least: int = 3) -> np.ndarray:
-    """The n-grams of the most texts, ``keep`` at most, sorted. What is in it decides how
-    much work is done, and not what is found."""
-    found = texts.mapInArrow(_often(n, lower, shards, least), BLOBS).groupBy("key").applyInArrow(_most(keep // shards + 1), BLOBS)
-    parts = [unpack(bytes(r.blob)) for r in found.collect()]
-    value, count = (np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, t) for i, t in ((0, U), (1, np.int64)))
-    return np.sort(value[np.argsort(-count, kind="stable")[:keep]])
+    The n-grams that are not shared come first in the order and meet nothing."""
+    least = -(-size * percent // 100)
+    return grams[np.lexsort((grams, level))[: max(0, len(grams) - least + 1)]]
 
 
 def width(sizes: np.ndarray) -> np.ndarray:
-    """Bits of the bitmap of a set of each size: powers of two."""
-    return 1 << np.clip(np.ceil(np.log2(np.maximum(2 * sizes, 1))).astype(np.int64), 9, 14)
+    """Bits of the bitmap of a set of each size: powers of two, four times the size or more."""
+    return 1 << np.clip(np.ceil(np.log2(np.maximum(4 * sizes, 1))).astype(np.int64), 9, 16)
 
 
-def bitmaps(grams: np.ndarray, at: np.ndarray) -> list[bytes]:
-    sizes = np.diff(at)
-    bits = width(sizes)
-    base = np.concatenate(([0], np.cumsum(bits)))
-    flags = np.zeros(base[-1], bool)
-    flags[np.repeat(base[:-1], sizes) + ((grams >> U(20)) & np.repeat(bits - 1, sizes).astype(U)).astype(np.int64)] = True
-    whole, edge = np.packbits(flags, bitorder="little").tobytes(), (base >> 3).tolist()
-    return [whole[x:y] for x, y in zip(edge, edge[1:], strict=False)]
+def bitmap(grams: np.ndarray) -> bytes:
+    flags = np.zeros(int(width(np.array(len(grams)))), bool)
+    flags[(grams >> U(20) & U(len(flags) - 1)).astype(np.int64)] = True
+    return np.packbits(flags, bitorder="little").tobytes()
 
 
 def folded(maps: list[bytes]) -> np.ndarray:
@@ -231,102 +186,68 @@ def folded(maps: list[bytes]) -> np.ndarray:
     return out
 
 
-def may_link(size_a, map_a: np.ndarray, size_b, map_b: np.ndarray, percent: int) -> np.ndarray:
-    """Whether the upper bound of the overlap, from bit counts, allows a link."""
-    need = -(-(size_a + size_b) * percent // (100 + percent))
-    most_a = size_a - np.bitwise_count(map_a & ~map_b).sum(-1, dtype=np.int64)
-    most_b = size_b - np.bitwise_count(map_b & ~map_a).sum(-1, dtype=np.int64)
+def may_link(n_a, shared_a, map_a: np.ndarray, n_b, shared_b, map_b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the upper bound of the overlap, from bit counts, allows a link.
+
+    n: sizes of the sets; shared: how many of their n-grams the bitmaps hold."""
+    need = -(-(n_a + n_b) * percent // (100 + percent))
+    most_a = shared_a - np.bitwise_count(map_a & ~map_b).sum(-1, dtype=np.int64)
+    most_b = shared_b - np.bitwise_count(map_b & ~map_a).sum(-1, dtype=np.int64)
     return np.minimum(most_a, most_b) >= need
 
 
-def linked(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
-    """Exact intersection of two sorted arrays."""
+def linked(a: np.ndarray, n_a: int, b: np.ndarray, n_b: int, percent: int) -> bool:
+    """Exact intersection of two sorted arrays, of sets of n_a and n_b n-grams."""
+    if not len(a) or not len(b):
+        return False
     spot = np.searchsorted(b, a)
     spot[spot == len(b)] = 0
     shared = int((b[spot] == a).sum())
-    return 100 * shared >= percent * (len(a) + len(b) - shared)
-
-
-def _signed(percent: int, n: int, lower: bool, shards: int, common):
-    def run(batches):
-        scheme, held, docs, maps, size, seen = Scheme(percent), [], [], [], 0, set()
-        shard = lambda x: (x >> U(32)).astype(np.int64) * shards >> 32
-
-        def flush():
-            sig, fp = (np.concatenate(c) for c in zip(*held, strict=True))
-            rows = [(k, pack(*c)) for k, c in dealt(shard(sig), shards, sig, fp)]
-            ids, fp, count = (np.concatenate(c) for c in zip(*docs, strict=True))
-            rows += [(shards + k, pack(*c)) for k, c in dealt(shard(fp), shards, ids, fp, count)]
-            fp, count, bits = np.array([m[0] for m in maps], U), np.array([m[1] for m in maps], np.int64), [m[2] for m in maps]
-            for k, (own, c, i) in dealt(shard(fp), shards, fp, count, np.arange(len(fp))):
-                flat = np.frombuffer(b"".join(bits[j] for j in i.tolist()), np.uint8)
-                rows += [(2 * shards + k, pack(own, c)), (2 * shards + k, pack(flat))]
-            return batch(rows)
-
-        for b in batches:
-            ids = b.column(0).cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
-            for chunk in chunks(b.column(1)):
-                grams, at = shingle_sets(chunk, n, lower)
-                fp = classes(grams, at)
-                docs.append((ids[chunk.first : chunk.first + chunk.n], fp, np.diff(at)))
-                use = np.array([not (x in seen or seen.add(x)) for x in fp.tolist()], bool) & (np.diff(at) > 0)
-                sig, doc = signatures(scheme, grams, at, use, common.value)
-                held.append((sig, fp[doc]))
-                maps += [x for x, u in zip(zip(fp.tolist(), np.diff(at).tolist(), bitmaps(grams, at), strict=True), use.tolist(), strict=True) if u]
-                size += len(sig) + chunk.n
-                if size >= BLOCK:
-                    yield flush()
-                    held, docs, maps, size, seen = [], [], [], 0, set()
-        if docs:
-            yield flush()
+    return 100 * shared >= percent * (n_a + n_b - shared)
 
-    return run
 
+MET = "kind int, k long, n long, data binary, map binary, prefix array<long>"
+DOCS, CLASS = 0, 1
 
-MET = "kind int, a long, b long, members array<long>, data binary"
-EDGE, GROUP, DOCS, CLASS = range(4)
 
+def _met(n: int, percent: int, lower: bool, shards: int):
+    """Of a block and its answers: the class and size of every text, and the classes
+    that may be similar to others with their shared n-grams, bitmaps and prefixes."""
 
-def _rows(kind: int, n: int, a=None, b=None, members=None, data=None) -> pa.Table:
-    none = lambda x, t: pa.nulls(n, t) if x is None else pa.array(x, t)
-    return pa.table({"kind": pa.array(np.full(n, kind, np.int32)), "a": none(a, pa.int64()), "b": none(b, pa.int64()), "members": none(members, pa.list_(pa.int64())), "data": none(data, pa.binary())})
+    def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
+        parts = [(s, *unpack(x)) for s, x in sorted(zip(answers.column("shard").to_pylist(), answers.column("data").to_pylist(), strict=True))]
+        known = np.concatenate([np.zeros(0, U), *(U(s << 32) | v.astype(U) for s, v, _ in parts)])
+        rank = np.concatenate([np.zeros(0, np.uint8), *(x[2] for x in parts)])
+        out = {c: [] for c in ("kind", "k", "n", "data", "map", "prefix")}
+        seen = set()
 
+        def add(*row):
+            for c, x in zip(out.values(), row, strict=True):
+                c.append(x)
 
-def _met(shards: int, percent: int):
-    """Of a shard's signatures: edges from some pivots of each group to the others,
-    and the groups of three and more; of its documents, what they came with."""
-
-    def run(table: pa.Table) -> pa.Table:
-        blobs, kind = [x.as_py() for x in table.column("blob")], table.column("key")[0].as_py() // shards
-        if kind == 1:
-            return _rows(DOCS, 1, data=[pack(*unpack_all(blobs))])
-        if kind == 2:
-            found = {}
-            parts = [unpack(x) for x in blobs]
-            for (fp, count), (flat,) in zip([x for x in parts if len(x) == 2], [x for x in parts if len(x) == 1], strict=True):
-                edge = np.concatenate(([0], np.cumsum(width(count) >> 3)))
-                found |= {f: (c, flat[x:y].tobytes()) for f, c, x, y in zip(fp.view(np.int64).tolist(), count.tolist(), edge[:-1].tolist(), edge[1:].tolist(), strict=True)}
-            return _rows(CLASS, len(found), list(found), [x[0] for x in found.values()], data=[x[1] for x in found.values()])
-        sig, fp = unpack_all(blobs)
-        order = np.lexsort((fp, sig))
-        sig, fp = sig[order], fp[order]
-        new = np.ones(len(sig), bool)
-        new[1:] = (sig[1:] != sig[:-1]) | (fp[1:] != fp[:-1])
-        sig, fp = sig[new], fp[new].view(np.int64)
-        at = np.append(np.flatnonzero(np.append(True, sig[1:] != sig[:-1])), len(sig)) if len(sig) else np.zeros(1, int)
-        size = np.diff(at)
-        many = size >= 2
-        start, size = at[:-1][many], size[many]
-        pairs = []
-        for pivot in (0, 0.5, 1):  # large groups get three
-            use = size > (1 if pivot == 0 else PIVOTS)
-            head = fp[(start + (pivot * (size - 1)).astype(int))[use]]
-            rows = np.repeat(start[use] - np.cumsum(size[use]) + size[use], size[use]) + np.arange(size[use].sum())
-            a, b = np.repeat(head, size[use]), fp[rows]
-            pairs.append(np.stack((np.minimum(a, b), np.maximum(a, b)), 1)[a != b])
-        pairs = np.unique(np.concatenate(pairs), axis=0)
-        groups = {fp[x : x + n].tobytes() for x, n in zip(start[size > 2].tolist(), size[size > 2].tolist(), strict=True)}
-        return pa.concat_tables([_rows(EDGE, len(pairs), pairs[:, 0], pairs[:, 1]), _rows(GROUP, len(groups), members=[np.frombuffer(x, np.int64) for x in sorted(groups)])])
+        for data in texts.column("data").to_pylist():
+            block = pa.ipc.open_stream(data).read_all().combine_chunks()
+            ids = block.column("id").combine_chunks().fill_null(NO_ID).to_numpy(zero_copy_only=False)
+            for chunk in chunks(block.column("text")):
+                grams, at = shingle_sets(chunk, n, lower)
+                size, fp = np.diff(at), classes(grams, at)
+                add(DOCS, None, None, pack(ids[chunk.first : chunk.first + chunk.n], fp, size), None, None)
+                level = np.zeros(len(grams), np.uint8)
+                if len(known):
+                    asked = _shard(grams, shards) << U(32) | grams & _LOW
+                    spot = np.minimum(np.searchsorted(known, asked), len(known) - 1)
+                    level = np.where(known[spot] == asked, rank[spot], 0)
+                shared = np.concatenate(([0], np.cumsum(level > 0)))
+                shared = shared[at[1:]] - shared[at[:-1]]
+                for i in np.flatnonzero((size > 0) & (shared >= -(-size * percent // 100))).tolist():
+                    if (key := int(fp[i])) in seen:
+                        continue
+                    seen.add(key)
+                    own = np.flatnonzero(level[at[i] : at[i + 1]]) + at[i]
+                    g = grams[own]
+                    add(CLASS, int(fp[i : i + 1].view(np.int64)[0]), int(size[i]), g.tobytes(), bitmap(g), prefix(g, level[own], int(size[i]), percent).view(np.int64))
+        kinds = (pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()))
+        return pa.table({c: pa.array(x, t) for (c, x), t in zip(out.items(), kinds, strict=True)})
 
     return run
 
@@ -335,162 +256,117 @@ def _docs_of(batches):
     for b in batches:
         for blob in b.column(0):
             ids, fp, count = unpack(blob.as_py())
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=ids == NO_ID), pa.array(fp.view(np.int64)), pa.array(count)], ["_id", "_k", "_n"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64(), mask=ids == NO_ID), pa.array(fp.view(np.int64)), pa.array(count.astype(np.int64))], ["_id", "_k", "_n"])
 
 
-def _sets(n: int, lower: bool, wanted):
-    def run(batches):
-        found, seen = np.frombuffer(wanted.value, np.uint8), set()
-        for b in batches:
-            for chunk in chunks(b.column(0)):
-                grams, at = shingle_sets(chunk, n, lower)
-                fp = classes(grams, at)
-                pick = [i for i in np.flatnonzero(holds(found, fp) & (np.diff(at) > 0)).tolist() if not (fp[i] in seen or seen.add(fp[i]))]
-                if len(seen) > BLOCK:
-                    seen.clear()
-                yield pa.RecordBatch.from_arrays([pa.array(fp[pick].view(np.int64)), pa.array([grams[at[i] : at[i + 1]].tobytes() for i in pick], pa.binary())], ["_k", "_set"])
-
-    return run
+def _array(x) -> np.ndarray:
+    return np.frombuffer(x.as_buffer(), U)
 
 
-def _bounded(percent: int):
-    """Pairs with the sizes and bitmaps of both: those that may be links."""
+def _verified(percent: int):
+    """Of pairs (a, b, sizes, bitmaps, sets): the links."""
 
     def run(batches):
         for b in batches:
-            na, nb = (b.column(i).to_numpy() for i in (2, 3))
-            keep = np.flatnonzero(100 * np.minimum(na, nb) >= percent * np.maximum(na, nb))
-            maps = [b.column(i).to_pylist() for i in (4, 5)]
-            ok = [i for i in keep.tolist() if may_link(na[i], (m := folded([maps[0][i], maps[1][i]]))[0], nb[i], m[1], percent)]
-            yield b.select(["a", "b"]).take(pa.array(ok, pa.int64()))
-
-    return run
-
-
-def _exact(percent: int):
-    def run(batches):
-        for b in batches:
-            ok = [i for i, (x, y) in enumerate(zip(b.column(2), b.column(3), strict=True)) if linked(np.frombuffer(x.as_buffer(), U), np.frombuffer(y.as_buffer(), U), percent)]
+            ok = []
+            for i, (n, m, p, q, x, y) in enumerate(zip(*(b.column(c).to_pylist() for c in (2, 3, 4, 5)), b.column(6), b.column(7), strict=True)):
+                x, y = _array(x), _array(y)
+                one, two = folded([p, q])
+                if may_link(n, len(x), one, m, len(y), two, percent) and linked(x, n, y, m, percent):
+                    ok.append(i)
             yield b.select(["a", "b"]).take(pa.array(ok, pa.int64()))
 
     return run
 
 
 def _tile(percent: int):
-    """Of each tile: the pairs across components that may be links."""
+    """Of a tile: links that join components, as few as do."""
 
     def run(table: pa.Table) -> pa.Table:
-        tile = table.column("_tile").to_numpy()
-        order = np.argsort(tile, kind="stable")
-        column = {c: table.column(c).to_numpy() for c in ("_k", "_c", "_n", "_side")}
-        maps, a, b = table.column("_map"), [], []
-        for rows in np.split(order, np.flatnonzero(np.diff(tile[order])) + 1):
-            rows = rows[np.argsort(column["_n"][rows], kind="stable")]
-            k, c, n, side = (column[x][rows] for x in ("_k", "_c", "_n", "_side"))
-            m = folded([maps[int(i)].as_py() for i in rows])
-            for i in range(len(rows) - 1):
-                end = int(np.searchsorted(n, n[i] * 100 // percent, "right"))
-                j = np.arange(i + 1, end)
-                # Sides: 0 for both blocks in one, else 1 meets 2.
-                j = j[(c[j] != c[i]) & ((side[i] == 0) | (side[j] != side[i]))]
-                if len(j):
-                    j = j[may_link(n[i], m[i], n[j], m[j], percent)]
-                    a += np.minimum(k[i], k[j]).tolist()
-                    b += np.maximum(k[i], k[j]).tolist()
+        n = table.column("_n").to_numpy()
+        order = np.argsort(n, kind="stable")
+        n, k, side = n[order], table.column("_k").to_numpy()[order], table.column("_side").to_numpy()[order]
+        _, c = np.unique(table.column("_c").to_numpy()[order], return_inverse=True)
+        data, maps = table.column("_data").combine_chunks(), table.column("_map").combine_chunks()
+        sets = [_array(data[i]) for i in order.tolist()]
+        m, shared = folded([maps[i].as_py() for i in order.tolist()]), np.array(list(map(len, sets)))
+        a, b = [], []
+        for i in range(len(n) - 1):
+            j = np.arange(i + 1, int(np.searchsorted(n, n[i] * 100 // percent, "right")))
+            # Sides: 0 where a tile meets itself, else 1 meets 2.
+            j = j[(c[j] != c[i]) & ((side[i] == 0) | (side[j] != side[i]))]
+            if len(j):
+                j = j[may_link(n[i], shared[i], m[i], n[j], shared[j], m[j], percent)]
+            for x in j.tolist():
+                if c[x] != c[i] and linked(sets[i], int(n[i]), sets[x], int(n[x]), percent):
+                    a.append(int(k[i]))
+                    b.append(int(k[x]))
+                    c[c == c[x]] = c[i]
         return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
 
-class _Join:
-    """What the rounds share: the texts, the classes with their bitmaps, the parameters."""
-
-    def __init__(self, texts: DataFrame, classes: DataFrame, n: int, percent: int, lower: bool, bins: int):
-        self.texts, self.classes, self.n, self.percent, self.lower, self.bins = texts, classes, n, percent, lower, bins
-
-    def bounded(self, pairs: DataFrame) -> DataFrame:
-        c = self.classes
-        both = pairs.join(c.select(F.col("_k").alias("a"), F.col("_n").alias("na"), F.col("_map").alias("ma")), "a")
-        both = both.join(c.select(F.col("_k").alias("b"), F.col("_n").alias("nb"), F.col("_map").alias("mb")), "b")
-        return both.select("a", "b", "na", "nb", "ma", "mb").mapInArrow(_bounded(self.percent), "a long, b long")
-
-    def verified(self, pairs: DataFrame) -> DataFrame:
-        """The links among the pairs, a written table."""
-        spark = pairs.sparkSession
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("_k")).distinct()
-        bits = min(30, max(16, (16 * ends.count()).bit_length()))
-        wanted = spark.sparkContext.broadcast(bitmap(ends, bits))
-        sets = self.texts.mapInArrow(_sets(self.n, self.lower, wanted), "_k long, _set binary").dropDuplicates(["_k"])
-        sets = written(sets.join(ends, "_k", "left_semi"), "sets")
-        both = pairs.join(sets.withColumnsRenamed({"_k": "a", "_set": "sa"}), "a").join(sets.withColumnsRenamed({"_k": "b", "_set": "sb"}), "b")
-        out = written(both.select("a", "b", "sa", "sb").mapInArrow(_exact(self.percent), "a long, b long"), "links")
-        release(spark)
-        return out
-
-    def across(self, groups: DataFrame, part: DataFrame) -> DataFrame:
-        """Pairs across components that may be links, from the tiles of the groups."""
-        rows = groups.select(F.xxhash64("members").alias("_g"), "members").dropDuplicates(["_g"]).select("_g", F.explode("members").alias("_k"))
-        rows = rows.join(part, "_k", "left").withColumn("_c", F.coalesce("_c", "_k"))
-        open_ = rows.groupBy("_g").agg(F.count("*").alias("_size"), F.min("_c").alias("_lo"), F.max("_c").alias("_hi")).where("_lo <> _hi")
-        rows = written(rows.join(open_.select("_g", "_size"), "_g").join(self.classes, "_k"), "open")
-        tiles = rows.where(F.col("_size") <= TILE).select(F.col("_g").alias("_tile"), "_k", "_c", "_n", "_map", F.lit(0).alias("_side"))
-        large = rows.where(F.col("_size") > TILE)
-        if large.limit(1).count():
-            # Blocks by size; only those with documents outside the largest component meet all others.
-            place = F.row_number().over(Window.partitionBy("_g").orderBy("_n", "_k")) - 1
-            large = written(large.withColumn("_block", F.floor(place / TILE)), "large")
-            count = large.groupBy("_g", "_c").count()
-            main = count.groupBy("_g").agg(F.max_by("_c", F.struct("count", "_c")).alias("_main"))
-            span = large.join(main, "_g").groupBy("_g", "_block").agg(F.min("_n").alias("_lo"), F.max("_n").alias("_hi"), F.max(F.col("_c") != F.col("_main")).alias("_out"))
-            x, y = span.where("_out").alias("x"), span.alias("y")
-            meet = x.join(y, "_g").where(f"(x._block < y._block or not y._out or x._block = y._block) and x._lo * {self.percent} <= y._hi * 100 and y._lo * {self.percent} <= x._hi * 100")
-            meet = meet.select("_g", F.col("x._block").alias("_from"), F.col("y._block").alias("_to"))
-            tile = F.xxhash64("_g", "_from", "_to").alias("_tile")
-            own = ["_k", "_c", "_n", "_map"]
-            for end, side in (("_from", 1), ("_to", 2)):
-                same = F.lit(0) if side == 1 else None
-                use = meet if side == 1 else meet.where("_from <> _to")
-                mark = F.when(F.col("_from") == F.col("_to"), same).otherwise(F.lit(side)) if side == 1 else F.lit(2)
-                part_rows = use.join(large.select("_g", F.col("_block").alias(end), *own), ["_g", end])
-                tiles = tiles.unionByName(part_rows.select(tile, *own, mark.alias("_side")))
-        tiles = tiles.withColumn("_bin", F.pmod(F.xxhash64("_tile"), F.lit(self.bins)).cast("int"))
-        return tiles.groupBy("_bin").applyInArrow(_tile(self.percent), "a long, b long").distinct()
-
-
-def _part(links: DataFrame) -> DataFrame:
+def _components(links: DataFrame) -> DataFrame:
     return components(links).select(F.col("node").alias("_k"), F.col("component").alias("_c"))
 
 
+def _tiles(found: DataFrame, part: DataFrame, clusters: DataFrame, percent: int) -> DataFrame:
+    """Rows (_tile, _side, _k, _c, _n, _data, _map) of the clusters that are in several components."""
+    own = found.join(clusters.withColumnRenamed("_c", "_cluster"), "_k").join(part, "_k", "left").withColumn("_c", F.coalesce("_c", "_k"))
+    count = own.groupBy("_cluster", "_c").count()
+    several = count.groupBy("_cluster").agg(F.count("*").alias("_several"), F.max_by("_c", F.struct("count", "_c")).alias("_main")).where("_several > 1")
+    # A little wider than the similarity allows, so that rounding moves no pair past the next band.
+    band = F.floor(F.log("_n") / F.log(F.lit(100.001 / percent))).cast("int").alias("_band")
+    own = own.join(several.select("_cluster", "_main"), "_cluster")
+    own = written(own.select("_cluster", band, (F.col("_c") != F.col("_main")).alias("_out"), "_k", "_c", "_n", "_data", "_map"), "open")
+    weight = own.groupBy("_cluster", "_band", "_out").agg(F.ceil(F.sum(F.length("_data")) / (8 * TILE)).cast("int").alias("_cuts"))
+    key = ["_cluster", "_band", "_out"]
+    rows = own.join(weight, key).withColumn("_cut", F.pmod(F.xxhash64("_k"), F.greatest("_cuts", F.lit(1))).cast("int"))
+    cuts = weight.select(*key, F.explode(F.sequence(F.lit(0), F.greatest("_cuts", F.lit(1)) - 1)).alias("_cut"))
+    x, y = cuts.where("_out").alias("x"), cuts.alias("y")
+    meet = x.join(y, F.expr("x._cluster = y._cluster and abs(x._band - y._band) <= 1"))
+    meet = meet.where("not y._out or (x._band, x._cut) <= (y._band, y._cut)")
+    ends = [F.struct(*[F.col(f"{s}.{c}").alias(c) for c in (*key, "_cut")]) for s in "xy"]
+    meet = meet.select(ends[0].alias("_x"), ends[1].alias("_y")).withColumn("_tile", F.xxhash64("_x", "_y"))
+    sides = F.when(F.col("_x") == F.col("_y"), F.array(F.struct(F.col("_x").alias("_end"), F.lit(0).alias("_side"))))
+    sides = sides.otherwise(F.array(F.struct(F.col("_x").alias("_end"), F.lit(1).alias("_side")), F.struct(F.col("_y").alias("_end"), F.lit(2).alias("_side"))))
+    sides = meet.select("_tile", F.explode(sides).alias("_e")).select("_tile", "_e._side", "_e._end.*")
+    return rows.join(sides, [*key, "_cut"]).select("_tile", "_side", "_k", "_c", "_n", "_data", "_map")
+
+
 def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, percent: int = 80, lower: bool = True) -> DataFrame:
     """(id, n_shingles, component_id) for each row: the size of its set, and the
     least id that links reach from it."""
     spark = docs.sparkSession
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t"))
-    common = spark.sparkContext.broadcast(common_grams(d.select("_t"), n, lower, shards))
-    met = written(d.mapInArrow(_signed(percent, n, lower, shards, common), BLOBS).groupBy("key").applyInArrow(_met(shards, percent), MET), "met")
+    dealt = written(d.mapInArrow(_dealt(n, lower, shards), DEALT), "dealt")
+    answers = written(dealt.where("shard >= 0").groupBy("shard").applyInArrow(_answers, ANSWERS), "answers")
+    release(spark)
+    texts = dealt.where("shard < 0").select("block", "data").groupBy("block")
+    met = written(texts.cogroup(answers.groupBy("block")).applyInArrow(_met(n, percent, lower, shards), MET), "met")
+    release(spark)
+    members = met.where(F.col("kind") == DOCS).select("data").mapInArrow(_docs_of, "_id long, _k long, _n long")
+    found = met.where(F.col("kind") == CLASS).select(F.col("k").alias("_k"), F.col("n").alias("_n"), F.col("data").alias("_data"), F.col("map").alias("_map"), F.col("prefix").alias("_prefix"))
+    found = written(found.dropDuplicates(["_k"]), "classes")
+
+    # Each group's pivot has the fewest n-grams of its own.
+    groups = found.select("_k", (F.col("_n") - F.length("_data") / 8).cast("long").alias("_own"), F.explode("_prefix").alias("_gram"))
+    pivots = groups.groupBy("_gram").agg(F.min(F.struct("_own", "_k"))["_k"].alias("_pivot"), F.count("*").alias("_size")).where("_size > 1")
+    pairs = groups.join(pivots, "_gram").where("_k <> _pivot").select(F.least("_k", "_pivot").alias("a"), F.greatest("_k", "_pivot").alias("b"))
+    pairs = written(pairs.distinct(), "pairs")
+    side = lambda x: found.select(F.col("_k").alias(x), *[F.col(c).alias(c + x) for c in ("_n", "_map", "_data")])
+    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "_na", "_nb", "_mapa", "_mapb", "_dataa", "_datab")
+    links = written(both.mapInArrow(_verified(percent), "a long, b long"), "links")
+    release(spark)
+    part = written(_components(links), "part")
+
+    tiles = _tiles(found.drop("_prefix"), part, _components(pairs), percent)
+    more = written(tiles.groupBy("_tile").applyInArrow(_tile(percent), "a long, b long"), "links")
     release(spark)
-    kind = lambda k: met.where(F.col("kind") == k)
-    members = kind(DOCS).select("data").mapInArrow(_docs_of, "_id long, _k long, _n long")
-    classes_ = kind(CLASS).select(F.col("a").alias("_k"), F.col("b").alias("_n"), F.col("data").alias("_map"))
-    join = _Join(d.select("_t"), classes_, n, percent, lower, shards)
-
-    pairs = written(join.bounded(kind(EDGE).select("a", "b").distinct()), "pairs")
-    done = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    links = join.verified(done)
-    part = written(_part(links), "part")
-    # Then the other pairs with pivots that still join something, and at last the
-    # pairs of groups that are in several components.
-    for last in (False, True):
-        more = join.across(kind(GROUP).select("members"), part) if last else pairs
-        more = more.join(done, ["a", "b"], "left_anti")
-        ends = [part.select(F.col("_k").alias(x), F.col("_c").alias("c" + x)) for x in "ab"]
-        more = more.join(ends[0], "a", "left").join(ends[1], "b", "left").where("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
-        more = written(more, "more")
-        release(spark)
-        if more.limit(1).count():
-            links, done = links.unionByName(join.verified(more)), done.unionByName(more)
-            part = written(_part(links), "part")
+    if not more.isEmpty():
+        part = written(_components(links.unionByName(more)), "part")
     known = members.join(part, "_k", "left").withColumn("_c", F.coalesce("_c", "_k"))
     least = known.where("_n > 0").groupBy("_c").agg(F.min("_id").alias("_least"))
     out = known.join(least, "_c", "left")
