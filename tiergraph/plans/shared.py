@@ -7,6 +7,7 @@ and reading it back, so that a lost executor costs a re-read and not a replay.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -17,24 +18,41 @@ _own: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in ``spark.checkpoint.dir``; a local one only where it is unset."""
+    """The folder in ``spark.checkpoint.dir``, or the context's own checkpoint folder.
+
+    Where neither is set a local one serves a local master; on a cluster that is an
+    error, as executors would each write to their own disk."""
     found = spark.conf.get(_CONF, None) or spark.sparkContext.getConf().get(_CONF)
+    if not found:
+        given = spark.sparkContext._jsc.sc().getCheckpointDir()
+        found = given.get() if given.isDefined() else None
     if found:
         return found.rstrip("/")
+    if not re.fullmatch(r"local(\[[^]]*\])?", spark.sparkContext.master):
+        raise RuntimeError(f"{_CONF} must name a folder that driver and executors share")
     if not _own:
         _own.append(tempfile.mkdtemp(prefix="tiergraph-"))
     return "file://" + _own[0]
 
 
-def written(df: DataFrame, label: str = "part") -> DataFrame:
-    """The same rows, written to the shared folder and read from there."""
+def written(df: DataFrame, label: str = "part", by: str | None = None) -> DataFrame:
+    """The same rows, written to the shared folder and read from there; ``by``: a column
+    whose values lie in folders of their own."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    out = df.write.option("compression", "zstd")
+    (out.partitionBy(by) if by else out).parquet(path)
     atexit.register(_remove, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def dropped(table: DataFrame, part: str = "") -> None:
+    """Removes the files of a written table that nothing reads any more, or of its folder ``part``."""
+    for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:
+        if folder.endswith(part):
+            _remove(table.sparkSession, folder)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         jvm = spark.sparkContext._jvm
