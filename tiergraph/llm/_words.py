@@ -27,13 +27,14 @@ _powers: dict[int, np.ndarray] = {}
 
 
 def powers(base: int, n: int) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo 2 ** 64."""
+    """base ** 0 .. base ** (n - 1) modulo 2 ** 64; kept up to the size of usual chunks."""
     have = _powers.get(base)
     if have is None or len(have) < n:
         have = np.full(max(n, 1 << 16), base, U)
         have[0] = 1
         np.multiply.accumulate(have, out=have)
-        _powers[base] = have
+        if len(have) <= 1 << 21:
+            _powers[base] = have
     return have[:n]
 
 
@@ -76,7 +77,7 @@ class Chunk:
         return mix((sums[self.ends] - sums[self.starts]) * powers(_INV, n)[self.starts])
 
 
-def chunks(texts: pa.Array, limit: int = 2 << 20) -> Iterator[Chunk]:
+def chunks(texts: pa.Array, limit: int = 1 << 20) -> Iterator[Chunk]:
     """The texts in chunks of about ``limit`` bytes, at least one text each."""
     if isinstance(texts, pa.ChunkedArray):
         texts = texts.combine_chunks()

@@ -47,9 +47,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tiergraph.components import components
+from tiergraph.llm._blocks import DEALT, TEXTS, frozen, rows, shard_of, thawed
 from tiergraph.llm._pack import pack, unpack
 from tiergraph.llm._words import U, Chunk, chunks, mix, powers, windows
-from tiergraph.plans.shared import release, written
+from tiergraph.plans.shared import dropped, release, written
 
 BLOCK = 1 << 20  # n-grams and texts of a block
 TILE = 1 << 19  # n-grams of a tile
@@ -82,10 +83,6 @@ def classes(grams: np.ndarray, at: np.ndarray) -> np.ndarray:
     return mix(sums[at[1:]] - sums[at[:-1]] + np.diff(at).astype(U))
 
 
-def _shard(grams: np.ndarray, shards: int) -> np.ndarray:
-    return (grams >> U(32)) * U(shards) >> U(32)
-
-
 def _first(values: np.ndarray) -> np.ndarray:
     """Whether each value is the first of its kind."""
     out = np.zeros(len(values), bool)
@@ -93,52 +90,42 @@ def _first(values: np.ndarray) -> np.ndarray:
     return out
 
 
-DEALT = "shard int, block long, data binary"
-
-
 def _dealt(n: int, lower: bool, shards: int):
     """For each block a row with its texts (shard -1) and a row for each shard with its n-grams."""
 
     def run(batches):
-        base, held, rows, size, number = TaskContext.get().partitionId() << 32, [], [], 0, 0
+        base, held, texts, size, number = TaskContext.get().partitionId() << 32, [], [], 0, 0
 
         def flush():
-            texts = pa.Table.from_batches(rows).combine_chunks()
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, texts.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-                out.write_table(texts)
             grams, count = np.unique(np.concatenate(held), return_counts=True)
-            cut = np.searchsorted(_shard(grams, shards), np.arange(shards + 1).astype(U))
+            cut = np.searchsorted(shard_of(grams, shards), np.arange(shards + 1).astype(U))
             low = (grams & _LOW).astype(np.uint32)
-            key, data = [-1], [sink.getvalue().to_pybytes()]
+            key, data = [TEXTS], [frozen(texts)]
             for s in np.flatnonzero(np.diff(cut)).tolist():
                 value, times = low[cut[s] : cut[s + 1]], count[cut[s] : cut[s + 1]]
                 order = np.argsort(value, kind="stable")
                 value, times = value[order], times[order]
                 key.append(s)
                 data.append(pack(np.diff(value, prepend=np.uint32(0)), times.astype(np.uint32)))
-            return pa.RecordBatch.from_arrays([pa.array(key, pa.int32()), pa.array(np.full(len(key), base + number)), pa.array(data, pa.binary())], ["shard", "block", "data"])
+            return rows(key, [base + number] * len(key), data)
 
         for b in batches:
-            ids, texts = b.column(0).cast(pa.int64()), b.column(1)
-            for chunk in chunks(texts):
+            ids, column = b.column(0).cast(pa.int64()), b.column(1)
+            for chunk in chunks(column):
                 grams, at = shingle_sets(chunk, n, lower)
                 fresh = _first(classes(grams, at))
                 held.append(grams[np.repeat(fresh, np.diff(at))])
-                rows.append(pa.RecordBatch.from_arrays([ids.slice(chunk.first, chunk.n), texts.slice(chunk.first, chunk.n)], ["id", "text"]))
+                texts.append(pa.RecordBatch.from_arrays([ids.slice(chunk.first, chunk.n), column.slice(chunk.first, chunk.n)], ["id", "text"]))
                 size += len(grams) + chunk.n
                 if size >= BLOCK:
                     yield flush()
-                    held, rows, size, number = [], [], 0, number + 1
+                    held, texts, size, number = [], [], 0, number + 1
         if size:
             yield flush()
 
     return run
 
 
-ANSWERS = "shard int, block long, data binary"
-
-
 def _answers(table: pa.Table) -> pa.Table:
     """For each block its n-grams that two or more texts hold, with four times the
     logarithm of how many."""
@@ -154,7 +141,7 @@ def _answers(table: pa.Table) -> pa.Table:
         shared = np.flatnonzero(level[x:y]) + x
         if len(shared):
             out.append((block, pack(value[shared], level[shared])))
-    return pa.table({"shard": pa.array([shard] * len(out), pa.int32()), "block": pa.array([x[0] for x in out], pa.int64()), "data": pa.array([x[1] for x in out], pa.binary())})
+    return pa.Table.from_batches([rows([shard] * len(out), [x[0] for x in out], [x[1] for x in out])])
 
 
 def prefix(grams: np.ndarray, level: np.ndarray, size: int, percent: int) -> np.ndarray:
@@ -226,7 +213,7 @@ def _met(n: int, percent: int, lower: bool, shards: int):
                 c.append(x)
 
         for data in texts.column("data").to_pylist():
-            block = pa.ipc.open_stream(data).read_all().combine_chunks()
+            block = thawed(data)
             ids = block.column("id").combine_chunks().fill_null(NO_ID).to_numpy(zero_copy_only=False)
             for chunk in chunks(block.column("text")):
                 grams, at = shingle_sets(chunk, n, lower)
@@ -234,7 +221,7 @@ def _met(n: int, percent: int, lower: bool, shards: int):
                 add(DOCS, None, None, pack(ids[chunk.first : chunk.first + chunk.n], fp, size), None, None)
                 level = np.zeros(len(grams), np.uint8)
                 if len(known):
-                    asked = _shard(grams, shards) << U(32) | grams & _LOW
+                    asked = shard_of(grams, shards) << U(32) | grams & _LOW
                     spot = np.minimum(np.searchsorted(known, asked), len(known) - 1)
                     level = np.where(known[spot] == asked, rank[spot], 0)
                 shared = np.concatenate(([0], np.cumsum(level > 0)))
@@ -341,11 +328,15 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t"))
-    dealt = written(d.mapInArrow(_dealt(n, lower, shards), DEALT), "dealt")
-    answers = written(dealt.where("shard >= 0").groupBy("shard").applyInArrow(_answers, ANSWERS), "answers")
+    dealt = written(d.mapInArrow(_dealt(n, lower, shards), DEALT).withColumn("own", F.col("shard") == TEXTS), "dealt", by="own")
+    texts, asked = dealt.where("own"), dealt.where("not own")
+    answers = written(asked.drop("own").groupBy("shard").applyInArrow(_answers, DEALT), "answers")
+    dropped(dealt, "own=false")
     release(spark)
-    texts = dealt.where("shard < 0").select("block", "data").groupBy("block")
-    met = written(texts.cogroup(answers.groupBy("block")).applyInArrow(_met(n, percent, lower, shards), MET), "met")
+    both = texts.select("block", "data").groupBy("block").cogroup(answers.groupBy("block"))
+    met = written(both.applyInArrow(_met(n, percent, lower, shards), MET), "met")
+    dropped(dealt)
+    dropped(answers)
     release(spark)
     members = met.where(F.col("kind") == DOCS).select("data").mapInArrow(_docs_of, "_id long, _k long, _n long")
     found = met.where(F.col("kind") == CLASS).select(F.col("k").alias("_k"), F.col("n").alias("_n"), F.col("data").alias("_data"), F.col("map").alias("_map"), F.col("prefix").alias("_prefix"))
