@@ -3,27 +3,28 @@
 Tokens are the words of the text with A-Z lowered, then one end.  Everything is
 learnt from the documents outside the held fold, and from all of them:
 
-1. Every partition counts its words, once for each block of documents; a shuffle
-   by word hash adds the counts up and answers each block with the counts of its
+1. Every block of texts sends its distinct words and their counts to shards by
+   word hash; a shard adds the counts up and answers each block with those of its
    words.  No table of all words exists in one place.
-2. Words fall into ``CLASSES`` classes: start, end, the most frequent words, and
-   rare words by their last byte.  Every partition counts its class trigrams, a
-   shuffle adds them up, and a fixed number of them is drawn in proportion to the
-   counts of the whole corpus.
+2. The vocabulary is the most frequent words, as many as the square root of the
+   training tokens, ``words`` at most.  The other words are one class.
 3. The log-bilinear model (the vectors of the two classes before, through a
-   matrix for each place, predict the vector of the next) is trained in numpy on
-   the drawn trigrams with noise-contrastive estimation.
-4. Batched matrix products give the logarithm of the normaliser of every pair of
-   classes, so that probabilities sum to one.  A rare word has the probability of
-   its class times its smoothed share of the class, whose last share is for
-   words never seen.
+   matrix for each place, predict the vector of the next) is trained in numpy with
+   noise-contrastive estimation on all training tokens: tasks train on their own
+   texts, an eighth first and then the rest from what that gave, and
+   their parameters are averaged, those of a word by how often each task met it.
+4. Classes lie in clusters of the square root of their number, by frequency.
+   Batched matrix products give the normalisers over the clusters, and over the
+   classes of each token's own cluster, so that probabilities sum to one.  A word outside the
+   vocabulary has the probability of its class times its smoothed share of the
+   class, whose last share is for words never seen.
 
 Words are told apart by a 64-bit hash.
 
 Defined results: a null text is empty and has one token, its end; null ids are
 never held out; rows with equal ids are documents of their own; without training
-documents counts are zero, the base score is that of one unseen type and all
-classes are equally likely; other columns are not read.
+documents counts are zero, the base score is that of one unseen type and the
+model is as it starts; other columns are not read.
 """
 
 from __future__ import annotations
@@ -32,144 +33,135 @@ import math
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tiergraph.llm._pack import BLOBS, batch, dealt, pack, unpack, unpack_all
-from tiergraph.llm._words import U, Chunk, chunks, mix
+from tiergraph.llm._blocks import DEALT, TEXTS, frozen, rows, shard_of, thawed
+from tiergraph.llm._pack import BLOBS, batch, pack, unpack
+from tiergraph.llm._words import U, Chunk, chunks
 from tiergraph.llm.quality_classifier import fold
-from tiergraph.plans.shared import release, written
+from tiergraph.plans.shared import dropped, release, written
 
-CLASSES, RARE = 512, 32
-START, END = 0, 1
-FREQUENT = CLASSES - RARE - 2
-NOISE, DIM = 64, 32
-BLOCK = 1 << 21
+END, RARE, FIRST = 0, 1, 2  # classes; words from FIRST on, and as a context only, the start after them
+NOISE, DIM, STEP = 32, 32, 4096
+BLOCK = 1 << 20
+LEVELS = 64 * 16
+FEWEST, START = -2, -3  # shards of what the driver reads: frequent words, and how many there are of each level
 
-_LAST = np.zeros(256, np.uint8)
-for _i, _c in enumerate(b"abcdefghijklmnopqrstuvwxyz"):
-    _LAST[_c] = _LAST[_c - 32] = _i
-for _i, _set in enumerate((b".", b",;:", b"0123456789", bytes(range(0x80, 0x100)), b"#*$%&<>|!?"), 26):
-    _LAST[list(_set)] = _i
-_LAST[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in ".,;:#*$%&<>|!?"]] = 31
 
+def _level(count: np.ndarray) -> np.ndarray:
+    return (16 * np.log2(np.maximum(count, 1))).astype(np.int64)
 
-def _rare(chunk: Chunk) -> np.ndarray:
-    return _LAST[chunk.raw[chunk.ends - 1]] if len(chunk.ends) else np.zeros(0, np.uint8)
 
-
-def _spot(ids: np.ndarray, n: int) -> np.ndarray:
-    return (mix(ids.view(U)) % U(n)).astype(np.int64)
-
-
-def _ids(column) -> np.ndarray:
-    return column.cast(pa.int64()).fill_null(np.iinfo(np.int64).min).to_numpy(zero_copy_only=False)
-
-
-def _counted(n: int):
-    """Rows for each shard of words: hash, training count, block, rare class."""
+def _dealt(shards: int):
+    """For each block a row with its texts, and a row for each shard with its words and their training counts."""
 
     def run(batches):
-        held, size = [], 0
+        base, held, texts, size, number = TaskContext.get().partitionId() << 32, [], [], 0, 0
 
         def flush():
-            h, c, k, r = (np.concatenate(x) for x in zip(*held, strict=True))
-            order = np.lexsort((h, k))
-            h, c, k, r = h[order], c[order], k[order], r[order]
-            new = np.ones(len(h), bool)
-            new[1:] = (h[1:] != h[:-1]) | (k[1:] != k[:-1])
-            at = np.flatnonzero(new)
-            total = np.add.reduceat(c.astype(np.int64), at)
-            h, k, r = h[at], k[at], r[at]
-            return batch([(s, pack(*x)) for s, x in dealt((h >> U(32)).astype(np.int64) * n >> 32, n, h, total, k.astype(np.int32), r)])
+            h, train = (np.concatenate(x) for x in zip(*held, strict=True))
+            word, back = np.unique(h, return_inverse=True)
+            count = np.bincount(back, train, len(word)).astype(np.uint32)
+            cut = np.searchsorted(shard_of(word, shards), np.arange(shards + 1).astype(U))
+            key, data = [TEXTS], [frozen(texts)]
+            for s in np.flatnonzero(np.diff(cut)).tolist():
+                key.append(s)
+                data.append(pack(word[cut[s] : cut[s + 1]], count[cut[s] : cut[s + 1]].astype(np.uint64)))
+            return rows(key, [base + number] * len(key), data)
 
         for b in batches:
-            train, block = b.column(2).to_numpy(zero_copy_only=False), _spot(_ids(b.column(0)), n)
-            for chunk in chunks(b.column(1)):
-                rows = slice(chunk.first, chunk.first + chunk.n)
-                of = chunk.doc_of_words()
-                held.append((chunk.hashes(lower=True), train[rows][of].astype(np.int64), block[rows][of], _rare(chunk)))
-                size += len(of)
+            ids, column, out = b.column(0).cast(pa.int64()), b.column(1), b.column(2)
+            train = ~out.to_numpy(zero_copy_only=False).astype(bool)
+            for chunk in chunks(column):
+                part = slice(chunk.first, chunk.first + chunk.n)
+                held.append((chunk.hashes(lower=True), train[part][chunk.doc_of_words()]))
+                texts.append(pa.RecordBatch.from_arrays([x.slice(chunk.first, chunk.n) for x in (ids, column, out)], ["id", "text", "held"]))
+                size += len(chunk.starts) + chunk.n
                 if size >= BLOCK:
                     yield flush()
-                    held, size = [], 0
+                    held, texts, size, number = [], [], 0, number + 1
         if size:
             yield flush()
 
     return run
 
 
-def _answered(n: int):
-    """Answers for the blocks, and as key n the shard's totals and most frequent words."""
+def _answers(most: int):
+    """For each block the counts of its words, in their order; the shard's ``most`` frequent
+    words; and the tokens and words of each level of counts."""
 
     def run(table: pa.Table) -> pa.Table:
-        h, c, block, rare = unpack_all(x.as_py() for x in table.column("blob"))
-        order = np.argsort(h, kind="stable")
-        h, c, block, rare = h[order], c[order], block[order], rare[order]
-        new = np.ones(len(h), bool)
-        new[1:] = h[1:] != h[:-1]
-        at = np.flatnonzero(new)
-        total = np.add.reduceat(c, at)
-        pairs = np.unique(block.astype(np.int64) << 32 | (np.cumsum(new) - 1))
-        word = pairs & 0xFFFFFFFF
-        rows = [(k, pack(*x)) for k, x in dealt(pairs >> 32, n, h[at][word], total[word])]
+        shard, blocks, parts = table.column("shard")[0].as_py(), table.column("block").to_pylist(), [unpack(x.as_py()) for x in table.column("data")]
+        word, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        total = np.bincount(back, np.concatenate([p[1] for p in parts]), len(word)).astype(np.int64)
+        edge = np.cumsum([0, *(len(p[0]) for p in parts)])
+        data = [pack(total[back[x:y]]) for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
         known = total > 0
-        top = np.lexsort((h[at], -total))[:FREQUENT]
+        level = _level(total[known])
+        sums = [np.bincount(level, w, LEVELS).astype(np.int64) for w in (total[known], None)]
+        top = np.lexsort((word, -total))[:most]
         top = top[total[top] > 0]
-        seen = np.bincount(rare[at][known], total[known], minlength=RARE).astype(np.int64)
-        types = np.bincount(rare[at][known], minlength=RARE).astype(np.int64)
-        rows.append((n, pack(np.concatenate((h[at][top], seen.view(U), types.view(U))), np.concatenate((total[top], seen, types)), np.concatenate((rare[at][top], np.full(2 * RARE, 255, np.uint8))))))
-        return pa.Table.from_batches([batch(rows)])
+        return pa.Table.from_batches([rows([shard] * len(data) + [FEWEST, START], [*blocks, shard, shard], [*data, pack(word[top], total[top]), pack(*sums)])])
+
+    return run
+
+
+def _above(least: int):
+    """The words of a level of ``least`` or more."""
+
+    def run(batches):
+        for b in batches:
+            for blob in b.column(0):
+                word, count = unpack(blob.as_py())
+                keep = _level(count) >= least
+                yield batch([(0, pack(word[keep], count[keep]))])
 
     return run
 
 
 class Vocabulary:
-    """The frequent words, and what is left in each rare class."""
-
-    def __init__(self, blobs: list[bytes], documents: int):
-        words, counts, kinds = [], [], []
-        seen, types = np.zeros(RARE, np.int64), np.zeros(RARE, np.int64)
-        for blob in blobs:
-            h, c, r = unpack(blob)
-            own = len(h) - 2 * RARE
-            words.append(h[:own])
-            counts.append(c[:own])
-            kinds.append(r[:own])
-            seen += c[own : own + RARE]
-            types += c[own + RARE :]
-        h, c, r = (np.concatenate(x) if blobs else np.zeros(0, t) for x, t in ((words, U), (counts, np.int64), (kinds, np.uint8)))
-        top = np.lexsort((h, -c))[:FREQUENT]
-        self.total, self.distinct = int(seen.sum()) + documents, int(types.sum()) + bool(documents)
-        np.subtract.at(seen, r[top], c[top])
-        np.subtract.at(types, r[top], 1)
-        order = np.argsort(h[top])
-        self.words, self.documents, self.seen, self.types = h[top][order], documents, seen, types
-        self.counts = np.zeros(CLASSES, np.int64)
-        self.counts[END] = documents
-        self.counts[2 : 2 + len(self.words)] = c[top][order]
-        self.counts[2 + FREQUENT :] = seen
-
-    def classes(self, h: np.ndarray, rare: np.ndarray) -> np.ndarray:
-        out = rare.astype(np.int32) + 2 + FREQUENT
+    """The frequent words, with the totals over all words."""
+
+    def __init__(self, answers: DataFrame, documents: int, words: int):
+        told = [unpack(bytes(r.data)) for r in answers.where(F.col("shard") == START).select("data").collect()]
+        tokens, types = (np.sum([x[i] for x in told], axis=0) if told else np.zeros(LEVELS, np.int64) for i in range(2))
+        self.documents, self.total, self.distinct = documents, int(tokens.sum()) + documents, int(types.sum()) + bool(documents)
+        size = min(words, max(64, math.isqrt(self.total)))
+        above = np.cumsum(types[::-1])[::-1]  # words of each level or more
+        least = int(np.argmax(above <= size)) if (above <= size).any() else LEVELS
+        found = [unpack(bytes(r.blob)) for r in answers.where(F.col("shard") == FEWEST).select("data").mapInArrow(_above(least), BLOBS).collect()]
+        word, count = (np.concatenate([np.zeros(0, t), *(x[i] for x in found)]) for i, t in ((0, U), (1, np.int64)))
+        order = np.lexsort((word, -count))
+        rare = int(tokens.sum() - count.sum())
+        self.rare_types = int(types.sum()) - len(word)
+        self.counts = np.concatenate(([documents, rare], count[order])).astype(np.int64)
+        self.words, self.number = np.sort(word), np.empty(len(word), np.int32)
+        self.number[np.argsort(np.argsort(word))[order]] = np.arange(len(word)) + FIRST
+
+    @property
+    def start(self) -> int:
+        return len(self.counts)
+
+    def classes(self, h: np.ndarray) -> np.ndarray:
+        out = np.full(len(h), RARE, np.int32)
         if len(self.words):
             at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
             hit = self.words[at] == h
-            out[hit] = at[hit] + 2
+            out[hit] = self.number[at[hit]]
         return out
 
     def base(self, count: np.ndarray) -> np.ndarray:
         return np.log10((count + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
 
     def within(self, cls: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """log10 of a rare word's share of its class; 0 for others."""
-        rare = cls >= 2 + FREQUENT
-        r = np.where(rare, cls - 2 - FREQUENT, 0)
-        return np.where(rare, np.log10((count + 0.5) / (self.seen[r] + 0.5 * (self.types[r] + 1))), 0.0)
+        """log10 of a word's share of the class of rare words; 0 for others."""
+        return np.where(cls == RARE, np.log10((count + 0.5) / (self.counts[RARE] + 0.5 * (self.rare_types + 1))), 0.0)
 
 
-def _trigrams(chunk: Chunk, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """The classes of each token of each text, its end too, and the two before it."""
+def _tokens(chunk: Chunk, cls: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The class of each token of each text, its end too, the two classes before it, and where texts begin."""
     at = chunk.at + np.arange(chunk.n + 1)
     out = np.full(at[-1], END, np.int32)
     inside = np.ones(at[-1], bool)
@@ -177,164 +169,231 @@ def _trigrams(chunk: Chunk, cls: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     out[inside] = cls
     one, two = np.empty_like(out), np.empty_like(out)
     one[1:], two[2:] = out[:-1], out[:-2]
-    one[at[:-1]] = two[at[:-1]] = START
+    one[at[:-1]] = two[at[:-1]] = start
     second = at[:-1] + 1
-    two[second[second < at[1:]]] = START
+    two[second[second < at[1:]]] = start
     return out, one, two, at
 
 
-def _trigram_part(vocabulary, n: int):
-    def run(batches):
-        held, size = [], 0
+def _summed(rows_: np.ndarray, grads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of the gradients of each row that has some."""
+    order = np.argsort(rows_, kind="stable")
+    own = rows_[order]
+    at = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
+    return own[at], np.add.reduceat(grads[order], at, axis=0)
 
-        def flush():
-            code, c = np.unique(np.concatenate(held), return_counts=True)
-            return batch([(k, pack(*x)) for k, x in dealt((mix(code.astype(U)) % U(n)).astype(np.int64), n, code.astype(np.uint32), c.astype(np.uint32))])
 
-        for b in batches:
-            for chunk in chunks(b.column(0)):
-                cls, one, two, _ = _trigrams(chunk, vocabulary.value.classes(chunk.hashes(lower=True), _rare(chunk)))
-                held.append((two * CLASSES + one) * CLASSES + cls)
-                size += len(cls)
-                if size >= BLOCK:
-                    yield flush()
-                    held, size = [], 0
-        if size:
-            yield flush()
+class Model:
+    """log P(c | one, two) = log P(cluster of c) + log P(c in its cluster), each a softmax of
+    products with q = context[one] @ place[0] + context[two] @ place[1]."""
 
-    return run
+    TABLES = ("context", "target", "bias")  # a row for each class
+    WHOLE = ("near", "far", "cluster", "offset")
 
+    def __init__(self, counts: np.ndarray, seed: int = 5):
+        r = np.random.default_rng(seed)
+        self.n, self.width = len(counts), math.isqrt(len(counts) - 1) + 1
+        self.clusters = -(-self.n // self.width)
+        noise = (counts + 1.0) / (counts + 1.0).sum()
+        self.noise, self.log_noise, self.cumulative = noise, np.log(noise).astype(np.float32), noise.cumsum()
+        of = np.bincount(np.arange(self.n) // self.width, noise)
+        self.log_cluster = np.log(of).astype(np.float32)
+        draw = lambda *shape: r.normal(0, 0.1, shape).astype(np.float32)
+        self.p = {"context": draw(self.n + 1, DIM), "target": draw(self.n, DIM), "bias": self.log_noise[:, None].copy()}
+        self.p |= {"near": np.eye(DIM, dtype=np.float32), "far": np.eye(DIM, dtype=np.float32) / 2, "cluster": draw(self.clusters, DIM), "offset": self.log_cluster[:, None].copy()}
+        self.old = {k: np.full_like(v, 1e-6) for k, v in self.p.items()}
+
+    def _step(self, name: str, rows_, grad, rate: float) -> None:
+        x, v = self.p[name], self.old[name]
+        v[rows_] += grad * grad
+        x[rows_] -= rate * grad / np.sqrt(v[rows_])
+
+    def _contrast(self, q, hit, noise, vectors: str, bias: str, log_noise, rate: float):
+        """One step of noise-contrastive estimation: tells each row's ``hit`` from ``noise``, which all rows share."""
+        t, b = self.p[vectors], self.p[bias][:, 0]
+        known = math.log(len(noise))
+        s_hit = np.einsum("ij,ij->i", q, t[hit]) + b[hit] - log_noise[hit] - known
+        s_noise = q @ t[noise].T + (b[noise] - log_noise[noise] - known)
+        d_hit = -1 / (1 + np.exp(np.clip(s_hit, -30, 30)))
+        d_noise = 1 / (1 + np.exp(np.clip(-s_noise, -30, 30)))
+        scale = np.float32(1 / len(q))
+        back = (d_hit[:, None] * t[hit] + d_noise @ t[noise]) * scale
+        own, grad = _summed(np.concatenate((hit, noise)), np.concatenate((d_hit[:, None] * q, d_noise.T @ q)) * scale)
+        slope = np.bincount(np.concatenate((hit, noise)), np.concatenate((d_hit, d_noise.sum(0))))[own]
+        self._step(vectors, own, grad, rate)
+        self._step(bias, own, (slope[:, None] * scale).astype(np.float32), rate)
+        return back
+
+    def train(self, cls, one, two, r, rate: float = 0.05) -> None:
+        for lo in range(0, len(cls), STEP):
+            w, a, b = (x[lo : lo + STEP].astype(np.int64) for x in (cls, one, two))
+            k = np.minimum(np.searchsorted(self.cumulative, r.random(NOISE)), self.n - 1)
+            ca, cb = self.p["context"][a], self.p["context"][b]
+            q = ca @ self.p["near"] + cb @ self.p["far"]
+            back = self._contrast(q, w, k, "target", "bias", self.log_noise, rate)
+            back += self._contrast(q, w // self.width, k // self.width, "cluster", "offset", self.log_cluster, rate)
+            own, grad = _summed(np.concatenate((a, b)), np.concatenate((back @ self.p["near"].T, back @ self.p["far"].T)))
+            near, far = ca.T @ back, cb.T @ back
+            self._step("context", own, grad, rate)
+            self._step("near", slice(None), near, rate)
+            self._step("far", slice(None), far, rate)
+
+    def ready(self) -> Model:
+        """Products of the contexts, and targets by cluster."""
+        self.one, self.two = self.p["context"] @ self.p["near"], self.p["context"] @ self.p["far"]
+        room = self.clusters * self.width
+        self.targets = np.zeros((room, DIM), np.float32)
+        self.targets[: self.n] = self.p["target"]
+        self.targets = self.targets.reshape(self.clusters, self.width, DIM)
+        self.biases = np.full(room, -1e4, np.float32)
+        self.biases[: self.n] = self.p["bias"][:, 0]
+        self.biases = self.biases.reshape(self.clusters, self.width)
+        self.old = None
+        return self
+
+    def log10(self, cls, one, two) -> np.ndarray:
+        out = np.empty(len(cls))
+        for lo in range(0, len(cls), 1 << 15):
+            part = slice(lo, lo + (1 << 15))
+            q = self.one[one[part]] + self.two[two[part]]
+            cluster, place = cls[part] // self.width, cls[part] % self.width
+            log = _chosen(q @ self.p["cluster"].T + self.p["offset"][:, 0], cluster)
+            order = np.argsort(cluster, kind="stable")
+            edge = np.searchsorted(cluster[order], np.arange(self.clusters + 1))
+            for c in np.flatnonzero(np.diff(edge)).tolist():
+                own = order[edge[c] : edge[c + 1]]
+                log[own] += _chosen(q[own] @ self.targets[c].T + self.biases[c], place[own])
+            out[part] = log
+        return out * math.log10(math.e)
+
+
+def _chosen(z: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log of the softmax of each row at one place."""
+    z -= z.max(1, keepdims=True)
+    picked = z[np.arange(len(z)), at].astype(np.float64)
+    np.exp(z, out=z)
+    return picked - np.log(z.sum(1, dtype=np.float64))
 
-def _draw(total: int, samples: int):
-    def run(table: pa.Table) -> pa.Table:
-        code, c = unpack_all(x.as_py() for x in table.column("blob"))
-        key = table.column("key")[0].as_py()
-        code, back = np.unique(code, return_inverse=True)
-        c = np.bincount(back, c)
-        r = np.random.default_rng(1000 + key)
-        want = round(samples * c.sum() / max(total, 1))
-        picked = r.choice(code, want, p=c / c.sum()) if want else code[:0]
-        return pa.Table.from_batches([batch([(key, pack(picked))])])
+
+ROWS = 1 << 12  # classes of a part of the tables
+
+
+def _trained(shared, first: bool):
+    """Of a task: its parameters times how much each was trained, in parts, with these weights."""
+
+    def run(batches):
+        vocabulary, model = shared.value
+        weight = {"context": np.zeros(model.n + 1), "target": np.zeros(model.n)}
+        r, before = np.random.default_rng([7, TaskContext.get().partitionId(), first]), {k: (v.copy(), model.old[k].copy()) for k, v in model.p.items()}
+        seen = 0
+        for b in batches:
+            for blob in b.column(0):
+                block = thawed(blob.as_py())
+                texts = block.filter(pa.array(~block.column("held").to_numpy(zero_copy_only=False).astype(bool)))
+                for chunk in chunks(texts.column("text")):
+                    h = chunk.hashes(lower=True)
+                    cls, one, two, at = _tokens(chunk, vocabulary.classes(h), vocabulary.start)
+                    # A text's length and first words say which round it is in: each is in one of them.
+                    sums = np.concatenate((np.zeros(1, U), np.cumsum(h, dtype=U)))
+                    early = ((sums[chunk.at[1:]] - sums[chunk.at[:-1]]) >> U(40)) % U(8) == 0
+                    use = np.flatnonzero(np.repeat(early == first, np.diff(at)))
+                    use = r.permutation(use)
+                    model.train(cls[use], one[use], two[use], r)
+                    weight["target"] += np.bincount(cls[use], minlength=model.n)
+                    weight["context"] += np.bincount(one[use], minlength=model.n + 1) + np.bincount(two[use], minlength=model.n + 1)
+                    seen += len(use)
+        out = []
+        if seen:
+            weight["bias"] = weight["target"]
+            for t, name in enumerate(Model.TABLES):
+                w = (weight[name] + 1e-3 * seen / model.n).astype(np.float64)
+                for at in range(0, len(w), ROWS):
+                    own = slice(at, at + ROWS)
+                    out.append((t << 24 | at // ROWS, pack(w[own], *(model.p[name][own] * w[own, None]).astype(np.float64).T, *(model.old[name][own] * w[own, None]).astype(np.float64).T)))
+            for t, name in enumerate(Model.WHOLE, len(Model.TABLES)):
+                x = model.p[name]
+                out.append((t << 24, pack(np.full(len(x), float(seen)), *(x * seen).astype(np.float64).T, *(model.old[name] * seen).astype(np.float64).T)))
+        model.p, model.old = ({k: v[i] for k, v in before.items()} for i in range(2))  # the worker may be used again
+        if out:
+            yield batch(out)
 
     return run
 
 
-class Model:
-    """log10 P(c | a, b) = first[a, c] + second[b, c] + bias[c] - normaliser[b, a]."""
+def _added(table: pa.Table) -> pa.Table:
+    total = None
+    for blob in table.column("blob"):
+        part = np.stack(unpack(blob.as_py()))
+        total = part if total is None else total + part
+    return pa.Table.from_batches([batch([(table.column("key")[0].as_py(), pack(*total))])])
 
-    def __init__(self, counts: np.ndarray, trigrams: np.ndarray, steps_rows: int = 2048, rate: float = 0.05, seed: int = 5):
-        r = np.random.default_rng(seed)
-        noise = (counts + 1.0) / (counts + 1.0).sum()
-        noise[START] = 1e-9
-        noise /= noise.sum()
-        log_noise = np.log(noise).astype(np.float32)
-        context, target = (r.normal(0, 0.1, (CLASSES, DIM)).astype(np.float32) for _ in range(2))
-        place = [np.eye(DIM, dtype=np.float32) * s for s in (1.0, 0.5)]
-        bias = log_noise.astype(np.float32).copy()
-        old = [np.full_like(x, 1e-6) for x in (context, target, bias, *place)]
-        cumulative = noise.cumsum()
-        trigrams = r.permutation(trigrams)
-        for lo in range(0, len(trigrams), steps_rows):
-            code = trigrams[lo : lo + steps_rows].astype(np.int64)
-            w, a, b = code % CLASSES, code // CLASSES % CLASSES, code // CLASSES**2
-            k = np.minimum(np.searchsorted(cumulative, r.random(NOISE)), CLASSES - 1)
-            ca, cb = context[a], context[b]
-            q = ca @ place[0] + cb @ place[1]
-            # Noise-contrastive: tell the data word from NOISE words shared by the batch.
-            s_data = (q * target[w]).sum(1) + bias[w] - log_noise[w] - math.log(NOISE)
-            s_noise = q @ target[k].T + bias[k] - log_noise[k] - math.log(NOISE)
-            d_data = 1 / (1 + np.exp(np.clip(s_data, -30, 30)))
-            d_noise = -1 / (1 + np.exp(-np.clip(s_noise, -30, 30)))
-            m = np.float32(1 / len(code))
-            gq = ((d_data[:, None] * target[w] + d_noise @ target[k]) * m).astype(np.float32)
-            gt, gb = np.zeros_like(target), np.zeros_like(bias)
-            np.add.at(gt, w, d_data[:, None].astype(np.float32) * q * m)
-            np.add.at(gt, k, (d_noise.T @ q) * m)
-            np.add.at(gb, w, d_data * m)
-            np.add.at(gb, k, d_noise.sum(0) * m)
-            gc = np.zeros_like(context)
-            np.add.at(gc, a, gq @ place[0].T)
-            np.add.at(gc, b, gq @ place[1].T)
-            grads = (gc, gt, gb, ca.T @ gq, cb.T @ gq)
-            for x, g, v in zip((context, target, bias, *place), grads, old, strict=True):
-                v += g * g
-                x += rate * g / np.sqrt(v)
-        bias = bias.astype(np.float64)
-        bias[START] = -60.0
-        first, second = context @ place[0] @ target.T, context @ place[1] @ target.T
-        norm = np.empty((CLASSES, CLASSES))
-        for b in range(CLASSES):
-            z = first + (second[b] + bias).astype(np.float32)
-            top = z.max(1)
-            norm[b] = top + np.log(np.exp(z - top[:, None]).sum(1))
-        e = math.log10(math.e)
-        self.first, self.second = (first * e).astype(np.float32), (second * e).astype(np.float32)
-        self.bias, self.norm = bias * e, (norm * e).astype(np.float32)
 
-    def log10(self, cls, one, two) -> np.ndarray:
-        return self.first[one, cls] + self.second[two, cls].astype(np.float64) + self.bias[cls] - self.norm[two, one]
+def _round(model: Model, vocabulary: Vocabulary, texts: DataFrame, first: bool) -> None:
+    shared = texts.sparkSession.sparkContext.broadcast((vocabulary, model))
+    for key, blob in texts.mapInArrow(_trained(shared, first), BLOBS).groupBy("key").applyInArrow(_added, BLOBS).collect():
+        name = (*Model.TABLES, *Model.WHOLE)[key >> 24]
+        weight, *sums = unpack(bytes(blob))
+        value = (np.stack(sums, 1) / weight[:, None]).astype(np.float32)
+        at = (key & 0xFFFFFF) * ROWS
+        own = slice(at, at + len(weight))
+        model.p[name][own], model.old[name][own] = value[:, : value.shape[1] // 2], value[:, value.shape[1] // 2 :]
 
 
 def _score(shared):
     def run(texts: pa.Table, answers: pa.Table) -> pa.Table:
         vocabulary, model = shared.value
-        h, c = unpack_all(x.as_py() for x in answers.column("blob")) if answers.num_rows else (np.zeros(0, U), np.zeros(0, np.int64))
-        order = np.argsort(h)
-        h, c = h[order], c[order]
-        column = texts.column("_t").combine_chunks()
-        n = len(column)
-        out = {k: np.zeros(n, np.int64) for k in ("n_tokens", "n_known")} | {k: np.zeros(n) for k in ("base_score", "score")}
-        end = vocabulary.documents
-        for chunk in chunks(column):
-            own = chunk.hashes(lower=True)
-            count = c[np.searchsorted(h, own)] if len(own) else np.zeros(0, np.int64)
-            cls, one, two, at = _trigrams(chunk, vocabulary.classes(own, _rare(chunk)))
-            token = np.full(at[-1], end, np.int64)
-            inside = np.ones(at[-1], bool)
-            inside[at[1:] - 1] = False
-            token[inside] = count
-            rows, sums = slice(chunk.first, chunk.first + chunk.n), lambda x, at=at: np.add.reduceat(x, at[:-1])
-            out["n_tokens"][rows] = np.diff(at)
-            out["n_known"][rows] = sums((token > 0).astype(np.int64))
-            out["base_score"][rows] = sums(vocabulary.base(token))
-            out["score"][rows] = sums(model.log10(cls, one, two) + vocabulary.within(cls, token))
-        return pa.table({"_id": texts.column("_id").cast(pa.int64()), "held_out": texts.column("_held"), **out})
+        parts = sorted(zip(answers.column("shard").to_pylist(), answers.column("data").to_pylist(), strict=True))
+        counts = np.concatenate([np.zeros(0, np.int64), *(unpack(x)[0] for _, x in parts)])
+        done = []
+        for data in texts.column("data").to_pylist():
+            block = thawed(data)
+            own = list(chunks(block.column("text")))
+            hashes = [c.hashes(lower=True) for c in own]
+            word = np.unique(np.concatenate(hashes))
+            for chunk, h in zip(own, hashes, strict=True):
+                count = counts[np.searchsorted(word, h)] if len(h) else np.zeros(0, np.int64)
+                cls, one, two, at = _tokens(chunk, vocabulary.classes(h), vocabulary.start)
+                token = np.full(at[-1], vocabulary.documents, np.int64)
+                inside = np.ones(at[-1], bool)
+                inside[at[1:] - 1] = False
+                token[inside] = count
+                sums = lambda x, at=at: np.add.reduceat(x, at[:-1])
+                done.append((np.diff(at), sums((token > 0).astype(np.int64)), sums(vocabulary.base(token)), sums(model.log10(cls, one, two) + vocabulary.within(cls, token))))
+            n_tokens, n_known, base, score = (np.concatenate(x) for x in zip(*done, strict=True))
+            return pa.table({"_id": block.column("id"), "held_out": block.column("held"), "n_tokens": n_tokens, "n_known": n_known, "base_score": base, "score": score})
 
     return run
 
 
-def _dealt_texts(n: int):
-    def run(batches):
-        for b in batches:
-            key = pa.array(_spot(_ids(b.column(0)), n).astype(np.int32))
-            yield pa.RecordBatch.from_arrays([key, b.column(0), b.column(1), b.column(2)], ["key", "_id", "_t", "_held"])
-
-    return run
+def fitted(texts: DataFrame, vocabulary: Vocabulary) -> Model:
+    """The model after all training tokens of the blocks of texts."""
+    model = Model(vocabulary.counts)
+    for first in (True, False):
+        _round(model, vocabulary, texts, first)
+    return model.ready()
 
 
-def lm_scoring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_fold: int = 1, samples: int = 1_500_000) -> DataFrame:
+def lm_scoring(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held_fold: int = 1, words: int = 1 << 16) -> DataFrame:
     """(id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row.
 
-    ``samples``: trigrams drawn for the training of the model."""
+    ``words``: the size of the vocabulary at most, which bounds the model's memory: it has
+    65 numbers for each word.  Below it the vocabulary grows with the corpus."""
     spark = docs.sparkSession
-    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     held = F.coalesce(fold(id_col, folds) == held_fold, F.lit(False))
     d = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t"), held.alias("_held"))
-    counted = d.select("_id", "_t", (~F.col("_held")).alias("_train")).mapInArrow(_counted(n), BLOBS)
-    answers = written(counted.groupBy("key").applyInArrow(_answered(n), BLOBS), "answers")
+    dealt = written(d.mapInArrow(_dealt(shards), DEALT).withColumn("own", F.col("shard") == TEXTS), "dealt", by="own")
+    texts, asked = dealt.where("own"), dealt.where("not own")
+    answers = written(asked.drop("own").groupBy("shard").applyInArrow(_answers(words), DEALT), "answers")
+    dropped(dealt, "own=false")
     release(spark)
-    documents = d.where("not _held").count()
-    vocabulary = Vocabulary([bytes(r.blob) for r in answers.where(F.col("key") == n).collect()], documents)
-    shared = spark.sparkContext.broadcast(vocabulary)
-    parts = d.where("not _held").select("_t").mapInArrow(_trigram_part(shared, n), BLOBS)
-    drawn = parts.groupBy("key").applyInArrow(_draw(vocabulary.total, samples), BLOBS).collect()
-    trigrams = [unpack(bytes(r.blob))[0] for r in sorted(drawn, key=lambda r: r.key)]
-    model = Model(vocabulary.counts, np.concatenate(trigrams) if trigrams else np.zeros(0, np.uint32))
+    vocabulary = Vocabulary(answers, d.where("not _held").count(), words)
+    both = spark.sparkContext.broadcast((vocabulary, fitted(texts.select("data"), vocabulary)))
     release(spark)
-    both = spark.sparkContext.broadcast((vocabulary, model))
-    texts = d.select("_id", "_t", "_held").mapInArrow(_dealt_texts(n), "key int, _id long, _t string, _held boolean")
+    texts = texts.select("block", "data").groupBy("block")
+    told = answers.where("shard >= 0").groupBy("block")
     schema = "_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
-    out = texts.groupBy("key").cogroup(answers.where(F.col("key") < n).groupBy("key")).applyInArrow(_score(both), schema)
+    out = texts.cogroup(told).applyInArrow(_score(both), schema)
     return out.select(F.col("_id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(vocabulary.total).cast("long").alias("train_tokens"), "base_score", "score")
 
 
