@@ -1,9 +1,12 @@
 """N-best segmentation of texts into the pieces of a SentencePiece vocabulary.
 
-A text is encoded as SentencePiece does it, with a space put before it and
-spaces as piece characters, so that decoding gives the text back exactly.  The
+A text has a space put before it and spaces are piece characters, as in
+SentencePiece, so that decoding gives the text back exactly.  The
 lattice has an edge for each piece, and for each character without a piece an
-edge at the least score less ten that becomes the character's byte pieces.
+edge at the least score less ten that becomes the character's byte pieces.  The best
+paths are those of the greatest sums of piece scores.  For a unigram vocabulary
+that is what SentencePiece encodes; of a BPE vocabulary it applies merges in order
+of their scores, which often gives other pieces.
 
 Pieces begin with spaces or hold none, so the lattice falls apart before each
 run of spaces, and at characters that only stand alone; the paths of a text are
@@ -17,11 +20,12 @@ solved once, all units of a batch side by side in numpy:
   no more than the N best entries are ever needed, and the k-th path to reach
   the start is the k-th best.
 
-The N best of a text then follow from its units' score losses.
+The N best of a text then follow from its units' score losses: each is the best
+one with the pieces of one or a few units changed for another path of theirs.
 
 Defined results: null texts count as empty; an empty text has no pieces, score 0
-and no further segmentations; fewer paths than N give nulls; which of two paths with
-equal scores comes first is fixed but means nothing; rows with equal ids get a row each;
+and no further segmentations; fewer paths than N give nulls; of two paths with
+equal scores either may come first, the same one in every run; rows with equal ids get a row each;
 other columns are not read.
 """
 
@@ -246,10 +250,12 @@ def solve_units(pieces: Pieces, units: list[bytes], n: int) -> Solved:
     return Solved(scores, np.concatenate(ids) if ids else np.zeros(0, np.int32), at, length)
 
 
-def n_best_sums(losses: list[list[float]], n: int) -> list[float]:
-    """The n least sums of one loss from each list; each list rises from 0."""
-    lists = sorted((x for x in losses if len(x) > 1), key=lambda x: x[1])
-    out, heap, seen = [0.0], [], set()
+def n_best_sums(losses: list[list[float]], n: int) -> list[tuple[float, tuple[tuple[int, int], ...]]]:
+    """The n least sums of one loss from each list, and which items other than the first
+    of their lists are in each, as (list, item); each list rises from 0."""
+    order = sorted((i for i, x in enumerate(losses) if len(x) > 1), key=lambda i: losses[i][1])
+    lists = [losses[i] for i in order]
+    out, heap, seen = [(0.0, ())], [], set()
     if lists:
         heap = [(lists[0][1], ((0, 1),))]
     while heap and len(out) < n:
@@ -257,7 +263,7 @@ def n_best_sums(losses: list[list[float]], n: int) -> list[float]:
         if pick in seen:
             continue
         seen.add(pick)
-        out.append(total)
+        out.append((total, tuple((order[i], k) for i, k in pick)))
         i, k = pick[-1]
         if k + 1 < len(lists[i]):
             heapq.heappush(heap, (total - lists[i][k] + lists[i][k + 1], pick[:-1] + ((i, k + 1),)))
@@ -269,6 +275,17 @@ def n_best_sums(losses: list[list[float]], n: int) -> list[float]:
     return out
 
 
+def least_losses(loss: np.ndarray, n: int) -> list[tuple[float, tuple[tuple[int, int], ...]]]:
+    """The same for n of 3 at most and losses as rows (units, 2), NaN where a unit has no
+    such path: two changes cost at least as much as the two least single ones."""
+    flat = loss.ravel()
+    have = np.flatnonzero(~np.isnan(flat))
+    if len(have) > n:
+        have = have[np.argpartition(flat[have], n - 2)[: n - 1]]
+    have = have[np.lexsort((have, flat[have]))][: n - 1]
+    return [(0.0, ())] + [(float(flat[x]), ((x // loss.shape[1], x % loss.shape[1] + 1),)) for x in have.tolist()]
+
+
 def _units(pieces: Pieces, chunk):
     """The bytes of all texts, each with a space before it, and where units begin."""
     full = np.diff(chunk.offsets) > 0
@@ -303,21 +320,34 @@ class Codec:
     def _clear(self):
         self.number: dict[int, int] = {}
         self.scores, self.loss = np.zeros((0, self.n)), np.zeros((0, self.n))
-        self.ids, self.at, self.length = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        # Of each unit the pieces of all its paths.
+        self.ids, self.at, self.length = np.zeros(0, np.int32), np.zeros((0, self.n), np.int64), np.zeros((0, self.n), np.int64)
+        self.sound = np.zeros((0, self.n), bool)
 
     def _add(self, fresh: list[bytes]):
         s = solve_units(self.pieces, fresh, self.n)
-        # Only the best path's pieces are kept, closely packed.
-        length = s.length[:, 0]
-        take = np.repeat(s.at[:, 0] - (np.cumsum(length) - length), length) + np.arange(length.sum())
-        self.at = np.concatenate((self.at, len(self.ids) + np.cumsum(length) - length))
-        self.ids = np.concatenate((self.ids, s.ids[take]))
-        self.length = np.concatenate((self.length, length))
+        self.at = np.concatenate((self.at, len(self.ids) + s.at))
+        self.ids = np.concatenate((self.ids, s.ids))
+        self.length = np.concatenate((self.length, s.length))
         self.scores = np.concatenate((self.scores, s.scores))
         self.loss = np.concatenate((self.loss, s.scores[:, :1] - s.scores))
+        # Whether a path's pieces spell its unit, for each path.
+        length, at = s.length.ravel(), s.at.ravel()
+        spelt = self._spelt(s.ids[np.repeat(at - (np.cumsum(length) - length), length) + np.arange(length.sum())])
+        ends = np.concatenate(([0], np.cumsum(self.width[s.ids])))
+        size = (ends[at + length] - ends[at]).reshape(-1, self.n)
+        begin = (np.cumsum(size.ravel()) - size.ravel()).reshape(size.shape).tolist()
+        spelt = spelt.tobytes()
+        self.sound = np.concatenate((self.sound, np.array([[spelt[b : b + len(u)] == u and z == len(u) for b, z in zip(row, sizes, strict=True)] for u, row, sizes in zip(fresh, begin, size.tolist(), strict=True)], bool).reshape(-1, self.n)))
+
+    def _spelt(self, ids: np.ndarray) -> np.ndarray:
+        width = self.width[ids]
+        return self.bytes[np.repeat(self.start[ids] - (np.cumsum(width) - width), width) + np.arange(width.sum())]
 
     def encode(self, chunk):
-        """ids of all texts end to end, where each text's begin, and (texts, n) scores."""
+        """ids of the best paths of all texts end to end, where each text's begin,
+        (texts, n) scores, and for each text its further paths: each a list of
+        (begin, end, ids, sound), the parts of the best path's ids that others replace."""
         raw, at, cuts = _units(self.pieces, chunk)
         # Units are told apart by a 64-bit hash; ``round_trip`` would show a mix-up.
         sums = np.zeros(len(raw) + 1, U)
@@ -336,68 +366,89 @@ class Codec:
             self._add([whole[a:b] for a, b in zip(cuts[place[fresh]].tolist(), stop[place[fresh]].tolist(), strict=True)])
         unit = np.array([known[x] for x in own.tolist()], np.int64)[back]
         bound = np.searchsorted(cuts, at)
-        length = self.length[unit]
-        take = np.repeat(self.at[unit] - (np.cumsum(length) - length), length) + np.arange(length.sum())
-        ids = self.ids[take]
-        begin = np.concatenate(([0], np.cumsum(length)))[bound]
+        length = self.length[unit, 0]
+        ends = np.concatenate(([0], np.cumsum(length)))
+        ids = self.ids[np.repeat(self.at[unit, 0] - ends[:-1], length) + np.arange(ends[-1])]
+        begin = ends[bound]
         scores = np.full((chunk.n, self.n), np.nan)
         # Sums of whole texts, each from its own start, so that order does not matter.
         scores[:, 0] = [self.scores[unit[a:b], 0].sum() for a, b in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True)]
+        further = [[] for _ in range(chunk.n)]
         if self.n > 1:
             loss = self.loss[unit, 1:]
             for t, (a, b) in enumerate(zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True)):
                 if b == a:
                     continue
-                own = loss[a:b]
-                if self.n <= 3:  # two changes cost at least as much as the two least single ones
-                    flat = own.ravel()
-                    flat = flat[~np.isnan(flat)]
-                    k = min(self.n - 1, len(flat))
-                    if k < len(flat):
-                        flat = np.partition(flat, k - 1)[:k] if k else flat[:0]
-                    scores[t, 1 : 1 + k] = scores[t, 0] - np.sort(flat)
-                else:
-                    sums = n_best_sums([[0.0, *x[~np.isnan(x)].tolist()] for x in own], self.n)
-                    scores[t, : len(sums)] = scores[t, 0] - np.array(sums)
-        return ids, begin, scores
+                found = least_losses(loss[a:b], self.n) if self.n <= 3 else n_best_sums([[0.0, *x[~np.isnan(x)].tolist()] for x in loss[a:b]], self.n)
+                for k, (lost, changed) in enumerate(found[1:], 1):
+                    scores[t, k] = scores[t, 0] - lost
+                    further[t].append([self._change(unit[a + i], r, int(ends[a + i]) - int(begin[t]), int(length[a + i])) for i, r in sorted(changed)])
+        return ids, begin, scores, further
+
+    def _change(self, unit: int, path: int, at: int, length: int):
+        x = int(self.at[unit, path])
+        return at, at + length, self.ids[x : x + int(self.length[unit, path])], bool(self.sound[unit, path])
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of one text's ids."""
-        width = self.width[ids]
-        take = np.repeat(self.start[ids] - (np.cumsum(width) - width), width) + np.arange(width.sum())
-        return self.bytes[take].tobytes()[1:]
+        return self._spelt(ids).tobytes()[1:]
+
+
+def changed(best: np.ndarray, parts) -> list[np.ndarray]:
+    """A further path as pieces of the best one and what replaces others, in order."""
+    out, at = [], 0
+    for begin, end, ids, _ in parts:
+        out += [best[at:begin], ids]
+        at = end
+    return [*out, best[at:]]
 
 
 def _encoded(held, n: int, with_ids: bool):
     def run(batches):
         codec = Codec(held.value, n)
         for b in batches:
-            for chunk in chunks(b.column(1), 4 << 20):
-                ids, begin, scores = codec.encode(chunk)
-                same, digest = [], []
+            for chunk in chunks(b.column(1), 2 << 20):
+                ids, begin, scores, further = codec.encode(chunk)
+                count, digest, same, paths = ([[None] * chunk.n for _ in range(n)] for _ in range(4))
                 for t in range(chunk.n):
                     own = ids[begin[t] : begin[t + 1]]
-                    same.append(codec.decode(own) == chunk.raw[chunk.offsets[t] : chunk.offsets[t + 1]].tobytes())
-                    digest.append(hashlib.sha256(own.astype("<i4").tobytes()).hexdigest())
+                    ways = [[own], *(changed(own, parts) for parts in further[t])]
+                    same[0][t] = codec.decode(own) == chunk.raw[chunk.offsets[t] : chunk.offsets[t + 1]].tobytes()
+                    for k, way in enumerate(ways):
+                        told = hashlib.sha256()
+                        for part in way:
+                            told.update(part.astype("<i4").tobytes())
+                        digest[k][t] = told.hexdigest()
+                        count[k][t] = sum(map(len, way))
+                        if k:  # a further path spells the text if the best does and its own parts spell their units
+                            same[k][t] = same[0][t] and all(part[3] for part in further[t][k - 1])
+                            if with_ids:
+                                paths[k][t] = np.concatenate(way)
                 rows = slice(chunk.first, chunk.first + chunk.n)
-                columns = {"_id": b.column(0)[rows], "n_pieces": pa.array(np.diff(begin)), "ids_sha256": pa.array(digest, pa.string()), "round_trip": pa.array(same)}
-                columns |= {f"score_{k + 1}": pa.array(scores[:, k], mask=np.isnan(scores[:, k])) for k in range(n)}
-                if with_ids:
-                    columns["ids"] = pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(ids))
+                columns = {"_id": b.column(0)[rows]}
+                for k in range(n):
+                    columns |= {f"n_pieces{_nth(k)}": pa.array(count[k], pa.int64()), f"ids_sha256{_nth(k)}": pa.array(digest[k], pa.string()), f"round_trip{_nth(k)}": pa.array(same[k], pa.bool_()), f"score_{k + 1}": pa.array(scores[:, k], mask=np.isnan(scores[:, k]))}
+                    if with_ids:
+                        columns[f"ids{_nth(k)}"] = pa.array(paths[k], pa.list_(pa.int32())) if k else pa.ListArray.from_arrays(pa.array(begin.astype(np.int32)), pa.array(ids))
                 yield pa.RecordBatch.from_pydict(columns)
 
     return run
 
 
+def _nth(k: int) -> str:
+    return f"_{k + 1}" if k else ""
+
+
 def encode_nbest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 3, model_file: str = MODEL, with_ids: bool = True) -> DataFrame:
-    """(id, n_pieces, ids_sha256, round_trip, score_1 .. score_n, ids) for each row.
+    """For each row its id and of the best segmentation n_pieces, ids_sha256, round_trip,
+    score_1 and ids; of the k-th the same as n_pieces_k, ids_sha256_k, round_trip_k, score_k, ids_k.
 
-    The digest is of the ids as little-endian 32-bit numbers; ``round_trip`` says
+    The digests are of the ids as little-endian 32-bit numbers; ``round_trip`` says
     whether decoding them gave the text back.  The vocabulary is read on the
     driver; its size does not depend on the data."""
     held = docs.sparkSession.sparkContext.broadcast(Pieces(model_file))
     d = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t"))
-    schema = "_id long, n_pieces long, ids_sha256 string, round_trip boolean" + "".join(f", score_{k + 1} double" for k in range(n)) + ", ids array<int>" * with_ids
+    schema = "_id long" + "".join(f", n_pieces{_nth(k)} long, ids_sha256{_nth(k)} string, round_trip{_nth(k)} boolean, score_{k + 1} double" + f", ids{_nth(k)} array<int>" * with_ids for k in range(n))
     return d.mapInArrow(_encoded(held, n, with_ids), schema).withColumnRenamed("_id", id_col)
 
 
