@@ -1,7 +1,7 @@
 """Line-first cleaning with DataFrame functions only.
 
-Every line of a text is judged by punctuation, navigation and boilerplate
-rules; failing lines are removed, and a document that loses too much of its
+Every line of a text is judged by punctuation (its end, its symbols), navigation and
+boilerplate rules; failing lines are removed, and a document that loses too much of its
 text, or fails the document rules, is rejected.
 
 Defined results: a null text counts as empty; an empty text has no words and
@@ -20,10 +20,18 @@ from pyspark.sql import functions as F
 SPACE = " \t\n\x0b\f\r"
 SPACE_RE = r"[ \t\n\x0B\f\r]+"
 SYMBOLS = "#*$%&|<>"
+# Phrases of notices and controls, in English, German, French and Spanish.
 BOILERPLATE = (
     "licensed under|all rights reserved|copyright|privacy policy|cookie policy|"
-    "accept cookies|terms of (use|service)|sign in|log in|enable javascript|subscribe to"
+    "accept cookies|terms of (use|service)|sign in|log in|enable javascript|subscribe to|"
+    "alle rechte vorbehalten|datenschutzerklärung|nutzungsbedingungen|cookies akzeptieren|"
+    "tous droits réservés|politique de confidentialité|conditions d.utilisation|accepter les cookies|"
+    "todos los derechos reservados|política de privacidad|condiciones de uso|aceptar cookies|iniciar sesión"
 )
+#: Such a phrase as whole words.
+PHRASE = rf"(^|[^\p{{L}}\p{{N}}])({BOILERPLATE})([^\p{{L}}\p{{N}}]|$)"
+#: What ends a sentence, or a line that goes on or is quoted; white space may follow.
+ENDED = r"""[.!?…:;,。！？：；、"'”’»)\]]\s*$"""
 
 
 def words(text: Column) -> Column:
@@ -32,8 +40,11 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACE_RE))
 
 
-def line_fails(line: Column, symbol_share: float = 0.05, max_separators: int = 2) -> Column:
-    """Whether a line with words is navigation, boilerplate or not prose."""
+def line_fails(line: Column, symbol_share: float = 0.05, max_separators: int = 2, phrase_chars: int = 160) -> Column:
+    """Whether a line with words is navigation, boilerplate or not prose.
+
+    A phrase of boilerplate counts in a line of up to ``phrase_chars`` characters: longer
+    ones are prose that speaks of such things."""
     length = F.length(line)
     symbols = F.length(F.regexp_replace(line, f"[^{SYMBOLS}]+", ""))
     separators = F.size(F.split(line, r" [|»>] ")) - 1
@@ -44,7 +55,8 @@ def line_fails(line: Column, symbol_share: float = 0.05, max_separators: int = 2
         | (symbols > symbol_share * length)
         | (shouts >= 3)
         | (separators >= max_separators)
-        | line.rlike(f"(?i)({BOILERPLATE})")
+        | ~line.rlike(ENDED)
+        | ((length <= phrase_chars) & line.rlike(f"(?iu){PHRASE}"))
     )
 
 
@@ -151,7 +163,8 @@ WITH d AS (
         OR length(regexp_replace(x, '[^{SYMBOLS}]+', '', 'g')) > 0.05 * length(x)
         OR len(string_split(x, '!!')) - 1 >= 3
         OR len(regexp_split_to_array(x, ' [|»>] ')) - 1 >= 2
-        OR regexp_matches(x, '(?i)({BOILERPLATE})'))) AS bad
+        OR NOT regexp_matches(x, '{ENDED.replace("'", "''")}')
+        OR length(x) <= 160 AND regexp_matches(x, '(?i){PHRASE}'))) AS bad
   FROM w
 ), r AS (
   SELECT doc_id, count(DISTINCT q) AS n FROM (
