@@ -12,17 +12,20 @@ similarity 0.8 a pair of long lines shares a band with probability 0.985, with 0
 0.9995.  Lines that share a band are paired with the least line of the band and
 with their neighbour in it, verified by the exact Jaccard similarity of their
 whole shingle sets, and the verified links go through a distributed union-find.
-Then all pairs of a band that are still in different components are verified in
-the same way, block by block, so that every pair that shares a band is judged.
+Then all pairs of a band that are still in different components are judged,
+block by block, but for lines of which too few shingles occur in a second
+line of these bands: those can't be similar to any of them.  So every pair that shares a
+band is judged, and a passage within many otherwise different lines makes few pairs.
 One line of each component stays: the first by (document, position).
 
 Equal shingle sets are one line from the start, so copies never meet in a band.
 A line with too few word starts is not similar to one with twice
 ``min_shingles`` of them or more.
 
-Defined results: null and empty texts have no lines to remove; lines with fewer
-than ``min_shingles`` distinct shingles of either kind are too short to judge and
-stay, copies too (below 16 characters with the defaults); a line
+Defined results: null and empty texts have no lines to remove; lines without a
+letter or digit stay; lines with fewer than ``min_shingles`` distinct shingles of
+either kind (below 16 characters with the defaults) are compared
+whole, but for case, and copies of them go; a line
 repeated in one document stays once; rows with equal id and text are one
 document and get equal results; null ids count as one id; an empty table gives
 an empty result; other columns are not read.
@@ -43,7 +46,8 @@ DENSE = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF90
 
 def shingles(line: Column, shingle: int) -> Column:
     """Sorted distinct hashes of the character shingles of a line."""
-    return _hashed(line, rf"(?:(?<![\p{{L}}\p{{N}}])|(?=[{DENSE}]))(?=([\p{{L}}\p{{N}}].{{0,{shingle - 1}}}))")
+    # Each match looks ahead for a shingle and then takes the rest of its word.
+    return _hashed(line, rf"(?=([a-z\p{{L}}\p{{N}}].{{0,{shingle - 1}}}))(?:[{DENSE}]|[a-z\p{{L}}\p{{N}}&&[^{DENSE}]]++)")
 
 
 def every_shingle(line: Column, shingle: int) -> Column:
@@ -63,18 +67,19 @@ def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _occurrences(docs: DataFrame, shingle: int, bottom: int, min_shingles: int) -> DataFrame:
     lines = docs.select("_id", "_r", F.posexplode(F.split("_t", "\n")).alias("_pos", "_line"))
-    lines = _sets(lines, shingle, min_shingles, "_id", "_r", "_pos")
-    lines = where_once(lines, (F.size("_s") >= min_shingles) | (F.size("_e") >= min_shingles))
+    lines = _sets(lines.where(F.col("_line").rlike(r"[\p{L}\p{N}]")), shingle, min_shingles, "_id", "_r", "_pos")
+    judged = (F.size("_s") >= min_shingles) | (F.size("_e") >= min_shingles)
     # The upper halves keep the order and are enough for a band.
-    least = lambda c: F.transform(F.slice(c, 1, bottom), lambda h: F.shiftright(h, 32).cast("int"))
-    return lines.select("_id", "_r", "_pos", F.xxhash64("_s", "_e").alias("_k"), least("_s").alias("_sig"), least("_e").alias("_esig"))
+    least = lambda c: F.when(judged, F.transform(F.slice(c, 1, bottom), lambda h: F.shiftright(h, 32).cast("int"))).otherwise(F.array().cast("array<int>"))
+    key = F.when(judged, F.xxhash64("_s", "_e")).otherwise(F.xxhash64(F.lower("_line"), F.lit(1)))
+    return lines.select("_id", "_r", "_pos", key.alias("_k"), least("_s").alias("_sig"), least("_e").alias("_esig"))
 
 
 def _sets(lines: DataFrame, shingle: int, min_shingles: int, *keys: str) -> DataFrame:
     """``_s``: shingles at word starts; ``_e``: at every place, where these are few."""
     lines = lines.select(*keys, "_line", shingles(F.col("_line"), shingle).alias("_s"))
     every = F.when(F.size("_s") < 2 * min_shingles, every_shingle(F.col("_line"), shingle)).otherwise(F.array().cast("array<bigint>"))
-    return lines.select(*keys, "_s", every.alias("_e"))
+    return lines.select(*keys, "_line", "_s", every.alias("_e"))
 
 
 def _bands(lines: DataFrame) -> DataFrame:
@@ -98,15 +103,37 @@ def _links(pairs: DataFrame, sets: DataFrame, threshold: float, min_shingles: in
     return both.where(similar).select(F.col("_a").alias("a"), F.col("_b").alias("b"))
 
 
-def _open_pairs(lines: DataFrame, sets: DataFrame, parts: DataFrame, threshold: float, min_shingles: int) -> DataFrame:
+def _open_rows(lines: DataFrame, sets: DataFrame, parts: DataFrame) -> DataFrame:
+    """(_k, _n, _m, _g, _band): the lines of each band that is in several components."""
+    known = sets.select("_k", F.size("_s").alias("_n"), F.size("_e").alias("_m")).join(parts.withColumnRenamed("node", "_k"), "_k", "left")
+    known = known.select("_k", "_n", "_m", F.coalesce("component", "_k").alias("_g"))
+    return _several(_bands(lines.join(known.select("_k"), "_k", "left_semi")).distinct().join(known, "_k"))
+
+
+def _several(rows: DataFrame) -> DataFrame:
+    ends = rows.groupBy("_band").agg(F.min("_g").alias("_lo"), F.max("_g").alias("_hi")).where("_lo <> _hi")
+    return rows.join(ends.select("_band"), "_band", "left_semi")
+
+
+def _held_twice(rows: DataFrame, sets: DataFrame, threshold: float, min_shingles: int) -> DataFrame:
+    """The rows of lines that can be similar to another line of these rows: at least
+    ``threshold`` of their shingles must be in a second one.  A passage that many lines
+    share leaves those with enough words of their own out."""
+    own = sets.join(rows.select("_k").distinct(), "_k", "left_semi")
+    each = lambda c, kind: F.transform(c, lambda h: F.struct(F.lit(kind).alias("_kind"), h.alias("_h")))
+    each = own.select("_k", F.explode(F.concat(each("_s", 0), each("_e", 1))).alias("_x")).select("_k", "_x._kind", "_x._h")
+    shared = each.groupBy("_kind", "_h").agg(F.count("*").alias("_c")).where("_c > 1")
+    held = each.join(shared, ["_kind", "_h"]).groupBy("_k").agg(F.count_if(F.col("_kind") == 0).alias("_hs"), F.count_if(F.col("_kind") == 1).alias("_he"))
+    enough = lambda held, n: (F.col(n) > 0) & (F.col(held) >= threshold * F.col(n) - 1e-9)
+    rows = rows.join(held, "_k").where(((F.col("_n") >= min_shingles) & enough("_hs", "_n")) | enough("_he", "_m"))
+    return _several(written(rows.drop("_hs", "_he"), "held"))
+
+
+def _open_pairs(rows: DataFrame, threshold: float, min_shingles: int) -> DataFrame:
     """(_a, _b): lines that share a band, are not in one component and are not
     too different in size.  The lines of a band, in the order of their components,
     fall into blocks; two blocks within one component do not meet."""
-    known = sets.select("_k", F.size("_s").alias("_n"), F.size("_e").alias("_m")).join(parts.withColumnRenamed("node", "_k"), "_k", "left")
-    known = known.select("_k", "_n", "_m", F.coalesce("component", "_k").alias("_g"))
-    rows = _bands(lines.join(known.select("_k"), "_k", "left_semi")).distinct().join(known, "_k")
-    band = "partition by _band"
-    rows = rows.selectExpr("*", f"min(_g) over ({band}) as _lo", f"max(_g) over ({band}) as _hi", f"row_number() over ({band} order by _g, _k) as _at").where("_lo <> _hi")
+    rows = rows.selectExpr("*", "row_number() over (partition by _band order by _g, _k) as _at")
     blocks = rows.groupBy("_band", F.expr(f"(_at - 1) div {BLOCK}").alias("_block"))
     blocks = blocks.agg(F.min("_g").alias("_lo"), F.max("_g").alias("_hi"), F.collect_list(F.struct("_k", "_n", "_m", "_g")).alias("_in"))
     one, two = blocks.alias("x"), blocks.alias("y")
@@ -153,14 +180,16 @@ def line_decisions(
     texts = keyed.where("_t is not null").join(places.withColumnRenamed("_id", "_pid").withColumnRenamed("_r", "_pr"), F.col("_id").eqNullSafe(F.col("_pid")) & (F.col("_r") == F.col("_pr")))
     texts = texts.select(F.split("_t", "\n").alias("_l"), F.explode("_at").alias("_at"))
     sets = texts.select(F.col("_at._k").alias("_k"), F.get("_l", F.col("_at._pos")).alias("_line"))
-    sets = written(_sets(sets, shingle, min_shingles, "_k").dropDuplicates(["_k"]), "sets")
+    sets = written(_sets(sets, shingle, min_shingles, "_k").drop("_line").dropDuplicates(["_k"]), "sets")
     release(spark)
     links = written(_links(pairs, sets, threshold, min_shingles), "links")
     release(spark)
 
     # What is left: all pairs of a band whose lines are not in one component yet.
     parts = components(links)
-    more = written(_links(_open_pairs(lines, sets, parts, threshold, min_shingles), sets, threshold, min_shingles), "links")
+    rows = written(_open_rows(lines, sets, parts), "open")
+    rows = _held_twice(rows, sets, threshold, min_shingles)
+    more = written(_links(_open_pairs(rows, threshold, min_shingles), sets, threshold, min_shingles), "links")
     release(spark)
     if not more.isEmpty():
         parts = components(links.unionByName(more))
