@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tiergraph.functions.expr import canonical
@@ -92,8 +92,8 @@ class SupplyGraph:
 
 def build(graph: SupplyGraph) -> SupplyGraph:
     """The graph itself if node ids are unique and edges end at nodes; else an
-    error names the first fault: a repeated id, or a missing source or target."""
-    again = graph.nodes.groupBy("id").agg(F.count("*").alias("n"), F.min("ordinal").alias("o")).where("n > 1").orderBy("o").first()
+    error names the first fault: the id that is repeated first, or a missing source or target."""
+    again = graph.nodes.select("id", "ordinal", F.row_number().over(Window.partitionBy("id").orderBy("ordinal")).alias("n")).where("n = 2").orderBy("ordinal").first()
     if again:
         raise BuildError(f"node id {again.id!r} is used more than once")
     known = graph.nodes.select("id")

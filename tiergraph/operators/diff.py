@@ -5,7 +5,7 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tiergraph import schema as S
@@ -149,16 +149,14 @@ def label_changes(pairs: DataFrame, x: str = "x.labels", y: str = "y.labels") ->
     return rows.select("a_id", "b_id", "l.*")
 
 
-def _greedy(rows: pd.DataFrame) -> pd.DataFrame:
-    """Each of b takes the first of a that has not been taken and matches."""
-    a, b = rows[rows.side == 0].sort_values("ordinal"), rows[rows.side == 1].sort_values("ordinal")
+def _greedy(pairs: pd.DataFrame) -> pd.DataFrame:
+    """Each of b, in order, takes the first of a that matches and has not been taken."""
     taken, out = set(), []
-    for y in b.itertuples():
-        for x in a.itertuples():
-            if x.ordinal not in taken and (set(x.ids) & set(y.ids) if len(x.ids) or len(y.ids) else x.key == y.key):
-                taken.add(x.ordinal)
-                out.append((x.ordinal, y.ordinal))
-                break
+    for b, rows in pairs.sort_values(["b", "a"]).groupby("b"):
+        first = next((a for a in rows.a if a not in taken), None)
+        if first is not None:
+            taken.add(first)
+            out.append((first, b))
     return pd.DataFrame(out, columns=["a", "b"])
 
 
@@ -167,20 +165,24 @@ def match_edges(a: DataFrame, b: DataFrame) -> DataFrame:
     identifiers, properties), ends as group numbers.
 
     Edges without external identifiers pair off by rank within what identifies them.
-    Buckets with such identifiers are paired greedily, a bucket a call."""
+    Others need a pair of identifiers that match; where an edge has several such partners,
+    those of its ends and type are paired greedily."""
     key = ["src", "dst", "type"]
     both = a.withColumn("side", F.lit(0)).unionByName(b.withColumn("side", F.lit(1))).where("type <> 'same_as'")
-    ext = externals(F.col("identifiers"))
-    both = both.select(*key, "side", "ordinal", edge_identity(F.col("type"), F.col("properties")).alias("key"), F.transform(ext, X.canonical).alias("ids"))
-    named = both.where(F.size("ids") > 0).select(*key).distinct()
-    plain = both.join(named, key, "left_anti")
-    from pyspark.sql import Window
-
+    both = both.withColumn("_ext", externals(F.col("identifiers")))
+    plain = both.where(F.size("_ext") == 0).select(*key, "side", "ordinal", edge_identity(F.col("type"), F.col("properties")).alias("key"))
     ranked = plain.withColumn("_nth", F.row_number().over(Window.partitionBy(*key, "key", "side").orderBy("ordinal")))
     keys = [*key, "key", "_nth"]
     pairs = ranked.where("side = 0").select(*keys, F.col("ordinal").alias("a")).join(ranked.where("side = 1").select(*keys, F.col("ordinal").alias("b")), keys).select("a", "b")
-    rest = both.join(named, key, "left_semi").groupBy(*key).applyInPandas(_greedy, "a long, b long")
-    return pairs.unionByName(rest)
+
+    each = both.select(*key, "side", "ordinal", F.explode("_ext").alias("i")).withColumn("_scheme", F.col("i.scheme")).withColumn("_value", X.trimmed(F.col("i.value")))
+    on = [*key, "_scheme", "_value"]
+    side = lambda n, name, ident: each.where(F.col("side") == n).select(*on, F.col("ordinal").alias(name), F.col("i").alias(ident))
+    met = side(0, "a", "i").join(side(1, "b", "j"), on).where(X.identifiers_match(F.col("i"), F.col("j"))).select(*key, "a", "b").distinct()
+    times = lambda c: F.count("*").over(Window.partitionBy(c))
+    met = written(met.select("*", times("a").alias("_na"), times("b").alias("_nb")), "edges")
+    rest = met.where("_na > 1 or _nb > 1").select(*key, "a", "b").groupBy(*key).applyInPandas(_greedy, "a long, b long")
+    return pairs.unionByName(met.where("_na = 1 and _nb = 1").select("a", "b")).unionByName(rest)
 
 
 def diff(a: SupplyGraph, b: SupplyGraph, only: Filter = Filter()) -> Diff:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tiergraph import schema as S
 from tiergraph.functions import expr as X
 from tiergraph.graph import ArgumentError, InvalidOutput, SupplyGraph
+from tiergraph.plans.shared import written
 
 
 def actions(g: SupplyGraph, scope: str, retain: DataFrame | None = None) -> DataFrame:
@@ -30,10 +31,12 @@ def public_canonicals(identifiers, node_type):
 
 
 def boundary_token(g: SupplyGraph, token=None):
-    """The opaque value of a stub: a salted hash, or what ``token`` gives (32 random
-    bytes) for a node without a public identifier."""
+    """The opaque value of a stub: a salted hash, or what ``token`` gives for a node without
+    a public identifier, else 32 random bytes: those of three numbers from the secure
+    generator of the runtime, hashed.  They are drawn anew whenever the plan runs."""
     known = public_canonicals(F.col("identifiers"), F.col("type"))
-    free = F.lower(F.hex(F.aes_encrypt(F.uuid(), F.lit("0" * 16)))) if token is None else token
+    drawn = F.concat(*[F.reflect(F.lit("java.util.UUID"), F.lit("randomUUID")) for _ in range(3)])
+    free = F.sha2(drawn, 256) if token is None else token
     return F.when(F.size(known) > 0, X.boundary_hash(known, F.col("_salt"))).otherwise(F.substring(free, 1, 64))
 
 
@@ -82,7 +85,7 @@ def redact_edges(g: SupplyGraph, scope: str, retain: DataFrame | None = None) ->
 
 def without_key(json, key: str):
     """A JSON object without one of its keys; null if none is left."""
-    left = F.map_filter(F.from_json(json, "map<string,string>"), lambda k, v: k != key)
+    left = F.map_filter(F.from_json(json, "map<string,variant>"), lambda k, v: k != key)
     return F.when(F.size(left) > 0, F.to_json(left))
 
 
@@ -92,7 +95,9 @@ def redact(g: SupplyGraph, scope: str, retain: DataFrame | None = None, token=No
     header = g.header.withColumn("disclosure_scope", F.lit(scope))
     if scope == "internal":
         return SupplyGraph(header, g.nodes, g.edges)
-    out = SupplyGraph(header, redact_nodes(g, scope, retain, token), redact_edges(g, scope, retain))
+    # Written once: random tokens must be the same for the check, the statistics and the output.
+    nodes = written(redact_nodes(g, scope, retain, token), "redacted")
+    out = SupplyGraph(header, nodes, redact_edges(g, scope, retain))
     if check:
         from tiergraph.operators.validate import is_valid
 

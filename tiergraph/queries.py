@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tiergraph import schema as S
 from tiergraph.functions import expr as X
 from tiergraph.operators import diff as D
 from tiergraph.operators import inspect as I
@@ -18,7 +19,6 @@ from tiergraph.plans.bridge import SALT, SQL, graph
 from tiergraph.plans.fixtures import FAULTY_SQL, PARTIES_SQL, faulty, parties
 
 QUERIES, ORACLES = {}, {}
-OWN = ("ownership", "operates", "legal_parentage")
 
 
 def define(name: str, f, sql: str | None, prefix: str = SQL, recursive: bool = False) -> None:
@@ -30,9 +30,7 @@ def define(name: str, f, sql: str | None, prefix: str = SQL, recursive: bool = F
 # -- selection ---------------------------------------------------------------
 def _sel(name: str, selectors: Selectors, nodes: str | None, edges: str | None = None) -> None:
     def run(spark, sf_dir) -> DataFrame:
-        # Edges of other types can't match, and are not made.
-        kinds = tuple(selectors.edge_types) or ("operates",)
-        n, e = match(graph(spark, sf_dir, kinds), selectors)
+        n, e = match(graph(spark, sf_dir), selectors)
         return n.select("id", "type").unionByName(e.select("id", "type"))
 
     parts = [f"SELECT id, type FROM g_nodes WHERE {nodes}"] * bool(nodes) + [f"SELECT id, type FROM g_edges WHERE {edges}"] * bool(edges)
@@ -49,7 +47,7 @@ _sel("sel_jurisdiction", Selectors(jurisdictions=["FRANCE", "NATION_3", "GERMANY
 _sel("sel_name", Selectors(names=["00007", "STEEL"]), "lower(name) LIKE '%00007%' OR lower(name) LIKE '%steel%'")
 _sel("sel_combined", Selectors(node_types=["organization"], schemes=["duns"], names=["1"]), "type = 'organization' AND name LIKE '%1%' AND id IN (SELECT id FROM g_idents WHERE scheme = 'duns')")
 _sel("sel_parsed", parse(node_type=["good"], label=["bulky"], name=["a"]), "type = 'good' AND lower(name) LIKE '%a%' AND id IN (SELECT id FROM g_labels WHERE key = 'bulky')")
-define("query_rows", lambda s, d: query(graph(s, d, ("ownership",)), Selectors(node_types=["facility"], edge_types=["ownership"])),
+define("query_rows", lambda s, d: query(graph(s, d), Selectors(node_types=["facility"], edge_types=["ownership"])),
        "SELECT 'node' AS kind, id, type, coalesce(name, '') AS detail FROM g_nodes WHERE type = 'facility' UNION ALL SELECT 'edge', id, type, source || ' -> ' || target FROM g_edges WHERE type = 'ownership'")
 define("query_counts", lambda s, d: counts(graph(s, d), Selectors(node_types=["organization"], edge_types=["produces", "operates"])),
        "SELECT 'node' AS kind, count(*) AS n FROM g_nodes WHERE type = 'organization' UNION ALL SELECT 'edge', count(*) FROM g_edges WHERE type IN ('produces', 'operates')")
@@ -60,13 +58,12 @@ define("inspect_edges", lambda s, d: I.edge_counts(graph(s, d)), "SELECT type, c
 define("inspect_identifiers", lambda s, d: I.identifier_counts(graph(s, d)), "SELECT scheme, count(*) AS n FROM g_idents GROUP BY scheme")
 define("inspect_totals", lambda s, d: I.totals(graph(s, d)).select("version", "snapshot_date", "nodes", "edges"),
        "SELECT '0.1.0' AS version, '2026-01-01' AS snapshot_date, (SELECT count(*) FROM g_nodes) AS nodes, (SELECT count(*) FROM g_edges) AS edges")
-define("ownership_sum", lambda s, d: I.owned(graph(s, d, OWN)), "SELECT target, sum(percentage) AS total FROM g_edges WHERE type = 'ownership' GROUP BY target")
-define("canonical_ids", lambda s, d: graph(s, d, OWN).identifiers().select("id", "pos", "canonical"),
+define("ownership_sum", lambda s, d: I.owned(graph(s, d)), "SELECT target, sum(percentage) AS total FROM g_edges WHERE type = 'ownership' GROUP BY target")
+define("canonical_ids", lambda s, d: graph(s, d).identifiers().select("id", "pos", "canonical"),
        "SELECT id, pos, CASE WHEN scheme IN ('nat-reg', 'vat') THEN scheme || ':' || coalesce(authority, '') || ':' || value ELSE scheme || ':' || value END AS canonical FROM g_idents")
-define("orgs_per_jurisdiction", lambda s, d: match(graph(s, d, OWN), Selectors(node_types=["organization"]))[0].groupBy("jurisdiction").agg(F.count("*").alias("n")),
+define("orgs_per_jurisdiction", lambda s, d: match(graph(s, d), Selectors(node_types=["organization"]))[0].groupBy("jurisdiction").agg(F.count("*").alias("n")),
        "SELECT jurisdiction, count(*) AS n FROM g_nodes WHERE type = 'organization' GROUP BY jurisdiction")
-define("neighbours_both", lambda s, d: graph(s, d, OWN).neighbours("S1", "both"),
-       "SELECT target AS id FROM g_edges WHERE source = 'S1' AND type IN ('ownership', 'operates', 'legal_parentage') UNION ALL SELECT source FROM g_edges WHERE target = 'S1' AND type IN ('ownership', 'operates', 'legal_parentage')")
+define("neighbours_both", lambda s, d: graph(s, d).neighbours("S1", "both"), "SELECT target AS id FROM g_edges WHERE source = 'S1' UNION ALL SELECT source FROM g_edges WHERE target = 'S1'")
 define("degree_in", lambda s, d: graph(s, d).edges.groupBy(F.col("target").alias("id")).agg(F.count("*").alias("n")), "SELECT target AS id, count(*) AS n FROM g_edges GROUP BY target")
 
 
@@ -83,7 +80,7 @@ def _reach(name: str, start: str, direction: str, kinds: tuple[str, ...], depth:
         sql = f", e AS ({edges}), a AS ({step}), r(id) AS (SELECT '{start}' UNION SELECT y FROM r JOIN a ON x = id) SELECT id FROM r WHERE id <> '{start}'"
 
     def run(spark, sf_dir):
-        out = T.reachable(graph(spark, sf_dir, kinds, cyclic), start, direction, list(kinds), depth)
+        out = T.reachable(graph(spark, sf_dir, cyclic=cyclic), start, direction, list(kinds), depth)
         return out.select("id") if depth is None and direction != "forward" else out.select("id", F.col("depth").cast("long").alias("depth"))
 
     define(name, run, sql, recursive=True)
@@ -102,50 +99,49 @@ _PATHS = """, e AS (SELECT source AS x, target AS y FROM g_edges WHERE type IN (
 
 
 def _shortest(spark, sf_dir):
-    path = T.shortest_path(graph(spark, sf_dir, ("ownership", "legal_parentage")), "S9", "S0")
+    path = T.shortest_path(graph(spark, sf_dir), "S9", "S0", edge_types=["ownership", "legal_parentage"])
     return spark.createDataFrame([("->".join(path), len(path) - 1)], "path string, length long")
 
 
 define("shortest_path", _shortest, _PATHS + " SELECT array_to_string(path, '->') AS path, len(path) - 1 AS length FROM p WHERE last = 'S0' ORDER BY len(path), path LIMIT 1", recursive=True)
-define("all_paths", lambda s, d: T.all_paths(graph(s, d, ("ownership", "legal_parentage")), "S9", "S0", 8).select(F.array_join("path", "->").alias("path")),
+define("all_paths", lambda s, d: T.all_paths(graph(s, d), "S9", "S0", 8, edge_types=["ownership", "legal_parentage"]).select(F.array_join("path", "->").alias("path")),
        _PATHS + " SELECT array_to_string(path, '->') AS path FROM p WHERE last = 'S0'", recursive=True)
 define("all_paths_topk", lambda s, d: T.paths(graph(s, d, ("ownership", "legal_parentage")), "S9", "S0", 3, 8).select(F.array_join("path", "->").alias("path")),
        _PATHS + " SELECT array_to_string(path, '->') AS path FROM p WHERE last = 'S0' ORDER BY len(path), path LIMIT 3", recursive=True)
-define("cycle_members", lambda s, d: T.cycle_components(graph(s, d, ("ownership",), True), ["ownership"]),
+define("cycle_members", lambda s, d: T.cycle_components(graph(s, d, cyclic=True), ["ownership"]),
        """, r(a, b) AS (SELECT source, target FROM g_cyclic UNION SELECT a, target FROM r JOIN g_cyclic ON source = b)
        SELECT x.a AS id, min(y.b) AS component FROM r x JOIN r y ON y.a = x.a JOIN r z ON z.a = y.b AND z.b = y.a WHERE x.a = x.b GROUP BY x.a""", recursive=True)
-define("cycles", lambda s, d: T.detect_cycles(graph(s, d, ("ownership",), True), ["ownership"]).select("component", F.size("cycle").cast("long").alias("length"), (F.col("cycle")[0] == F.element_at("cycle", -1)).alias("closed")), None)
+define("cycles", lambda s, d: T.detect_cycles(graph(s, d, cyclic=True), ["ownership"]).select("component", F.size("cycle").cast("long").alias("length"), (F.col("cycle")[0] == F.element_at("cycle", -1)).alias("closed")), None)
 
 # -- parts -------------------------------------------------------------------
 _IN = "(SELECT id FROM g_nodes WHERE id IN ('S1', 'S2', 'S3', 'F1', 'F2', 'P1'))"
 
 
 def _induced(spark, sf_dir):
-    g = graph(spark, sf_dir, (*OWN, "produces"))
+    g = graph(spark, sf_dir)
     out = G.induced(g, g.nodes.where(F.col("id").isin("S1", "S2", "S3", "F1", "F2", "P1")))
     return out.nodes.select("id", "type").unionByName(out.edges.select("id", "type"))
 
 
-define("induced", _induced, f"SELECT id, type FROM g_nodes WHERE id IN {_IN} UNION ALL SELECT id, type FROM g_edges WHERE source IN {_IN} AND target IN {_IN} AND type <> 'supplies' AND type <> 'composed_of'")
+define("induced", _induced, f"SELECT id, type FROM g_nodes WHERE id IN {_IN} UNION ALL SELECT id, type FROM g_edges WHERE source IN {_IN} AND target IN {_IN}")
 
 
-def _around(name: str, make, seeds: str, hops: int, kinds: tuple[str, ...]) -> None:
-    listed = ", ".join(f"'{k}'" for k in kinds)
-    sql = f""", e AS (SELECT * FROM g_edges WHERE type IN ({listed})), a AS (SELECT source AS x, target AS y FROM e UNION SELECT target, source FROM e),
+def _around(name: str, make, seeds: str, hops: int) -> None:
+    sql = f""", e AS (SELECT * FROM g_edges), a AS (SELECT source AS x, target AS y FROM e UNION SELECT target, source FROM e),
       r(id, depth) AS ({seeds} UNION SELECT y, depth + 1 FROM r JOIN a ON x = id WHERE depth < {hops}), s AS (SELECT DISTINCT id FROM r)
       SELECT id, type FROM g_nodes WHERE id IN (FROM s) UNION ALL SELECT id, type FROM e WHERE source IN (FROM s) AND target IN (FROM s)"""
 
     def run(spark, sf_dir):
-        out = make(graph(spark, sf_dir, kinds))
+        out = make(graph(spark, sf_dir))
         return out.nodes.select("id", "type").unionByName(out.edges.select("id", "type"))
 
     define(name, run, sql, recursive=True)
 
 
-_around("ego_r2", lambda g: G.ego(g, "S7", 2), "SELECT 'S7' AS id, 0 AS depth", 2, (*OWN, "produces"))
+_around("ego_r2", lambda g: G.ego(g, "S7", 2), "SELECT 'S7' AS id, 0 AS depth", 2)
 _around("selector_subgraph_x1", lambda g: G.selected(g, Selectors(identifiers=[("duns", "000000003")], edge_types=["legal_parentage"]), 1),
-        "SELECT 'S3' AS id, 0 AS depth UNION SELECT unnest([source, target]), 0 FROM g_edges WHERE type = 'legal_parentage'", 1, (*OWN, "produces"))
-_around("subgraph_ids", lambda g: G.subgraph(g, ["S2"], Selectors(node_types=["facility"], names=["none"]), 1, today="2026-01-01"), "SELECT 'S2' AS id, 0 AS depth", 1, OWN)
+        "SELECT 'S3' AS id, 0 AS depth UNION SELECT unnest([source, target]), 0 FROM g_edges WHERE type = 'legal_parentage'", 1)
+_around("subgraph_ids", lambda g: G.subgraph(g, ["S2"], Selectors(node_types=["facility"], names=["none"]), 1, today="2026-01-01"), "SELECT 'S2' AS id, 0 AS depth", 1)
 
 # -- validation --------------------------------------------------------------
 _LEI = "list_reduce(list_concat([0::BIGINT], list_transform(string_split(value, ''), lambda c: (CASE WHEN c >= 'A' THEN ascii(c) - 55 ELSE ascii(c) - 48 END)::BIGINT)), lambda acc, x: (CASE WHEN x > 9 THEN acc * 100 + x ELSE acc * 10 + x END) % 97)"
@@ -162,10 +158,11 @@ def _rule(rule_id: str, sql: str, name: str | None = None) -> None:
            f"SELECT '{rule_id}' AS rule_id, '{V.SEVERITY[int(rule_id[1])]}' AS severity, location FROM ({sql})", FAULTY_SQL)
 
 
+_TYPES, _SCHEMES = (", ".join(f"'{x}'" for x in xs) for xs in (S.EDGE_TYPES, S.CORE_SCHEMES))
 _rule("L1-GDM-01", f"SELECT {_NODE} AS location FROM (SELECT id, row_number() OVER (PARTITION BY id ORDER BY ordinal) AS r FROM f_nodes) WHERE r > 1")
 _rule("L1-GDM-02", f"SELECT {_EDGE} AS location FROM (SELECT id, row_number() OVER (PARTITION BY id ORDER BY ordinal) AS r FROM f_edges) WHERE r > 1")
 _rule("L1-GDM-03", f"SELECT {_FIELD(_EDGE, 'source')} AS location FROM f_edges WHERE source NOT IN (SELECT id FROM f_nodes) UNION ALL SELECT {_FIELD(_EDGE, 'target')} FROM f_edges WHERE target NOT IN (SELECT id FROM f_nodes)")
-_rule("L1-GDM-04", f"SELECT {_FIELD(_EDGE, 'type')} AS location FROM f_edges WHERE type = 'bogus'")
+_rule("L1-GDM-04", f"SELECT {_FIELD(_EDGE, 'type')} AS location FROM f_edges WHERE type NOT IN ({_TYPES}) AND type NOT LIKE '%.%'")
 _rule("L1-GDM-05", "SELECT 'header.reporting_entity' AS location FROM (SELECT count(*) AS n FROM f_nodes WHERE id = 'N1' AND type = 'organization') WHERE n = 0")
 _KIND = "(SELECT id AS n, any_value(type) AS kind FROM f_nodes GROUP BY id)"
 _OK = "CASE type WHEN 'supplies' THEN 'organization' WHEN 'ownership' THEN 'organization' WHEN 'operates' THEN {} END"
@@ -174,7 +171,7 @@ _rule("L1-GDM-06", f"""SELECT {_FIELD(_EDGE, 'source')} AS location FROM f_edges
 _rule("L1-EID-01", f"SELECT {_ID} || '.scheme' AS location FROM f_idents WHERE scheme = ''")
 _rule("L1-EID-02", f"SELECT {_ID} || '.value' AS location FROM f_idents WHERE value = ''")
 _rule("L1-EID-03", f"SELECT {_ID} || '.authority' AS location FROM f_idents WHERE scheme IN ('nat-reg', 'vat', 'internal') AND coalesce(authority, '') = ''")
-_rule("L1-EID-04", f"SELECT {_ID} || '.scheme' AS location FROM f_idents WHERE scheme = 'weird'")
+_rule("L1-EID-04", f"SELECT {_ID} || '.scheme' AS location FROM f_idents WHERE scheme NOT IN ('', {_SCHEMES}) AND scheme NOT LIKE '%.%'")
 _rule("L1-EID-05", f"SELECT {_ID} || '.value' AS location FROM f_idents WHERE scheme = 'lei' AND (NOT regexp_matches(value, '^[A-Z0-9]{{18}}[0-9]{{2}}$') OR {_LEI} <> 1)")
 _rule("L1-EID-06", f"SELECT {_ID} || '.value' AS location FROM f_idents WHERE scheme = 'duns' AND NOT regexp_matches(value, '^[0-9]{{9}}$')")
 _rule("L1-EID-07", f"SELECT {_ID} || '.value' AS location FROM f_idents WHERE scheme = 'gln' AND (NOT regexp_matches(value, '^[0-9]{{13}}$') OR NOT {_GLN})")
@@ -201,11 +198,11 @@ def _lei_status(spark, sf_dir):
 
 
 define("val_l3_eid_01", _lei_status, f"SELECT 'L3-EID-01' AS rule_id, 'info' AS severity, {_ID} || '.value' AS location FROM f_idents WHERE value = '5493006MHB84DD0ZWV18'", FAULTY_SQL)
-define("val_clean", lambda s, d: V.severity_counts(V.validate(graph(s, d, OWN), (1,), rules=[r for r in V.RULES if r != "L1-EID-03"])), "SELECT severity, n FROM (SELECT 'error' AS severity, 0 AS n) WHERE n > 0")
+define("val_clean", lambda s, d: V.severity_counts(V.validate(graph(s, d), (1,))), "SELECT severity, n FROM (SELECT 'error' AS severity, 0 AS n) WHERE n > 0")
 
 
 def _parent_cycles(spark, sf_dir):
-    g = graph(spark, sf_dir, ("legal_parentage",))
+    g = graph(spark, sf_dir)
     back = g.edges.where("id = 'lp:S2:S0'").selectExpr("*").withColumn("source", F.lit("S0")).withColumn("target", F.lit("S2")).withColumn("id", F.lit("lp:back"))
     g = type(g)(g.header, g.nodes, g.edges.unionByName(back))
     return V.validate(g, (3,), rules=["L3-MRG-02"])
@@ -275,39 +272,37 @@ _KEEP = "id IN (SELECT 'S' || s_suppkey FROM supplier WHERE s_suppkey % 2 = 0)"
 
 
 def _redacted(spark, sf_dir, scope: str = "partner"):
-    g = graph(spark, sf_dir, OWN)
-    g = type(g)(g.header, g.nodes.where("id like 'S%' or id like 'F%'"), g.edges)
+    g = graph(spark, sf_dir)
     keep = g.nodes.where("id like 'S%' and cast(substring(id, 2) as bigint) % 2 = 0").select("id")
     return g, R.redact(g, scope, keep, token=F.sha2("id", 256), check=False)
 
 
 _HASH = f"sha256(encode('duns:' || lpad(substr(id, 2), 9, '0')) || unhex('{SALT}'))"
 define("redact_nodes", lambda s, d: _redacted(s, d)[1].nodes.select("id", "type", "name"),
-       f"SELECT id, CASE WHEN {_KEEP} THEN type ELSE 'boundary_ref' END AS type, CASE WHEN {_KEEP} THEN name END AS name FROM g_nodes WHERE id LIKE 'S%' OR id LIKE 'F%'")
+       f"SELECT id, CASE WHEN {_KEEP} THEN type ELSE 'boundary_ref' END AS type, CASE WHEN {_KEEP} THEN name END AS name FROM g_nodes")
 define("redact_hash", lambda s, d: _redacted(s, d)[1].identifiers().where("type = 'boundary_ref'").select("id", "canonical"),
-       f"SELECT id, 'opaque:' || CASE WHEN id LIKE 'S%' THEN {_HASH} ELSE sha256(id) END AS canonical FROM g_nodes WHERE (id LIKE 'S%' OR id LIKE 'F%') AND NOT {_KEEP}")
+       f"SELECT id, 'opaque:' || CASE WHEN id LIKE 'S%' THEN {_HASH} ELSE sha256(id) END AS canonical FROM g_nodes WHERE NOT {_KEEP}")
 define("redact_identifiers", lambda s, d: _redacted(s, d, "public")[1].identifiers().where("type <> 'boundary_ref'").select("id", "canonical"), f"SELECT id, 'duns:' || value AS canonical FROM g_idents WHERE scheme = 'duns' AND {_KEEP}")
 define("redact_edges", lambda s, d: _redacted(s, d)[1].edges.select("id", "type"),
-       f"SELECT e.id, type FROM g_edges e WHERE type IN ('ownership', 'operates', 'legal_parentage') AND (source IN (SELECT id FROM g_nodes WHERE {_KEEP}) OR target IN (SELECT id FROM g_nodes WHERE {_KEEP}))")
+       f"SELECT e.id, type FROM g_edges e WHERE (source IN (SELECT id FROM g_nodes WHERE {_KEEP}) OR target IN (SELECT id FROM g_nodes WHERE {_KEEP}))")
 define("redact_statistics", lambda s, d: R.statistics(*_redacted(s, d)),
        f"""SELECT count(*) FILTER ({_KEEP}) AS nodes_retained, count(*) FILTER (NOT {_KEEP}) AS boundary_refs, 0 AS nodes_omitted,
-       (SELECT count(*) FROM g_edges e WHERE type IN ('ownership', 'operates', 'legal_parentage') AND (source IN (SELECT id FROM g_nodes WHERE {_KEEP}) OR target IN (SELECT id FROM g_nodes WHERE {_KEEP}))) AS edges_retained,
-       (SELECT count(*) FROM g_edges e WHERE type IN ('ownership', 'operates', 'legal_parentage') AND NOT (source IN (SELECT id FROM g_nodes WHERE {_KEEP}) OR target IN (SELECT id FROM g_nodes WHERE {_KEEP}))) AS edges_omitted
-       FROM g_nodes WHERE id LIKE 'S%' OR id LIKE 'F%'""")
+       (SELECT count(*) FROM g_edges e WHERE (source IN (SELECT id FROM g_nodes WHERE {_KEEP}) OR target IN (SELECT id FROM g_nodes WHERE {_KEEP}))) AS edges_retained,
+       (SELECT count(*) FROM g_edges e WHERE NOT (source IN (SELECT id FROM g_nodes WHERE {_KEEP}) OR target IN (SELECT id FROM g_nodes WHERE {_KEEP}))) AS edges_omitted
+       FROM g_nodes""")
 
 
 def _redact_props(spark, sf_dir):
-    from tiergraph import schema as S
-
-    g = graph(spark, sf_dir, ("ownership",))
-    over = F.when(F.col("source").endswith("1"), '{"_property_sensitivity":{"percentage":"confidential"},"note":"x"}')
+    g = graph(spark, sf_dir)
+    g = type(g)(g.header, g.nodes, g.edges.where("type = 'ownership'"))  # the others have no such properties
+    over = F.when(F.col("source").endswith("1"), '{"_property_sensitivity":{"percentage":"confidential"},"note":"x","n":5,"on":true,"o":{"k":1}}')
     props = S.properties(percentage=F.col("properties.percentage"), contract_ref=F.col("id"), volume=F.lit(2.0), volume_unit=F.lit("t"), extra=over)
     g = type(g)(g.header, g.nodes, g.edges.withColumn("properties", props))
     out = R.redact_edges(g, "public", g.nodes.select("id"))
     return out.select("id", *[F.col(f"properties.{c}").alias(c) for c in ("percentage", "contract_ref", "volume", "volume_unit", "extra")])
 
 
-define("redact_props", _redact_props, """SELECT id, CASE WHEN source LIKE '%1' THEN NULL ELSE percentage END AS percentage, NULL AS contract_ref, NULL::DOUBLE AS volume, 't' AS volume_unit, CASE WHEN source LIKE '%1' THEN '{"note":"x"}' END AS extra FROM g_edges WHERE type = 'ownership'""")
+define("redact_props", _redact_props, """SELECT id, CASE WHEN source LIKE '%1' THEN NULL ELSE percentage END AS percentage, NULL AS contract_ref, NULL::DOUBLE AS volume, 't' AS volume_unit, CASE WHEN source LIKE '%1' THEN '{"note":"x","n":5,"on":true,"o":{"k":1}}' END AS extra FROM g_edges WHERE type = 'ownership'""")
 
 # -- scalar functions --------------------------------------------------------
 define("scalar_functions", lambda s, d: s.read.parquet(f"{d}/supplier.parquet").select(
