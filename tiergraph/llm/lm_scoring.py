@@ -7,7 +7,8 @@ learnt from the documents outside the held fold, and from all of them:
    word hash; a shard adds the counts up and answers each block with those of its
    words.  No table of all words exists in one place.
 2. The vocabulary is the most frequent words, as many as the square root of the
-   training tokens, ``words`` at most.  The other words are one class.
+   training tokens, ``words`` at most.  The other words fall into 64 classes by their
+   shape: how they begin and end.
 3. The log-bilinear model (the vectors of the two classes before, through a
    matrix for each place, predict the vector of the next) is trained in numpy with
    noise-contrastive estimation on all training tokens: tasks train on their own
@@ -15,8 +16,7 @@ learnt from the documents outside the held fold, and from all of them:
    their parameters are averaged, those of a word by how often each task met it.
 4. Classes lie in clusters of the square root of their number, by frequency.
    Batched matrix products give the normalisers over the clusters, and over the
-   classes of each token's own cluster, so that probabilities sum to one.  A word outside the
-   vocabulary has the probability of its class times its smoothed share of the
+   classes of each token's own cluster, so that probabilities sum to one.  A rare word has the probability of its class times its smoothed share of the
    class, whose last share is for words never seen.
 
 Words are told apart by a 64-bit hash.
@@ -43,13 +43,27 @@ from tiergraph.llm._words import U, Chunk, chunks
 from tiergraph.llm.quality_classifier import fold
 from tiergraph.plans.shared import dropped, release, written
 
-END, RARE, FIRST = 0, 1, 2  # classes; words from FIRST on, and as a context only, the start after them
+SHAPES = 64
+END, RARE, FIRST = 0, 1, 1 + SHAPES  # classes: rare words from RARE, others from FIRST on; as a context only, the start after them
 NOISE, DIM, STEP = 32, 32, 4096
 BLOCK = 1 << 20
 LEVELS = 64 * 16
 FEWEST, START = -2, -3  # shards of what the driver reads: frequent words, and how many there are of each level
 
 
+_ENDING = np.full(256, 31, np.uint8)
+for _i, _c in enumerate(b"abcdefghijklmnopqrstuvwxyz"):
+    _ENDING[_c] = _ENDING[_c - 32] = _i
+for _i, _set in enumerate((b".", b",;:", b"0123456789", bytes(range(0x80, 0x100)), b"#*$%&<>|!?"), 26):
+    _ENDING[list(_set)] = _i
+
+
+def _shapes(chunk: Chunk) -> np.ndarray:
+    """0 to 63: the kind of a word's last byte, and whether it begins with a letter of A to Z."""
+    first, last = chunk.raw[chunk.starts], chunk.raw[chunk.ends - 1]
+    return _ENDING[last] + np.where((_ENDING[first] < 26), 32, 0).astype(np.uint8)
+
+
 def _level(count: np.ndarray) -> np.ndarray:
     return (16 * np.log2(np.maximum(count, 1))).astype(np.int64)
 
@@ -61,14 +75,15 @@ def _dealt(shards: int):
         base, held, texts, size, number = TaskContext.get().partitionId() << 32, [], [], 0, 0
 
         def flush():
-            h, train = (np.concatenate(x) for x in zip(*held, strict=True))
-            word, back = np.unique(h, return_inverse=True)
+            h, train, shape = (np.concatenate(x) for x in zip(*held, strict=True))
+            word, place, back = np.unique(h, return_index=True, return_inverse=True)
             count = np.bincount(back, train, len(word)).astype(np.uint32)
             cut = np.searchsorted(shard_of(word, shards), np.arange(shards + 1).astype(U))
             key, data = [TEXTS], [frozen(texts)]
             for s in np.flatnonzero(np.diff(cut)).tolist():
                 key.append(s)
-                data.append(pack(word[cut[s] : cut[s + 1]], count[cut[s] : cut[s + 1]].astype(np.uint64)))
+                own = slice(cut[s], cut[s + 1])
+                data.append(pack(word[own], count[own], shape[place[own]]))
             return rows(key, [base + number] * len(key), data)
 
         for b in batches:
@@ -76,7 +91,7 @@ def _dealt(shards: int):
             train = ~out.to_numpy(zero_copy_only=False).astype(bool)
             for chunk in chunks(column):
                 part = slice(chunk.first, chunk.first + chunk.n)
-                held.append((chunk.hashes(lower=True), train[part][chunk.doc_of_words()]))
+                held.append((chunk.hashes(lower=True), train[part][chunk.doc_of_words()], _shapes(chunk)))
                 texts.append(pa.RecordBatch.from_arrays([x.slice(chunk.first, chunk.n) for x in (ids, column, out)], ["id", "text", "held"]))
                 size += len(chunk.starts) + chunk.n
                 if size >= BLOCK:
@@ -90,17 +105,18 @@ def _dealt(shards: int):
 
 def _answers(most: int):
     """For each block the counts of its words, in their order; the shard's ``most`` frequent
-    words; and the tokens and words of each level of counts."""
+    words; and the tokens and words of each level of counts and shape."""
 
     def run(table: pa.Table) -> pa.Table:
         shard, blocks, parts = table.column("shard")[0].as_py(), table.column("block").to_pylist(), [unpack(x.as_py()) for x in table.column("data")]
-        word, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
+        word, place, back = np.unique(np.concatenate([p[0] for p in parts]), return_index=True, return_inverse=True)
+        shape = np.concatenate([p[2] for p in parts])[place].astype(np.int64)
         total = np.bincount(back, np.concatenate([p[1] for p in parts]), len(word)).astype(np.int64)
         edge = np.cumsum([0, *(len(p[0]) for p in parts)])
         data = [pack(total[back[x:y]]) for x, y in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True)]
         known = total > 0
-        level = _level(total[known])
-        sums = [np.bincount(level, w, LEVELS).astype(np.int64) for w in (total[known], None)]
+        level = _level(total[known]) * SHAPES + shape[known]
+        sums = [np.bincount(level, w, LEVELS * SHAPES).astype(np.int64) for w in (total[known], None)]
         top = np.lexsort((word, -total))[:most]
         top = top[total[top] > 0]
         return pa.Table.from_batches([rows([shard] * len(data) + [FEWEST, START], [*blocks, shard, shard], [*data, pack(word[top], total[top]), pack(*sums)])])
@@ -125,18 +141,20 @@ class Vocabulary:
     """The frequent words, with the totals over all words."""
 
     def __init__(self, answers: DataFrame, documents: int, words: int):
-        told = [unpack(bytes(r.data)) for r in answers.where(F.col("shard") == START).select("data").collect()]
-        tokens, types = (np.sum([x[i] for x in told], axis=0) if told else np.zeros(LEVELS, np.int64) for i in range(2))
+        tokens, types = np.zeros((2, LEVELS * SHAPES), np.int64)
+        for row in answers.where(F.col("shard") == START).select("data").toLocalIterator():
+            more = unpack(bytes(row.data))
+            tokens, types = tokens + more[0], types + more[1]
+        tokens, types = tokens.reshape(LEVELS, SHAPES), types.reshape(LEVELS, SHAPES)
         self.documents, self.total, self.distinct = documents, int(tokens.sum()) + documents, int(types.sum()) + bool(documents)
         size = min(words, max(64, math.isqrt(self.total)))
-        above = np.cumsum(types[::-1])[::-1]  # words of each level or more
+        above = np.cumsum(types.sum(1)[::-1])[::-1]  # words of each level or more
         least = int(np.argmax(above <= size)) if (above <= size).any() else LEVELS
         found = [unpack(bytes(r.blob)) for r in answers.where(F.col("shard") == FEWEST).select("data").mapInArrow(_above(least), BLOBS).collect()]
         word, count = (np.concatenate([np.zeros(0, t), *(x[i] for x in found)]) for i, t in ((0, U), (1, np.int64)))
         order = np.lexsort((word, -count))
-        rare = int(tokens.sum() - count.sum())
-        self.rare_types = int(types.sum()) - len(word)
-        self.counts = np.concatenate(([documents, rare], count[order])).astype(np.int64)
+        self.rare_types = types[:least].sum(0)
+        self.counts = np.concatenate(([documents], tokens[:least].sum(0), count[order])).astype(np.int64)
         self.words, self.number = np.sort(word), np.empty(len(word), np.int32)
         self.number[np.argsort(np.argsort(word))[order]] = np.arange(len(word)) + FIRST
 
@@ -144,8 +162,8 @@ class Vocabulary:
     def start(self) -> int:
         return len(self.counts)
 
-    def classes(self, h: np.ndarray) -> np.ndarray:
-        out = np.full(len(h), RARE, np.int32)
+    def classes(self, h: np.ndarray, shape: np.ndarray) -> np.ndarray:
+        out = shape.astype(np.int32) + RARE
         if len(self.words):
             at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
             hit = self.words[at] == h
@@ -156,8 +174,10 @@ class Vocabulary:
         return np.log10((count + 0.5) / (self.total + 0.5 * (self.distinct + 1)))
 
     def within(self, cls: np.ndarray, count: np.ndarray) -> np.ndarray:
-        """log10 of a word's share of the class of rare words; 0 for others."""
-        return np.where(cls == RARE, np.log10((count + 0.5) / (self.counts[RARE] + 0.5 * (self.rare_types + 1))), 0.0)
+        """log10 of a rare word's share of its class; 0 for others."""
+        rare = (cls >= RARE) & (cls < FIRST)
+        shape = np.where(rare, cls - RARE, 0)
+        return np.where(rare, np.log10((count + 0.5) / (self.counts[RARE + shape] + 0.5 * (self.rare_types[shape] + 1))), 0.0)
 
 
 def _tokens(chunk: Chunk, cls: np.ndarray, start: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -201,11 +221,11 @@ class Model:
         draw = lambda *shape: r.normal(0, 0.1, shape).astype(np.float32)
         self.p = {"context": draw(self.n + 1, DIM), "target": draw(self.n, DIM), "bias": self.log_noise[:, None].copy()}
         self.p |= {"near": np.eye(DIM, dtype=np.float32), "far": np.eye(DIM, dtype=np.float32) / 2, "cluster": draw(self.clusters, DIM), "offset": self.log_cluster[:, None].copy()}
-        self.old = {k: np.full_like(v, 1e-6) for k, v in self.p.items()}
+        self.old = {k: np.full((len(v), 1), 1e-6, np.float32) for k, v in self.p.items()}  # of each row
 
     def _step(self, name: str, rows_, grad, rate: float) -> None:
         x, v = self.p[name], self.old[name]
-        v[rows_] += grad * grad
+        v[rows_] += np.einsum("ij,ij->i", grad, grad)[:, None] / grad.shape[1]
         x[rows_] -= rate * grad / np.sqrt(v[rows_])
 
     def _contrast(self, q, hit, noise, vectors: str, bias: str, log_noise, rate: float):
@@ -292,7 +312,7 @@ def _trained(shared, first: bool):
                 texts = block.filter(pa.array(~block.column("held").to_numpy(zero_copy_only=False).astype(bool)))
                 for chunk in chunks(texts.column("text")):
                     h = chunk.hashes(lower=True)
-                    cls, one, two, at = _tokens(chunk, vocabulary.classes(h), vocabulary.start)
+                    cls, one, two, at = _tokens(chunk, vocabulary.classes(h, _shapes(chunk)), vocabulary.start)
                     # A text's length and first words say which round it is in: each is in one of them.
                     sums = np.concatenate((np.zeros(1, U), np.cumsum(h, dtype=U)))
                     early = ((sums[chunk.at[1:]] - sums[chunk.at[:-1]]) >> U(40)) % U(8) == 0
@@ -305,38 +325,44 @@ def _trained(shared, first: bool):
         out = []
         if seen:
             weight["bias"] = weight["target"]
-            for t, name in enumerate(Model.TABLES):
-                w = (weight[name] + 1e-3 * seen / model.n).astype(np.float64)
+            weight |= {name: np.full(len(model.p[name]), float(seen)) for name in Model.WHOLE}
+            for t, name in enumerate((*Model.TABLES, *Model.WHOLE)):
+                w = weight[name] + 1e-3 * seen / model.n
+                both = (np.concatenate((model.p[name], model.old[name]), 1) * w[:, None]).astype(np.float32)
                 for at in range(0, len(w), ROWS):
                     own = slice(at, at + ROWS)
-                    out.append((t << 24 | at // ROWS, pack(w[own], *(model.p[name][own] * w[own, None]).astype(np.float64).T, *(model.old[name][own] * w[own, None]).astype(np.float64).T)))
-            for t, name in enumerate(Model.WHOLE, len(Model.TABLES)):
-                x = model.p[name]
-                out.append((t << 24, pack(np.full(len(x), float(seen)), *(x * seen).astype(np.float64).T, *(model.old[name] * seen).astype(np.float64).T)))
+                    out.append((t << 24 | at // ROWS, pack(w[own], *both[own].T)))
         model.p, model.old = ({k: v[i] for k, v in before.items()} for i in range(2))  # the worker may be used again
         if out:
-            yield batch(out)
+            task = TaskContext.get().partitionId()
+            yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in out], pa.int32()), pa.array([task] * len(out), pa.int32()), pa.array([x for _, x in out], pa.binary())], ["key", "task", "blob"])
 
     return run
 
 
+SUMS = "key int, task int, blob binary"
+FAN = 32
+
+
 def _added(table: pa.Table) -> pa.Table:
     total = None
     for blob in table.column("blob"):
-        part = np.stack(unpack(blob.as_py()))
-        total = part if total is None else total + part
-    return pa.Table.from_batches([batch([(table.column("key")[0].as_py(), pack(*total))])])
+        part = [x.astype(np.float64) for x in unpack(blob.as_py())]
+        total = part if total is None else [x + y for x, y in zip(total, part, strict=True)]
+    return pa.table({"key": table.column("key")[:1], "task": table.column("task")[:1], "blob": pa.array([pack(total[0], *(x.astype(np.float32) for x in total[1:]))], pa.binary())})
 
 
-def _round(model: Model, vocabulary: Vocabulary, texts: DataFrame, first: bool) -> None:
+def _round(model: Model, vocabulary: Vocabulary, texts: DataFrame, tasks: int, first: bool) -> None:
     shared = texts.sparkSession.sparkContext.broadcast((vocabulary, model))
-    for key, blob in texts.mapInArrow(_trained(shared, first), BLOBS).groupBy("key").applyInArrow(_added, BLOBS).collect():
+    sums = texts.coalesce(tasks).mapInArrow(_trained(shared, first), SUMS)
+    while tasks > 1:  # no step adds up more than FAN
+        sums, tasks = sums.withColumn("task", F.floor(F.col("task") / FAN).cast("int")).groupBy("key", "task").applyInArrow(_added, SUMS), -(-tasks // FAN)
+    for key, _, blob in sums.collect():
         name = (*Model.TABLES, *Model.WHOLE)[key >> 24]
-        weight, *sums = unpack(bytes(blob))
-        value = (np.stack(sums, 1) / weight[:, None]).astype(np.float32)
-        at = (key & 0xFFFFFF) * ROWS
-        own = slice(at, at + len(weight))
-        model.p[name][own], model.old[name][own] = value[:, : value.shape[1] // 2], value[:, value.shape[1] // 2 :]
+        weight, *columns = unpack(bytes(blob))
+        value = np.stack(columns, 1) / weight[:, None]
+        own = slice((key & 0xFFFFFF) * ROWS, (key & 0xFFFFFF) * ROWS + len(weight))
+        model.p[name][own], model.old[name][own] = value[:, :-1], value[:, -1:]
 
 
 def _score(shared):
@@ -352,7 +378,7 @@ def _score(shared):
             word = np.unique(np.concatenate(hashes))
             for chunk, h in zip(own, hashes, strict=True):
                 count = counts[np.searchsorted(word, h)] if len(h) else np.zeros(0, np.int64)
-                cls, one, two, at = _tokens(chunk, vocabulary.classes(h), vocabulary.start)
+                cls, one, two, at = _tokens(chunk, vocabulary.classes(h, _shapes(chunk)), vocabulary.start)
                 token = np.full(at[-1], vocabulary.documents, np.int64)
                 inside = np.ones(at[-1], bool)
                 inside[at[1:] - 1] = False
@@ -366,10 +392,14 @@ def _score(shared):
 
 
 def fitted(texts: DataFrame, vocabulary: Vocabulary) -> Model:
-    """The model after all training tokens of the blocks of texts."""
+    """The model after all training tokens of the blocks of texts.
+
+    A task has 256 tokens or more for each word, so that what all tasks send of their
+    models is in proportion to the corpus."""
     model = Model(vocabulary.counts)
+    tasks = max(1, vocabulary.total // (256 * model.n))
     for first in (True, False):
-        _round(model, vocabulary, texts, first)
+        _round(model, vocabulary, texts, tasks, first)
     return model.ready()
 
 
