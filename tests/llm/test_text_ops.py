@@ -289,8 +289,8 @@ def test_lm_scoring(docs, corpus, empty, monkeypatch):
     # The score, token by token, from the model's own parameters.
     vocabulary, model = dealt[0]
     frequent = sorted((w for w in c if w != "\n"), key=lambda w: -c[w])
-    assert len(vocabulary.words) <= max(64, math.isqrt(n)) and vocabulary.counts[lm_scoring.RARE] == sum(c.values()) - c["\n"] - vocabulary.counts[2:].sum()
-    assert sorted(vocabulary.counts[2:].tolist()) == sorted(c[w] for w in frequent[: len(vocabulary.words)])
+    assert len(vocabulary.words) <= max(64, math.isqrt(n)) and vocabulary.counts[1:65].sum() == sum(c.values()) - c["\n"] - vocabulary.counts[65:].sum()
+    assert sorted(vocabulary.counts[65:].tolist()) == sorted(c[w] for w in frequent[: len(vocabulary.words)])
 
     def log10(cls, one, two):
         q = model.p["context"][one] @ model.p["near"] + model.p["context"][two] @ model.p["far"]
@@ -300,15 +300,18 @@ def test_lm_scoring(docs, corpus, empty, monkeypatch):
         within = soft(model.p["target"][same] @ q + model.p["bias"][same, 0])
         return (cluster[cls // model.width] + within[same.index(cls)]) / math.log(10)
 
-    classes = lambda w: vocabulary.classes(_words.Chunk(0, np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())])).hashes(True))[0]
+    def classes(w):
+        chunk = _words.Chunk(0, np.frombuffer(w.encode(), np.uint8), np.array([0, len(w.encode())]))
+        return vocabulary.classes(chunk.hashes(True), lm_scoring._shapes(chunk))[0]
+
     score = {(r.doc_id, r.n_tokens): r.score for r in rows}
     for i, t in corpus[:12] + corpus[88:96]:
         at, total = [vocabulary.start] * 2, 0.0
         for w in tokens(t):
             cls = 0 if w == "\n" else classes(w)
             total += log10(cls, at[-1], at[-2])
-            if cls == lm_scoring.RARE:
-                total += math.log10((c[w] + 0.5) / (vocabulary.counts[1] + 0.5 * (vocabulary.rare_types + 1)))
+            if 1 <= cls < 65:
+                total += math.log10((c[w] + 0.5) / (vocabulary.counts[cls] + 0.5 * (vocabulary.rare_types[cls - 1] + 1)))
             at.append(cls)
         assert abs(score[i, len(tokens(t))] - total) < 1e-3 * max(1, abs(total)), i
     assert lm_scoring.lm_scoring(empty).count() == 0
