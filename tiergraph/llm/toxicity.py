@@ -1,7 +1,7 @@
 """Toxicity scores from a bidirectional gated recurrent network over windows of words.
 
 Each word enters twice: as a hashed embedding of the word (A-Z lowered, without
-the punctuation after it), and as the sum of hashed embeddings of the character
+the punctuation around it), and as the sum of hashed embeddings of the character
 sequences it begins with, so that unseen forms of a known stem count.  Two
 gated recurrent layers, one for each direction, run over windows of ``WINDOW``
 words that overlap by half and cover the whole text; attention pools each
@@ -39,9 +39,10 @@ _PUNCT = np.isin(np.arange(256), list(b".,;:!?#*$%&|<>\"')(-"))
 
 def inputs(chunk: Chunk) -> np.ndarray:
     """One row for each word: its bucket, and the buckets of its beginnings."""
-    starts, ends = chunk.starts, chunk.ends.copy()
-    for _ in range(4):
-        ends -= (ends - 1 > starts) & _PUNCT[chunk.raw[ends - 1]] if len(ends) else 0
+    starts, ends = chunk.starts.copy(), chunk.ends.copy()
+    for _ in range(4 if len(ends) else 0):
+        ends -= (ends - 1 > starts) & _PUNCT[chunk.raw[ends - 1]]
+        starts += (ends - 1 > starts) & _PUNCT[chunk.raw[starts]]
     n = len(chunk.raw)
     sums = np.zeros(n + 1, U)
     np.cumsum(_BYTE[LOWER][chunk.raw] * powers(_ODD, n), out=sums[1:])
@@ -110,7 +111,9 @@ class Network:
     def logits(self, ids: np.ndarray, first: np.ndarray, length: np.ndarray, step: int = 2048) -> np.ndarray:
         """Of windows of the rows of ``ids``."""
         out = np.zeros(len(first), np.float32)
-        word = self._embed(ids) if len(ids) else np.zeros((0, WORD_DIM + CHAR_DIM), np.float32)
+        word = np.empty((len(ids), WORD_DIM + CHAR_DIM), np.float32)
+        for lo in range(0, len(ids), 1 << 16):
+            word[lo : lo + (1 << 16)] = self._embed(ids[lo : lo + (1 << 16)])
         for lo in range(0, len(first), step):
             f, n = first[lo : lo + step], length[lo : lo + step]
             place = np.arange(WINDOW)
@@ -241,6 +244,7 @@ def _read(batches):
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = 2000, folds: int = 5, held_fold: int = 0):
     found = []
+    labels = labels.where("toxic is not null").groupBy("doc_id").agg(F.min("toxic").alias("toxic"))
     for y in (0, 1):
         sample = labelled_sample(docs, labels.where(F.col("toxic") == y), "toxic", folds, held_fold, max_train)
         found += sample.mapInArrow(_read, "_id long, x binary, y int").collect()
