@@ -4,6 +4,7 @@ import io
 import itertools
 import json
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -246,3 +247,40 @@ def test_cli(spark, tmp_path):
     assert json.loads(run("convert", path, "--pretty")[1])["nodes"][1]["id"] == "b"
     assert run("validate", tmp_path / "none")[0] == 2 and run("nonsense")[0] == 2
     assert run("init", "--example")[0] == 0
+
+
+def test_the_first_repeated_id_is_named(make):
+    with pytest.raises(BuildError, match="'b'"):
+        build(make("abba"))
+
+
+def test_diff_matches_edges_by_their_identifiers(make):
+    ident = lambda v, **k: [{"scheme": "nat-reg", "value": v, **k}]
+    edge = lambda i, idents=None: {"id": i, "type": "supplies", "source": "a", "target": "b", "properties": {}} | ({"identifiers": idents} if idents else {})
+    met = lambda x, y: D.diff(make("ab", x), make("ab", y)).edges_matched.count()
+    assert met([edge("x", ident("7", authority="DE"))], [edge("y", ident(" 7 ", authority="de"))]) == 1
+    assert met([edge("x", ident("7", authority="DE"))], [edge("y", ident("7"))]) == 0
+    assert met([edge("x", ident("7", authority="DE", valid_to="2020-01-01"))], [edge("y", ident("7", authority="DE", valid_from="2021-01-01"))]) == 0
+    assert met([edge("x", ident("7", authority="DE"))], [edge("y")]) == 0
+    many = [edge(f"x{k}", ident("7", authority="DE")) for k in range(3)]
+    assert met(many + [edge("p"), edge("q")], many[:2] + [edge("p")]) == 3
+
+
+def test_redaction_keeps_types_and_draws_tokens_once(make):
+    from tiergraph.operators import redact as R
+
+    keep = {"_property_sensitivity": {"percentage": "confidential"}, "n": 5, "on": True, "o": {"k": [1, "x"]}, "s": "5"}
+    g = make([{"id": "a", "type": "organization"}, {"id": "b", "type": "organization"}, {"id": "p", "type": "person"}], [{"id": "e", "type": "ownership", "source": "a", "target": "b", "properties": {"percentage": 5.0, **keep}}])
+    out = R.redact(g, "public", g.nodes.where("id = 'a'").select("id"))
+    assert json.loads(out.edges.first().properties.extra) == {k: v for k, v in keep.items() if k[0] != "_"}
+    token = lambda: out.nodes.where("id = 'b'").first().identifiers[0].value
+    assert ids(out.nodes) == ["a", "b"] and re.fullmatch("[0-9a-f]{64}", token()) and token() == token()
+    assert token() != R.redact(g, "public", g.nodes.where("id = 'a'").select("id")).nodes.where("id = 'b'").first().identifiers[0].value
+
+
+def test_large_files_are_refused_unread(spark, tmp_path):
+    from tiergraph.sources import files
+
+    (tmp_path / "a.json").write_bytes(b"{" * 500)
+    with pytest.raises(files.ParseError, match="more than 100 bytes"):
+        files.load(spark, str(tmp_path), max_bytes=100)

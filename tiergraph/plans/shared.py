@@ -46,6 +46,20 @@ def written(df: DataFrame, label: str = "part", by: str | None = None) -> DataFr
     return spark.read.schema(df.schema).parquet(path)
 
 
+def put(spark: SparkSession, data: dict[str, bytes]) -> str:
+    """Files by name in a new folder of the shared one; its path."""
+    path = f"{shared_dir(spark)}/put-{uuid.uuid4().hex}"
+    for name, content in data.items():
+        target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/{name}")
+        out = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(target)
+        try:
+            out.write(bytearray(content))
+        finally:
+            out.close()
+    atexit.register(_remove, spark, path)
+    return path
+
+
 def dropped(table: DataFrame, part: str = "") -> None:
     """Removes the files of a written table that nothing reads any more, or of its folder ``part``."""
     for folder in {f.rpartition("/")[0] for f in table.inputFiles()}:

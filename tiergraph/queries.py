@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -17,6 +19,8 @@ from tiergraph.operators import validate as V
 from tiergraph.operators.select import Selectors, counts, match, parse, query
 from tiergraph.plans.bridge import SALT, SQL, graph
 from tiergraph.plans.fixtures import FAULTY_SQL, PARTIES_SQL, faulty, parties
+from tiergraph.plans.shared import put, shared_dir
+from tiergraph.sources import files, xlsx
 
 QUERIES, ORACLES = {}, {}
 
@@ -267,6 +271,48 @@ define("diff_summary", lambda s, d: D.diff(*parties(s, d)).summary(), """, met A
 define("diff_filtered", lambda s, d: D.diff(*parties(s, d), D.Filter(node_types=["organization"], edge_types=["supplies"], ignore=["name"])).summary().select("nodes_modified", "edges_added", "edges_removed"),
        "SELECT count(*) AS nodes_modified, 0 AS edges_added, 0 AS edges_removed FROM x JOIN y USING (k)", _DN)
 
+# -- files -------------------------------------------------------------------
+def _stored(spark, sf_dir, how: str):
+    """The parties, written to files in the shared folder and read again."""
+    from tiergraph import cli
+
+    both = parties(spark, sf_dir)
+    if how == "parquet":
+        path = f"{shared_dir(spark)}/stored-{uuid.uuid4().hex}"
+        files.save_parquet(both[0], path)
+        return files.load_parquet(spark, path)
+    values = [files.to_value(g) for g in both]
+    if how == "xlsx":
+        return cli.graph_of(spark, xlsx.import_full(xlsx.read(xlsx.export_full(values[0])), salt=SALT))
+    target, packed = how.split("+")[0], how.endswith("+zstd")
+    return files.load(spark, put(spark, {f"{i}.{target}": files.encode(v, target, packed, pretty=i == 1 and target == "json") for i, v in enumerate(values)}))
+
+
+_P0 = PARTIES_SQL + ", x AS (SELECT * FROM p_nodes WHERE f = 0), ex AS (SELECT * FROM p_edges WHERE f = 0)"
+_READ_NODES = "SELECT f AS file_idx, id, 'organization' AS type, name, 'DE' AS jurisdiction FROM p_nodes"
+
+
+def _read_nodes(how: str):
+    return lambda s, d: _stored(s, d, how).nodes.select("file_idx", "id", "type", "name", F.lit("DE").alias("jurisdiction"))
+
+
+define("files_json_labels", lambda s, d: _stored(s, d, "json").node_labels(), "SELECT id, 'key' AS key, k::VARCHAR AS value FROM p_nodes UNION ALL SELECT id, 'seen', CASE WHEN f = 1 THEN 'b' END FROM p_nodes", PARTIES_SQL)
+define("files_json_header", lambda s, d: _stored(s, d, "json").header.select("file_idx", "version", "snapshot_date", "file_salt"),
+       f"SELECT f AS file_idx, '0.1.0' AS version, '2026-01-0' || (f + 1) AS snapshot_date, '{SALT}' AS file_salt FROM range(2) t(f)", "x AS (SELECT 1)")
+define("files_json_zstd_edges", lambda s, d: _stored(s, d, "json+zstd").edges.select("file_idx", "id", "type", "source", "target", "properties.percentage", "properties.valid_from"),
+       """SELECT f AS file_idx, 'w' || k AS id, 'ownership' AS type, CASE f WHEN 0 THEN 'S' ELSE 'T' END || k AS source, CASE f WHEN 0 THEN 'S' ELSE 'T' END || up AS target, share AS percentage,
+       CASE WHEN k % 2 = 0 THEN CASE f WHEN 1 THEN '2020-1-5' ELSE '2020-01-05' END END AS valid_from FROM p_edges""", PARTIES_SQL)
+define("files_cbor_nodes", _read_nodes("cbor"), _READ_NODES, PARTIES_SQL)
+define("files_cbor_zstd_idents", lambda s, d: _stored(s, d, "cbor+zstd").identifiers().select("id", "pos", "canonical"),
+       "SELECT id, 0 AS pos, 'duns:' || lpad(k::VARCHAR, 9, '0') AS canonical FROM p_nodes UNION ALL SELECT id, 1, CASE f WHEN 0 THEN 'internal:' || k ELSE 'vat:DE:' || k END FROM p_nodes", PARTIES_SQL)
+define("files_parquet_idents", lambda s, d: _stored(s, d, "parquet").identifiers().select("id", "pos", "canonical"),
+       "SELECT id, 0 AS pos, 'duns:' || lpad(k::VARCHAR, 9, '0') AS canonical FROM x UNION ALL SELECT id, 1, 'internal:' || k FROM x", _P0)
+define("files_parquet_edges", lambda s, d: _stored(s, d, "parquet").edges.select("id", "type", "source", "target", "properties.percentage"),
+       "SELECT 'w' || k AS id, 'ownership' AS type, 'S' || k AS source, 'S' || up AS target, share AS percentage FROM ex", _P0)
+define("files_xlsx_nodes", lambda s, d: _stored(s, d, "xlsx").nodes.select("id", "type", "name", "jurisdiction"), "SELECT id, 'organization' AS type, name, 'DE' AS jurisdiction FROM x", _P0)
+define("files_xlsx_edges", lambda s, d: _stored(s, d, "xlsx").edges.select("type", "source", "target", "properties.percentage"),
+       "SELECT 'ownership' AS type, 'S' || k AS source, 'S' || up AS target, share AS percentage FROM ex", _P0)
+
 # -- redaction ---------------------------------------------------------------
 _KEEP = "id IN (SELECT 'S' || s_suppkey FROM supplier WHERE s_suppkey % 2 = 0)"
 

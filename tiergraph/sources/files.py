@@ -173,14 +173,19 @@ def load(spark: SparkSession, paths: str | list[str], max_bytes: int = MAX_BYTES
     """One graph of all files, numbered by their order of path; a file that can't be
     parsed stops the read. A snapshot of up to ``max_bytes`` is one row."""
     raw = spark.read.format("binaryFile").load(paths)
-    order = [r.path for r in raw.select("path").orderBy("path").collect()]
+    # Names and lengths come from the listing: no content is read for them.
+    listed = raw.select("path", "length").orderBy("path").collect()
+    for r in listed:
+        if r.length > max_bytes:
+            raise ParseError(f"{r.path}: more than {max_bytes} bytes")
+    order = {r.path: i for i, r in enumerate(listed)}
 
     def read(batches):
         for b in batches:
             rows = []
             for path, content in zip(b["path"], b["content"], strict=True):
                 head, nodes, edges = tables(decode(bytes(content), max_bytes)[0])
-                i = order.index(path)
+                i = order[path]
                 place = lambda k, i=i: {"file_idx": i, "ordinal": i << 40 | k}
                 rows.append(("header", json.dumps(head | {"file_idx": i})))
                 rows += [("node", json.dumps(x | place(k))) for k, x in enumerate(nodes)]
