@@ -39,15 +39,20 @@ from pyspark.sql import functions as F
 from tiergraph.components import components
 from tiergraph.plans.shared import release, where_once, written
 
-BLOCK = 64
-#: Scripts without spaces: Thai, Lao, Myanmar, Khmer, kana, Han.
+BLOCK = 64  # lines of a band that are compared in one row
+FEW = 16  # lines of a band that are compared without looking at their shingles first
+#: Scripts without spaces: Thai, Lao, Myanmar, Khmer, kana, Han; and all others beyond ASCII.
 DENSE = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
+SPACED = r"\x80-\u0DFF\u0F00-\u0FFF\u10A0-\u177F\u1800-\u303F\u3100-\u33FF\uA000-\uF8FF\uFB00-\x{1FFFF}\x{40000}-\x{10FFFF}"
 
 
 def shingles(line: Column, shingle: int) -> Column:
-    """Sorted distinct hashes of the character shingles of a line."""
-    # Each match looks ahead for a shingle and then takes the rest of its word.
-    return _hashed(line, rf"(?=([a-z\p{{L}}\p{{N}}].{{0,{shingle - 1}}}))(?:[{DENSE}]|[a-z\p{{L}}\p{{N}}&&[^{DENSE}]]++)")
+    """Sorted distinct hashes of the character shingles of a line.
+
+    A word is a run of ASCII letters and digits and of all other characters beyond ASCII."""
+    # Each match looks ahead for a shingle and then takes the rest of its word. Plain
+    # ranges, as classes by category cost a third more here.
+    return _hashed(line, rf"(?=([a-z0-9\x80-\x{{10FFFF}}].{{0,{shingle - 1}}}))(?:[a-z0-9{SPACED}]++|[{DENSE}])")
 
 
 def every_shingle(line: Column, shingle: int) -> Column:
@@ -104,44 +109,46 @@ def _links(pairs: DataFrame, sets: DataFrame, threshold: float, min_shingles: in
 
 
 def _open_rows(lines: DataFrame, sets: DataFrame, parts: DataFrame) -> DataFrame:
-    """(_k, _n, _m, _g, _band): the lines of each band that is in several components."""
+    """(_band, _k, _n, _m, _g, _main, _size): the lines of each band that is in several
+    components, with the largest of these and how many lines there are."""
     known = sets.select("_k", F.size("_s").alias("_n"), F.size("_e").alias("_m")).join(parts.withColumnRenamed("node", "_k"), "_k", "left")
     known = known.select("_k", "_n", "_m", F.coalesce("component", "_k").alias("_g"))
     return _several(_bands(lines.join(known.select("_k"), "_k", "left_semi")).distinct().join(known, "_k"))
 
 
 def _several(rows: DataFrame) -> DataFrame:
-    ends = rows.groupBy("_band").agg(F.min("_g").alias("_lo"), F.max("_g").alias("_hi")).where("_lo <> _hi")
-    return rows.join(ends.select("_band"), "_band", "left_semi")
+    each = rows.groupBy("_band", "_g").agg(F.count("*").alias("_c"))
+    bands = each.groupBy("_band").agg(F.max_by("_g", F.struct("_c", "_g")).alias("_main"), F.sum("_c").alias("_size"), F.count("*").alias("_parts"))
+    return rows.join(bands.where("_parts > 1").drop("_parts"), "_band")
 
 
 def _held_twice(rows: DataFrame, sets: DataFrame, threshold: float, min_shingles: int) -> DataFrame:
     """The rows of lines that can be similar to another line of these rows: at least
     ``threshold`` of their shingles must be in a second one.  A passage that many lines
-    share leaves those with enough words of their own out."""
+    share leaves those with enough words of their own out.  _hs and _he: how many are."""
     own = sets.join(rows.select("_k").distinct(), "_k", "left_semi")
     each = lambda c, kind: F.transform(c, lambda h: F.struct(F.lit(kind).alias("_kind"), h.alias("_h")))
     each = own.select("_k", F.explode(F.concat(each("_s", 0), each("_e", 1))).alias("_x")).select("_k", "_x._kind", "_x._h")
     shared = each.groupBy("_kind", "_h").agg(F.count("*").alias("_c")).where("_c > 1")
-    held = each.join(shared, ["_kind", "_h"]).groupBy("_k").agg(F.count_if(F.col("_kind") == 0).alias("_hs"), F.count_if(F.col("_kind") == 1).alias("_he"))
+    held = each.join(shared, ["_kind", "_h"]).groupBy("_k").agg(F.count_if(F.col("_kind") == 0).cast("int").alias("_hs"), F.count_if(F.col("_kind") == 1).cast("int").alias("_he"))
     enough = lambda held, n: (F.col(n) > 0) & (F.col(held) >= threshold * F.col(n) - 1e-9)
-    rows = rows.join(held, "_k").where(((F.col("_n") >= min_shingles) & enough("_hs", "_n")) | enough("_he", "_m"))
-    return _several(written(rows.drop("_hs", "_he"), "held"))
+    rows = rows.drop("_main", "_size").join(held, "_k").where(((F.col("_n") >= min_shingles) & enough("_hs", "_n")) | enough("_he", "_m"))
+    return _several(rows)
 
 
 def _open_pairs(rows: DataFrame, threshold: float, min_shingles: int) -> DataFrame:
-    """(_a, _b): lines that share a band, are not in one component and are not
-    too different in size.  The lines of a band, in the order of their components,
-    fall into blocks; two blocks within one component do not meet."""
-    rows = rows.selectExpr("*", "row_number() over (partition by _band order by _g, _k) as _at")
-    blocks = rows.groupBy("_band", F.expr(f"(_at - 1) div {BLOCK}").alias("_block"))
-    blocks = blocks.agg(F.min("_g").alias("_lo"), F.max("_g").alias("_hi"), F.collect_list(F.struct("_k", "_n", "_m", "_g")).alias("_in"))
-    one, two = blocks.alias("x"), blocks.alias("y")
-    met = one.join(two, F.expr("x._band = y._band and x._block <= y._block and not (x._lo = y._hi and x._hi = y._lo)"))
+    """(_a, _b): lines that share a band, are not in one component, and may be similar by
+    their sizes and by how many shingles of theirs are in other lines.  The lines of a band fall into blocks;
+    two blocks within the largest component do not meet."""
+    cut = F.pmod(F.xxhash64("_k"), F.ceil(F.col("_size") / BLOCK)).alias("_cut")
+    blocks = rows.select("_band", (F.col("_g") != F.col("_main")).alias("_out"), cut, F.struct("_k", "_n", "_m", "_g", "_hs", "_he").alias("_row"))
+    blocks = blocks.groupBy("_band", "_out", "_cut").agg(F.collect_list("_row").alias("_in"))
+    one, two = blocks.where("_out").alias("x"), blocks.alias("y")
+    met = one.join(two, F.expr("x._band = y._band and (not y._out or x._cut <= y._cut)"))
     # Dealt out again, so that the blocks of one band are compared in many tasks.
-    met = met.selectExpr("x._band as _band", "x._block as _bx", "y._block as _by", "x._in as _x", "y._in as _y").repartition("_band", "_bx", "_by")
-    close = lambda n: f"least(a.{n}, b.{n}) >= {threshold} * greatest(a.{n}, b.{n}) - 1e-9"
-    near = f"a._g <> b._g and if(least(a._n, b._n) >= {min_shingles}, {close('_n')}, {close('_m')})"
+    met = met.selectExpr("x._band as _band", "x._cut as _bx", "y._cut as _by", "y._out as _out", "x._in as _x", "y._in as _y").repartition("_band", "_bx", "_by", "_out")
+    close = lambda n, held: f"(1 + {threshold}) * least(a.{held}, b.{held}, a.{n}, b.{n}) >= {threshold} * (a.{n} + b.{n}) - 1e-9"
+    near = f"a._g <> b._g and if(least(a._n, b._n) >= {min_shingles}, {close('_n', '_hs')}, {close('_m', '_he')})"
     found = met.selectExpr(f"explode(flatten(transform(_x, a -> transform(filter(_y, b -> {near}), b -> struct(least(a._k, b._k) as _a, greatest(a._k, b._k) as _b))))) as _p")
     return found.select("_p.*").distinct()
 
@@ -188,7 +195,8 @@ def line_decisions(
     # What is left: all pairs of a band whose lines are not in one component yet.
     parts = components(links)
     rows = written(_open_rows(lines, sets, parts), "open")
-    rows = _held_twice(rows, sets, threshold, min_shingles)
+    few = rows.where(F.col("_size") <= FEW).withColumns({"_hs": F.col("_n"), "_he": F.col("_m")})
+    rows = few.unionByName(_held_twice(rows.where(F.col("_size") > FEW), sets, threshold, min_shingles))
     more = written(_links(_open_pairs(rows, threshold, min_shingles), sets, threshold, min_shingles), "links")
     release(spark)
     if not more.isEmpty():
