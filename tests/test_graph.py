@@ -284,3 +284,19 @@ def test_large_files_are_refused_unread(spark, tmp_path):
     (tmp_path / "a.json").write_bytes(b"{" * 500)
     with pytest.raises(files.ParseError, match="more than 100 bytes"):
         files.load(spark, str(tmp_path), max_bytes=100)
+
+
+def test_diff_for_people(make):
+    from tiergraph.operators.diff import to_lines
+
+    a = make([{"id": "a", "type": "organization", "name": "N", "identifiers": [{"scheme": "duns", "value": "000000001"}]}, "b", "c"], ["ab"])
+    b = make([{"id": "z", "type": "organization", "name": "M", "labels": [{"key": "k", "value": "v"}], "identifiers": [{"scheme": "duns", "value": "000000001"}]}, "b", "d"], [("z", "b"), ("b", "d")])
+    lines = [r.line for r in to_lines(D.diff(a, b)).collect()]
+    assert lines == ["+ edge e1 (supplies)", "+ node d (organization)", "- node c (organization)", "~ node a = z: + label k=v", "~ node a = z: name: N -> M"]
+
+
+def test_register_lookup(spark, make):
+    idents = make([{"id": "a", "type": "organization", "identifiers": [{"scheme": "nat-reg", "authority": "RA1", "value": "7"}, {"scheme": "nat-reg", "authority": "RA2", "value": "7"}]}]).identifiers().select("id", "ident.*")
+    known = V.External(natreg=spark.createDataFrame([("RA1", "7", "ACTIVE")], "authority string, value string, status string"))
+    assert [(r.id, r.authority, r.status) for r in known.registered(idents).collect()] == [("a", "RA1", "ACTIVE")]
+    assert V.External().registered(idents).count() == 0

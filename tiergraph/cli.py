@@ -176,7 +176,7 @@ def _run(a, spark: SparkSession, out) -> int:
         other = graph_of(spark, files.decode(_read(a.other, a.max_file_size), a.max_file_size)[0])
         d = D.diff(g, other, D.Filter(a.node_type, a.edge_type, a.ignore or []))
         show(d.warnings)
-        show(D.to_json(d))
+        show(D.to_json(d) if a.format == "json" else D.to_lines(d))
         return int(not d.is_empty())
     if a.command in ("query", "subgraph"):
         words = (a.node_type, a.edge_type, a.label, a.identifier, a.jurisdiction, a.name)

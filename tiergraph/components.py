@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tiergraph.plans.shared import written
@@ -38,11 +38,13 @@ def components(links: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 6
     edges = written(edges, "edges")
     before = None
     for _ in range(max_rounds):
-        edges = written(_stars(_stars(edges, small=False), small=True), "edges")
-        now = edges.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x")).first()
-        if (now.n, now.x) == before:
+        # Counted while it is written: each round is one job.
+        seen = Observation()
+        edges = written(_stars(_stars(edges, small=False), small=True).observe(seen, F.count("*").alias("n"), F.expr("bit_xor(xxhash64(u, v))").alias("x")), "edges")
+        now = (seen.get["n"], seen.get["x"])
+        if now == before:
             break
-        before = (now.n, now.x)
+        before = now
     else:
         raise RuntimeError("components did not settle")
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(

@@ -241,3 +241,20 @@ def to_json(d: Diff) -> DataFrame:
     for kind, df in (("node_changed", d.node_changes), ("identifier", d.identifiers), ("label", d.labels), ("edge_changed", d.edge_changes)):
         out = out.unionByName(df.select(F.lit(kind).alias("kind"), F.to_json(F.struct(*df.columns)).alias("json")))
     return out
+
+
+def to_lines(d: Diff) -> DataFrame:
+    """(line) for people to read: + and - for what is added and removed, ~ for what has changed."""
+    text = lambda *parts: F.concat(*[p if isinstance(p, Column) else F.lit(p) for p in parts])
+    shown = lambda c: F.coalesce(F.col(c), F.lit("none"))
+    pair = F.when(F.col("a_id") == F.col("b_id"), F.col("a_id")).otherwise(F.concat_ws(" = ", "a_id", "b_id"))
+    sign = F.when(F.col("change") == "added", "+").when(F.col("change") == "removed", "-").otherwise("~")
+    changed = lambda what, df: df.select(text(f"~ {what} ", pair, ": ", F.col("field"), ": ", shown("old_value"), " -> ", shown("new_value")).alias("line"))
+    rows = [df.select(text(f"{mark} {what} ", F.col("id"), " (", F.col("type"), ")").alias("line")) for mark, what, df in (("+", "node", d.nodes_added), ("-", "node", d.nodes_removed), ("+", "edge", d.edges_added), ("-", "edge", d.edges_removed))]
+    rows += [changed("node", d.node_changes), changed("edge", d.edge_changes)]
+    rows.append(d.identifiers.select(text("~ node ", pair, ": ", sign, " identifier ", F.col("canonical")).alias("line")))
+    rows.append(d.labels.select(text("~ node ", pair, ": ", sign, " label ", F.concat_ws("=", "key", "value")).alias("line")))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out.orderBy(F.substring("line", 3, 4), "line")

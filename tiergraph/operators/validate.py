@@ -26,6 +26,13 @@ class External:
     lei: DataFrame | None = None
     natreg: DataFrame | None = None
 
+    def registered(self, identifiers: DataFrame) -> DataFrame:
+        """The rows (authority, value, ...) that the national registers know, with their status.
+        No rule uses it; a row without a record has no data, which is no fault."""
+        if self.natreg is None:
+            return identifiers.where(F.lit(False)).withColumn("status", F.lit(None).cast("string"))
+        return identifiers.join(self.natreg.dropDuplicates(["authority", "value"]), ["authority", "value"])
+
 
 RULES: dict[str, tuple[int, Callable[[SupplyGraph, External | None], DataFrame | None]]] = {}
 
