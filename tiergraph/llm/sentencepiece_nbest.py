@@ -240,7 +240,7 @@ def solve_units(pieces: Pieces, units: list[bytes], n: int) -> Solved:
     scores, at, length = np.full((len(units), n), np.nan), np.zeros((len(units), n), np.int64), np.zeros((len(units), n), np.int64)
     ids, base = [], 0
     for same in np.split(order, np.flatnonzero(np.diff(size[order])) + 1):
-        step = max(1, min(BATCH, (1 << 21) // max(1, int(size[same[0]]) * min(int(size[same[0]]), pieces.longest)))) if len(same) else 1
+        step = max(1, min(BATCH, (1 << 20) // max(1, int(size[same[0]]) * min(int(size[same[0]]), pieces.longest)))) if len(same) else 1
         for k in range(0, len(same), step):
             part = same[k : k + step]
             s = solve(pieces, [units[i] for i in part.tolist()], n)
@@ -304,7 +304,7 @@ def _units(pieces: Pieces, chunk):
 class Codec:
     """Encodes and decodes; solved units are kept up to a bound."""
 
-    def __init__(self, pieces: Pieces, n: int, keep: int = 250_000):
+    def __init__(self, pieces: Pieces, n: int, keep: int = 120_000):
         self.pieces, self.n, self.keep = pieces, n, keep
         self.width = np.zeros(int(max(pieces.ids.max(), pieces.byte_ids.max())) + 1, np.int64)
         text = [b""] * len(self.width)
@@ -318,7 +318,7 @@ class Codec:
         self._clear()
 
     def _clear(self):
-        self.number: dict[int, int] = {}
+        self.known, self.number = np.zeros(0, U), np.zeros(0, np.int64)  # hashes of units in order, and their numbers
         self.scores, self.loss = np.zeros((0, self.n)), np.zeros((0, self.n))
         # Of each unit the pieces of all its paths.
         self.ids, self.at, self.length = np.zeros(0, np.int32), np.zeros((0, self.n), np.int64), np.zeros((0, self.n), np.int64)
@@ -355,16 +355,21 @@ class Codec:
         stop = np.append(cuts[1:], len(raw)) if len(cuts) else cuts
         h = mix((sums[stop] - sums[cuts]) * powers(_INV, len(raw))[cuts])
         own, place, back = np.unique(h, return_index=True, return_inverse=True)
-        if len(self.number) > self.keep:
+        if len(self.known) > self.keep:
             self._clear()
-        known = self.number
-        fresh = [i for i, x in enumerate(own.tolist()) if x not in known]
-        if fresh:
-            for x in own[fresh].tolist():
-                known[x] = len(known)
-            whole = raw.tobytes()
-            self._add([whole[a:b] for a, b in zip(cuts[place[fresh]].tolist(), stop[place[fresh]].tolist(), strict=True)])
-        unit = np.array([known[x] for x in own.tolist()], np.int64)[back]
+        spot = np.searchsorted(self.known, own)
+        fresh = np.ones(len(own), bool)
+        inside = spot < len(self.known)
+        fresh[inside] = self.known[spot[inside]] != own[inside]
+        if fresh.any():
+            whole, first = raw.tobytes(), len(self.known)
+            for lo in range(0, len(own[fresh]), BATCH):
+                part = place[fresh][lo : lo + BATCH]
+                self._add([whole[a:b] for a, b in zip(cuts[part].tolist(), stop[part].tolist(), strict=True)])
+            where = spot[fresh]
+            self.known = np.insert(self.known, where, own[fresh])
+            self.number = np.insert(self.number, where, first + np.arange(len(where)))
+        unit = self.number[np.searchsorted(self.known, own)][back]
         bound = np.searchsorted(cuts, at)
         length = self.length[unit, 0]
         ends = np.concatenate(([0], np.cumsum(length)))
@@ -407,7 +412,7 @@ def _encoded(held, n: int, with_ids: bool):
     def run(batches):
         codec = Codec(held.value, n)
         for b in batches:
-            for chunk in chunks(b.column(1), 2 << 20):
+            for chunk in chunks(b.column(1)):
                 ids, begin, scores, further = codec.encode(chunk)
                 count, digest, same, paths = ([[None] * chunk.n for _ in range(n)] for _ in range(4))
                 for t in range(chunk.n):
