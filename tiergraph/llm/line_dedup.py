@@ -133,7 +133,7 @@ def _held_twice(rows: DataFrame, sets: DataFrame, threshold: float, min_shingles
     held = each.join(shared, ["_kind", "_h"]).groupBy("_k").agg(F.count_if(F.col("_kind") == 0).cast("int").alias("_hs"), F.count_if(F.col("_kind") == 1).cast("int").alias("_he"))
     enough = lambda held, n: (F.col(n) > 0) & (F.col(held) >= threshold * F.col(n) - 1e-9)
     rows = rows.drop("_main", "_size").join(held, "_k").where(((F.col("_n") >= min_shingles) & enough("_hs", "_n")) | enough("_he", "_m"))
-    return _several(rows)
+    return _several(written(rows, "held"))
 
 
 def _open_pairs(rows: DataFrame, threshold: float, min_shingles: int) -> DataFrame:
@@ -195,6 +195,7 @@ def line_decisions(
     # What is left: all pairs of a band whose lines are not in one component yet.
     parts = components(links)
     rows = written(_open_rows(lines, sets, parts), "open")
+    release(spark)
     few = rows.where(F.col("_size") <= FEW).withColumns({"_hs": F.col("_n"), "_he": F.col("_m")})
     rows = few.unionByName(_held_twice(rows.where(F.col("_size") > FEW), sets, threshold, min_shingles))
     more = written(_links(_open_pairs(rows, threshold, min_shingles), sets, threshold, min_shingles), "links")
