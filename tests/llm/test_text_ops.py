@@ -262,6 +262,23 @@ def test_line_dedup_compares_all_lines_of_a_band(spark, monkeypatch):
     assert len(near) == 40 and gone == near
 
 
+def test_line_dedup_makes_few_pairs_of_lines_with_a_passage(spark, monkeypatch):
+    """Lines of one passage and words that others have too: the pairs that are verified don't grow with their square."""
+    judged = []
+    links = line_dedup._links
+    monkeypatch.setattr(line_dedup, "_links", lambda pairs, *a: judged.append(pairs.count()) or links(pairs, *a))
+    r = random.Random(5)
+    passage = " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(6)) for _ in range(40))
+    ends = [" ".join("".join(r.choice("qrstuvwxyz") for _ in range(6)) for _ in range(6)) for _ in range(30)]
+    lines = [passage + " " + " ".join(r.sample(ends, 4)) for _ in range(400)]
+    cut = lambda t: {t[m.start() : m.start() + 12] for m in re.finditer(r"\b\w", t)}
+    sets = [cut(x) for x in lines]
+    near = {b for b in range(400) if any(len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]) for a in range(b))}
+    docs = spark.createDataFrame(rows_of(list(enumerate(lines))), SCHEMA)
+    gone = {x.doc_id for x in docs.join(line_dedup.line_dedup(docs), "doc_id", "left_anti").collect()}
+    assert gone == near and sum(judged) < 10 * len(lines), judged
+
+
 def test_line_dedup_of_few_words_and_without_spaces(spark):
     han = "".join(chr(0x4E00 + 37 * i) for i in range(200))
     lines = ["Copyright notice: reserved", "Copyright notice: reserved", "internationalisation-department/headquarters", "internationalisation-department/headquarters.", han, han[:-2] + "新字",

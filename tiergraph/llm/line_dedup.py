@@ -9,12 +9,12 @@ the line's MinHash order; the signature is the ``bottom`` least.  A band is a
 pair of hashes that are neighbours in that signature, so that one character
 shingle more or less shifts no other band.  With ``bottom`` 8 and Jaccard
 similarity 0.8 a pair of long lines shares a band with probability 0.985, with 0.9 with
-0.9995.  Lines that share a band are paired with the least line of the band and
-with their neighbour in it, verified by the exact Jaccard similarity of their
+0.9995.  Lines that share a band with a line of about their size are paired with the least
+line of the band and with their neighbour by size, verified by the exact Jaccard similarity of their
 whole shingle sets, and the verified links go through a distributed union-find.
 Then all pairs of a band that are still in different components are judged,
-block by block, but for lines of which too few shingles occur in a second
-line of these bands: those can't be similar to any of them.  So every pair that shares a
+block by block.  Sizes, and bitmaps of the sets, bound from above how many shingles two
+lines share; what these bounds exclude can't be similar and becomes no row.  So every pair that shares a
 band is judged, and a passage within many otherwise different lines makes few pairs.
 One line of each component stays: the first by (document, position).
 
@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 from tiergraph.components import components
 from tiergraph.plans.shared import release, where_once, written
 
-BLOCK = 64  # lines of a band that are compared in one row
-FEW = 16  # lines of a band that are compared without looking at their shingles first
+BLOCK = 256  # lines of a band that are compared in one row
+WORDS = 8  # of 64 bits in a bitmap
 #: Scripts without spaces: Thai, Lao, Myanmar, Khmer, kana, Han; and all others beyond ASCII.
 DENSE = r"\u0E00-\u0EFF\u1000-\u109F\u1780-\u17FF\u3040-\u30FF\u3400-\u9FFF\uF900-\uFAFF\x{20000}-\x{3FFFF}"
 SPACED = r"\x80-\u0DFF\u0F00-\u0FFF\u10A0-\u177F\u1800-\u303F\u3100-\u33FF\uA000-\uF8FF\uFB00-\x{1FFFF}\x{40000}-\x{10FFFF}"
@@ -67,7 +67,8 @@ def _hashed(line: Column, pattern: str) -> Column:
 
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows of one id may have different texts: the text's hash tells them apart."""
-    return docs.select(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_r"), F.col(text_col).alias("_t"))
+    r = F.xxhash64(F.col(text_col))
+    return docs.select(F.col(id_col).alias("_id"), r.alias("_r"), F.col(text_col).alias("_t"), F.xxhash64(F.col(id_col), r).alias("_d"))
 
 
 def _occurrences(docs: DataFrame, shingle: int, bottom: int, min_shingles: int) -> DataFrame:
@@ -77,7 +78,7 @@ def _occurrences(docs: DataFrame, shingle: int, bottom: int, min_shingles: int)
     # The upper halves keep the order and are enough for a band.
     least = lambda c: F.when(judged, F.transform(F.slice(c, 1, bottom), lambda h: F.shiftright(h, 32).cast("int"))).otherwise(F.array().cast("array<int>"))
     key = F.when(judged, F.xxhash64("_s", "_e")).otherwise(F.xxhash64(F.lower("_line"), F.lit(1)))
-    return lines.select("_id", "_r", "_pos", key.alias("_k"), least("_s").alias("_sig"), least("_e").alias("_esig"))
+    return lines.select("_id", "_r", "_pos", key.alias("_k"), least("_s").alias("_sig"), least("_e").alias("_esig"), F.size("_s").alias("_n"))
 
 
 def _sets(lines: DataFrame, shingle: int, min_shingles: int, *keys: str) -> DataFrame:
@@ -87,12 +88,44 @@ def _sets(lines: DataFrame, shingle: int, min_shingles: int, *keys: str) -> Data
     return lines.select(*keys, "_line", "_s", every.alias("_e"))
 
 
-def _bands(lines: DataFrame) -> DataFrame:
+def _band_array() -> Column:
     def bands(c: str, *kind) -> Column:
         pairs = F.transform(F.sequence(F.lit(1), F.size(c) - 1), lambda i: F.xxhash64(F.get(c, i - 1), F.get(c, i), *kind))
         return F.when(F.size(c) > 1, pairs).otherwise(F.array().cast("array<bigint>"))
 
-    return lines.select("_k", F.explode(F.concat(bands("_sig"), bands("_esig", F.lit(1)))).alias("_band"))
+    return F.array_distinct(F.concat(bands("_sig"), bands("_esig", F.lit(1))))
+
+
+def _bands(lines: DataFrame, *columns: str) -> DataFrame:
+    return lines.select("_k", *columns, F.explode(_band_array()).alias("_band"))
+
+
+def _sized(a: str, b: str, threshold: float, min_shingles: int) -> str:
+    """Whether sets of a and b shingles can be similar.  Where both have few word
+    starts the other shingles may decide, of which this doesn't know the number."""
+    return f"(greatest({a}, {b}) < {2 * min_shingles} or least({a}, {b}) >= {threshold} * greatest({a}, {b}) - 1e-9)"
+
+
+def _met(lines: DataFrame, threshold: float, min_shingles: int) -> DataFrame:
+    """(_k, _with): the lines that share a band with one they can be similar to by size, once
+    for each band, with the least line of the band and the next smaller one where these can be."""
+    band = "partition by _band"
+    near = lambda x: _sized("_n", x, threshold, min_shingles)
+    order = f"over ({band} order by _n, _k)"
+    rows = _bands(lines, "_n").selectExpr("_band", "_k", "_n", f"lag(_k) {order} as _pk", f"lag(_n) {order} as _pn", f"lead(_n) {order} as _next")
+    # Most bands have one line; the second window finds the rest in order.
+    rows = rows.where("_pk is not null or _next is not null").selectExpr("*", f"min(struct(_k, _n)) over ({band}) as _least")
+    # The neighbours by size are the likeliest to be near enough.
+    rows = rows.where(f"(_pk is not null and {near('_pn')}) or (_next is not null and {near('_next')})")
+    found = f"array(if({near('_least._n')}, _least._k, null), if({near('_pn')}, _pk, null))"
+    return rows.selectExpr("_k", f"array_distinct(filter({found}, x -> x <> _k)) as _with")
+
+
+def _bitmap(c: str) -> Column:
+    """The shingles of ``c`` hashed to 64 * WORDS bits."""
+    bit = lambda h: F.call_function("shiftleft", F.lit(1).cast("long"), F.shiftright(h, 8).bitwiseAND(F.lit(63)).cast("int"))
+    word = lambda i: F.aggregate(F.filter(c, lambda h: h.bitwiseAND(F.lit(WORDS - 1)) == i), F.lit(0).cast("long"), lambda x, h: x.bitwiseOR(bit(h)))
+    return F.struct(*[word(i).alias(f"w{i}") for i in range(WORDS)])
 
 
 def _links(pairs: DataFrame, sets: DataFrame, threshold: float, min_shingles: int) -> DataFrame:
@@ -109,48 +142,45 @@ def _links(pairs: DataFrame, sets: DataFrame, threshold: float, min_shingles: in
 
 
 def _open_rows(lines: DataFrame, sets: DataFrame, parts: DataFrame) -> DataFrame:
-    """(_band, _k, _n, _m, _g, _main, _size): the lines of each band that is in several
-    components, with the largest of these and how many lines there are."""
-    known = sets.select("_k", F.size("_s").alias("_n"), F.size("_e").alias("_m")).join(parts.withColumnRenamed("node", "_k"), "_k", "left")
-    known = known.select("_k", "_n", "_m", F.coalesce("component", "_k").alias("_g"))
-    return _several(_bands(lines.join(known.select("_k"), "_k", "left_semi")).distinct().join(known, "_k"))
-
-
-def _several(rows: DataFrame) -> DataFrame:
+    """(_band, _k, _n, _g, _main): the lines of each band that is in several
+    components, with the largest of these."""
+    known = sets.select("_k").join(parts.withColumnRenamed("node", "_k"), "_k", "left").select("_k", F.coalesce("component", "_k").alias("_g"))
+    rows = _bands(lines.join(known, "_k"), "_n", "_g")
     each = rows.groupBy("_band", "_g").agg(F.count("*").alias("_c"))
-    bands = each.groupBy("_band").agg(F.max_by("_g", F.struct("_c", "_g")).alias("_main"), F.sum("_c").alias("_size"), F.count("*").alias("_parts"))
+    bands = each.groupBy("_band").agg(F.max_by("_g", F.struct("_c", "_g")).alias("_main"), F.count("*").alias("_parts"))
     return rows.join(bands.where("_parts > 1").drop("_parts"), "_band")
 
 
-def _held_twice(rows: DataFrame, sets: DataFrame, threshold: float, min_shingles: int) -> DataFrame:
-    """The rows of lines that can be similar to another line of these rows: at least
-    ``threshold`` of their shingles must be in a second one.  A passage that many lines
-    share leaves those with enough words of their own out.  _hs and _he: how many are."""
-    own = sets.join(rows.select("_k").distinct(), "_k", "left_semi")
-    each = lambda c, kind: F.transform(c, lambda h: F.struct(F.lit(kind).alias("_kind"), h.alias("_h")))
-    each = own.select("_k", F.explode(F.concat(each("_s", 0), each("_e", 1))).alias("_x")).select("_k", "_x._kind", "_x._h")
-    shared = each.groupBy("_kind", "_h").agg(F.count("*").alias("_c")).where("_c > 1")
-    held = each.join(shared, ["_kind", "_h"]).groupBy("_k").agg(F.count_if(F.col("_kind") == 0).cast("int").alias("_hs"), F.count_if(F.col("_kind") == 1).cast("int").alias("_he"))
-    enough = lambda held, n: (F.col(n) > 0) & (F.col(held) >= threshold * F.col(n) - 1e-9)
-    rows = rows.drop("_main", "_size").join(held, "_k").where(((F.col("_n") >= min_shingles) & enough("_hs", "_n")) | enough("_he", "_m"))
-    return _several(written(rows, "held"))
-
-
-def _open_pairs(rows: DataFrame, threshold: float, min_shingles: int) -> DataFrame:
-    """(_a, _b): lines that share a band, are not in one component, and may be similar by
-    their sizes and by how many shingles of theirs are in other lines.  The lines of a band fall into blocks;
-    two blocks within the largest component do not meet."""
-    cut = F.pmod(F.xxhash64("_k"), F.ceil(F.col("_size") / BLOCK)).alias("_cut")
-    blocks = rows.select("_band", (F.col("_g") != F.col("_main")).alias("_out"), cut, F.struct("_k", "_n", "_m", "_g", "_hs", "_he").alias("_row"))
-    blocks = blocks.groupBy("_band", "_out", "_cut").agg(F.collect_list("_row").alias("_in"))
+def _open_pairs(rows: DataFrame, sets: DataFrame, threshold: float, min_shingles: int) -> DataFrame:
+    """(_a, _b), once each: lines that share a band, are not in one component, and may be similar by
+    their sizes and bitmaps.  The lines of a band fall into classes by size and these into blocks;
+    a class meets itself and the next one, two blocks within the largest component do not meet."""
+    # A little wider than the similarity allows; lines with few word starts are one class.
+    step = F.log(F.lit(1.00001 / threshold))
+    rows = rows.withColumns({"_class": F.floor(F.log(F.greatest("_n", F.lit(2 * min_shingles - 1))) / step).cast("int"), "_out": F.col("_g") != F.col("_main")})
+    key = ["_band", "_class", "_out"]
+    cuts = rows.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).alias("_cuts")).where("_cuts > 1")
+    rows = rows.join(cuts, key, "left").withColumn("_cut", F.pmod(F.xxhash64("_k"), F.coalesce("_cuts", F.lit(1))))
+    # Each line meets its bitmaps once, whatever the number of its bands.
+    by_line = rows.groupBy("_k").agg(F.min("_g").alias("_g"), F.min("_class").alias("_class"), F.collect_list(F.struct("_band", "_out", "_cut")).alias("_at"))
+    rows = by_line.join(sets.select("_k", "_n", "_m", "_sb", "_eb"), "_k").withColumn("_bands", F.col("_at._band"))
+    rows = rows.select("_class", F.struct("_k", "_n", "_m", "_g", "_sb", "_eb", "_bands").alias("_row"), F.explode("_at").alias("_at")).select("_at.*", "_class", "_row")
+    blocks = rows.groupBy(*key, "_cut").agg(F.collect_list("_row").alias("_in"))
     one, two = blocks.where("_out").alias("x"), blocks.alias("y")
-    met = one.join(two, F.expr("x._band = y._band and (not y._out or x._cut <= y._cut)"))
+    met = one.join(two, F.expr("x._band = y._band and abs(x._class - y._class) <= 1 and (not y._out or (x._class, x._cut) <= (y._class, y._cut))"))
     # Dealt out again, so that the blocks of one band are compared in many tasks.
-    met = met.selectExpr("x._band as _band", "x._cut as _bx", "y._cut as _by", "y._out as _out", "x._in as _x", "y._in as _y").repartition("_band", "_bx", "_by", "_out")
-    close = lambda n, held: f"(1 + {threshold}) * least(a.{held}, b.{held}, a.{n}, b.{n}) >= {threshold} * (a.{n} + b.{n}) - 1e-9"
-    near = f"a._g <> b._g and if(least(a._n, b._n) >= {min_shingles}, {close('_n', '_hs')}, {close('_m', '_he')})"
+    met = met.selectExpr("x._band as _band", "x._class as _cx", "y._class as _cy", "x._cut as _bx", "y._cut as _by", "y._out as _out", "x._in as _x", "y._in as _y").repartition("_band", "_cx", "_cy", "_bx", "_by", "_out")
+
+    def close(n: str, bits: str) -> str:
+        only = lambda x, y: " - ".join([f"{x}.{n}", *[f"bit_count({x}.{bits}.w{i} & ~{y}.{bits}.w{i})" for i in range(WORDS)]])
+        enough = lambda most: f"(1 + {threshold}) * ({most}) >= {threshold} * (a.{n} + b.{n}) - 1e-9"
+        return f"({enough(f'least(a.{n}, b.{n})')} and {enough(only('a', 'b'))} and {enough(only('b', 'a'))})"
+
+    near = f"a._g <> b._g and (a._k < b._k or not _out or _cx <> _cy or _bx <> _by) and if(least(a._n, b._n) >= {min_shingles}, {close('_n', '_sb')}, least(a._m, b._m) > 0 and {close('_m', '_eb')})"
+    # Each pair comes from the least of its bands.
+    near += " and array_min(array_intersect(a._bands, b._bands)) = _band"
     found = met.selectExpr(f"explode(flatten(transform(_x, a -> transform(filter(_y, b -> {near}), b -> struct(least(a._k, b._k) as _a, greatest(a._k, b._k) as _b))))) as _p")
-    return found.select("_p.*").distinct()
+    return found.select("_p.*")
 
 
 def line_decisions(
@@ -170,25 +200,23 @@ def line_decisions(
 
     # Without copies: each distinct line with its first place.
     first = F.min(F.struct("_id", "_r", "_pos")).alias("_first")
-    lines = written(occurrences.groupBy("_k").agg(first, F.min("_sig").alias("_sig"), F.min("_esig").alias("_esig")), "distinct")
+    lines = written(occurrences.groupBy("_k").agg(first, F.min("_sig").alias("_sig"), F.min("_esig").alias("_esig"), F.min("_n").alias("_n")), "distinct")
     release(spark)
 
-    bands = _bands(lines)
-    band = "partition by _band"
-    met = bands.selectExpr("_k", f"min(_k) over ({band}) as _least", f"lag(_k) over ({band} order by _k) as _next").where("_next is not null")
-    pairs = met.select(F.explode(F.array_distinct(F.array("_least", "_next"))).alias("_a"), F.col("_k").alias("_b"))
-    pairs = written(pairs.where("_a <> _b").distinct(), "pairs")
+    met = written(_met(lines, threshold, min_shingles), "met")
     release(spark)
 
-    # The whole shingle sets of all lines that share a band with another, from their first places.
-    wanted = pairs.select(F.explode(F.array("_a", "_b")).alias("_k")).distinct()
-    places = lines.join(wanted, "_k").select("_k", "_first.*")
-    places = places.groupBy("_id", "_r").agg(F.collect_list(F.struct("_pos", "_k")).alias("_at"))
-    texts = keyed.where("_t is not null").join(places.withColumnRenamed("_id", "_pid").withColumnRenamed("_r", "_pr"), F.col("_id").eqNullSafe(F.col("_pid")) & (F.col("_r") == F.col("_pr")))
+    # The whole shingle sets of all lines that a line of their band can be similar to, from their first places.
+    places = lines.join(met.select("_k").distinct(), "_k").select(F.xxhash64("_first._id", "_first._r").alias("_d"), "_k", "_first._pos")
+    places = places.groupBy("_d").agg(F.collect_list(F.struct("_pos", "_k")).alias("_at"))
+    # Repeated rows meet in one partition; one of them is enough.
+    texts = keyed.where("_t is not null").select("_d", "_t").join(places, "_d").groupBy("_d").agg(F.first("_t").alias("_t"), F.first("_at").alias("_at"))
     texts = texts.select(F.split("_t", "\n").alias("_l"), F.explode("_at").alias("_at"))
     sets = texts.select(F.col("_at._k").alias("_k"), F.get("_l", F.col("_at._pos")).alias("_line"))
-    sets = written(_sets(sets, shingle, min_shingles, "_k").drop("_line").dropDuplicates(["_k"]), "sets")
+    sets = _sets(sets, shingle, min_shingles, "_k").select("_k", "_s", "_e", F.size("_s").alias("_n"), F.size("_e").alias("_m"), _bitmap("_s").alias("_sb"), F.when(F.size("_e") > 0, _bitmap("_e")).alias("_eb"))
+    sets = written(sets, "sets")
     release(spark)
+    pairs = met.select(F.explode("_with").alias("_a"), F.col("_k").alias("_b")).select(F.least("_a", "_b").alias("_a"), F.greatest("_a", "_b").alias("_b")).distinct()
     links = written(_links(pairs, sets, threshold, min_shingles), "links")
     release(spark)
 
@@ -196,12 +224,12 @@ def line_decisions(
     parts = components(links)
     rows = written(_open_rows(lines, sets, parts), "open")
     release(spark)
-    few = rows.where(F.col("_size") <= FEW).withColumns({"_hs": F.col("_n"), "_he": F.col("_m")})
-    rows = few.unionByName(_held_twice(rows.where(F.col("_size") > FEW), sets, threshold, min_shingles))
-    more = written(_links(_open_pairs(rows, threshold, min_shingles), sets, threshold, min_shingles), "links")
+    pairs = written(_open_pairs(rows, sets, threshold, min_shingles), "pairs")
+    release(spark)
+    more = written(_links(pairs, sets, threshold, min_shingles), "links")
     release(spark)
     if not more.isEmpty():
-        parts = components(links.unionByName(more))
+        parts = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
     parts = parts.withColumnRenamed("node", "_k")
     grouped = lines.join(parts, "_k", "left").select("_k", "_first", F.coalesce("component", "_k").alias("_c"))
@@ -212,7 +240,8 @@ def line_decisions(
     kept = lines.join(place, "_k", "left").select("_k", F.coalesce("_keep", "_first").alias("_keep"))
     gone = occurrences.select("_id", "_r", "_pos", "_k").join(kept, "_k")
     gone = gone.where(~F.struct("_id", "_r", "_pos").eqNullSafe(F.col("_keep")))
-    return written(gone.groupBy("_id", "_r").agg(F.sort_array(F.collect_list("_pos")).alias("_removed")), "removed")
+    removed = written(gone.groupBy("_id", "_r").agg(F.sort_array(F.collect_list("_pos")).alias("_removed")), "removed")
+    return removed
 
 
 def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", drop_emptied: bool = True, **options) -> DataFrame:
