@@ -1,6 +1,7 @@
 """The corpus operators against brute force on small tables, and their edge cases."""
 
 import hashlib
+import os
 import random
 import re
 
@@ -279,6 +280,17 @@ def test_line_dedup_makes_few_pairs_of_lines_with_a_passage(spark, monkeypatch):
     assert gone == near and sum(judged) < 10 * len(lines), judged
 
 
+def test_line_dedup_moves_the_text_once_and_removes_its_tables(spark, docs, monkeypatch):
+    tables = []
+    written = line_dedup.written
+    monkeypatch.setattr(line_dedup, "written", lambda df, label: tables.append((label, written(df, label))) or tables[-1][1])
+    out = line_dedup.line_dedup(docs)
+    below = out._jdf.queryExecution().optimizedPlan().toString().split("Join LeftOuter")[1]
+    assert "split(" not in below  # the lines of a text go through the join as one text
+    kept = {label for label, t in tables if any(os.path.exists(f.removeprefix("file://")) for f in t.inputFiles())}
+    assert kept <= {"links", "removed"}, kept
+
+
 def test_line_dedup_of_few_words_and_without_spaces(spark):
     han = "".join(chr(0x4E00 + 37 * i) for i in range(200))
     lines = ["Copyright notice: reserved", "Copyright notice: reserved", "internationalisation-department/headquarters", "internationalisation-department/headquarters.", han, han[:-2] + "新字",

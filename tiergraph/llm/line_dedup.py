@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tiergraph.components import components
-from tiergraph.plans.shared import release, where_once, written
+from tiergraph.plans.shared import dropped, release, where_once, written
 
 BLOCK = 256  # lines of a band that are compared in one row
 WORDS = 8  # of 64 bits in a bitmap
@@ -228,6 +228,8 @@ def line_decisions(
     release(spark)
     more = written(_links(pairs, sets, threshold, min_shingles), "links")
     release(spark)
+    for spent in (met, sets, rows, pairs):
+        dropped(spent)
     if not more.isEmpty():
         parts = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more))
 
@@ -241,6 +243,9 @@ def line_decisions(
     gone = occurrences.select("_id", "_r", "_pos", "_k").join(kept, "_k")
     gone = gone.where(~F.struct("_id", "_r", "_pos").eqNullSafe(F.col("_keep")))
     removed = written(gone.groupBy("_id", "_r").agg(F.sort_array(F.collect_list("_pos")).alias("_removed")), "removed")
+    dropped(occurrences)
+    dropped(lines)
+    release(spark)
     return removed
 
 
@@ -251,9 +256,10 @@ def line_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     removed = line_decisions(docs, id_col, text_col, **options)
     removed = removed.select(F.col("_id").alias("_pid"), F.col("_r").alias("_pr"), "_removed")
     # The row goes along as one struct, so that no column of it can clash.
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), F.col(text_col).alias("_t"))
-    rows = rows.select("*", F.xxhash64("_t").alias("_r"), F.split("_t", "\n").alias("_lines"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col)).alias("_r"))
     joined = rows.join(removed, rows["_id"].eqNullSafe(removed["_pid"]) & (rows["_r"] == removed["_pr"]), "left")
+    # The text goes through the join once.
+    joined = joined.withColumn("_t", F.col(f"_row.`{text_col}`")).withColumn("_lines", F.split("_t", "\n"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("_lines") - 1), F.col("_removed"))
     left = F.array_join(F.transform(stay, lambda i: F.get("_lines", i)), "\n")
     out = joined.withColumn("_left", F.when(F.col("_removed").isNull(), F.col("_t")).otherwise(left))
