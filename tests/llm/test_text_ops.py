@@ -531,3 +531,25 @@ def test_near_copies_keeps_one_of_each_group(spark, docs, corpus):
     kept = sorted(r.doc_id for r in corpus_pipeline.near_copies(spark, docs, "").where("doc_id is not null").collect())
     want = [i for _, i, _, c in _components(corpus, 5, 80) if c == i]
     assert sorted(want) == kept
+
+
+def test_nbest_seeks_further_paths_of_few_units(monkeypatch):
+    """Of each text only n - 1 units are searched for further paths; sums and paths are those of all units."""
+    pieces = sentencepiece_nbest.Pieces()
+    r = random.Random(3)
+    texts = [" ".join("".join(r.choice("abcdeé9") for _ in range(r.randint(1, 9))) for _ in range(200)) for _ in range(5)] + ["aaaaaaa bbbbbbb aaaaaaa"]
+    raw = "".join(texts).encode()
+    at = np.cumsum([0, *(len(t.encode()) for t in texts)])
+    chunk = _words.Chunk(0, np.frombuffer(raw, np.uint8), at)
+    searched, solve = [], sentencepiece_nbest.solve_units
+    monkeypatch.setattr(sentencepiece_nbest, "solve_units", lambda p, units, n: searched.append(len(units)) or solve(p, units, n))
+    ids, begin, scores, further = sentencepiece_nbest.Codec(pieces, 3).encode(chunk)
+    assert sum(searched) <= 2 * len(texts)
+    for t, text in enumerate(texts):
+        units = [(" " + u).encode() for u in text.split(" ")]
+        all_ = solve(pieces, units, 3).scores
+        losses = sorted(x for u in all_ for x in (u[0] - u[1:]).tolist() if x == x)[:2]
+        assert np.allclose(scores[t], [all_[:, 0].sum(), *(all_[:, 0].sum() - x for x in losses)])
+        best = ids[begin[t] : begin[t + 1]]
+        ways = [best, *(np.concatenate(sentencepiece_nbest.changed(best, parts)) for parts in further[t])]
+        assert len({w.tobytes() for w in ways}) == 3

@@ -13,15 +13,17 @@ run of spaces, and at characters that only stand alone; the paths of a text are
 the combinations of the paths of its units.  Each distinct unit of a batch is
 solved once, all units of a batch side by side in numpy:
 
-* forward Viterbi: the best score of every prefix;
-* backward A*: from the end, a partial path with suffix score g that has come
+* forward Viterbi: the best score of every prefix; back along the best path the
+  best of what leaves it is the score of the second path;
+* backward A*, for the units whose second path loses least in some text: from the end, a partial path with suffix score g that has come
   back to place v is worth g plus the Viterbi score of v.  That heuristic is
   exact, so every entry of the open list leads to a whole path of just its value,
   no more than the N best entries are ever needed, and the k-th path to reach
   the start is the k-th best.
 
 The N best of a text then follow from its units' score losses: each is the best
-one with the pieces of one or a few units changed for another path of theirs.
+one with the pieces of one or a few units changed for another path of theirs.  No unit
+beyond the N - 1 with the least losses is changed, so the others need no further paths.
 
 Defined results: null texts count as empty; an empty text has no pieces, score 0
 and no further segmentations; fewer paths than N give nulls; of two paths with
@@ -137,8 +139,8 @@ def _edges(pieces: Pieces, raw: np.ndarray):
     return score, which
 
 
-def solve(pieces: Pieces, units: list[bytes], n: int) -> Solved:
-    """All units have one length."""
+def _forward(pieces: Pieces, units: list[bytes]):
+    """The edges of units of one length, the best score of every prefix, and with each edge as its last."""
     count, width = len(units), len(units[0])
     raw = np.frombuffer(b"".join(units), np.uint8).reshape(count, width)
     score, which = _edges(pieces, raw)
@@ -150,7 +152,42 @@ def solve(pieces: Pieces, units: list[bytes], n: int) -> Solved:
         most = min(j, longest)
         np.add(best[:, j - most : j][:, ::-1], score[:, j, :most], out=reach[:, j, :most])
         best[:, j] = reach[:, j, :most].max(1)
-    reach, edges = reach.reshape(-1, longest), score.reshape(-1)
+    return raw, which, best, reach.reshape(-1, longest), score.reshape(-1)
+
+
+def first(pieces: Pieces, units: list[bytes]) -> tuple[Solved, np.ndarray]:
+    """The best path of each unit, and how much less the second one scores (infinite: there is none).
+
+    All units have one length.  The second path leaves the best one, seen from the end, at some place
+    by another edge, and goes on as the best path to there."""
+    raw, which, best, reach, edges = _forward(pieces, units)
+    (count, width), longest = raw.shape, reach.shape[1]
+    out, last, second = np.full((count, 1), np.nan), np.full((count, 1), -1), np.full(count, -np.inf)
+    u = np.flatnonzero(best[:, width] > -np.inf)
+    at, g, node = np.full(len(u), width), np.zeros(len(u)), np.full(len(u), -1)
+    parents, steps, made = [], [], 0
+    while len(u):
+        row = u * (width + 1) + at
+        here, lines = reach.take(row, axis=0), np.arange(len(u))
+        edge = here.argmax(1)
+        here[lines, edge] = -np.inf
+        second[u] = np.maximum(second[u], here.max(1) + g)
+        g = g + edges.take(row * longest + edge)
+        parents.append(node)
+        steps.append(np.stack((u, at, edge), 1))
+        node, at = made + lines, at - 1 - edge
+        made += len(u)
+        done, on = at == 0, at > 0
+        out[u[done], 0], last[u[done], 0] = g[done], node[done]
+        u, at, g, node = u[on], at[on], g[on], node[on]
+    loss = np.where(second > -np.inf, np.maximum(out[:, 0] - second, 0), np.inf)
+    return _paths(pieces, raw, which, out, last, parents, steps), loss
+
+
+def solve(pieces: Pieces, units: list[bytes], n: int) -> Solved:
+    """All units have one length."""
+    raw, which, best, reach, edges = _forward(pieces, units)
+    (count, width), longest = raw.shape, reach.shape[1]
 
     # The open list: value, place, suffix score and last node of each entry.
     value = np.full((count, n), -np.inf)
@@ -233,23 +270,40 @@ def _paths(pieces, raw, which, out, last, parents, steps) -> Solved:
     return Solved(out, ids_.astype(np.int32), (np.cumsum(width) - width).reshape(last.shape), width.reshape(last.shape))
 
 
-def solve_units(pieces: Pieces, units: list[bytes], n: int) -> Solved:
-    """Units of any length, in batches of one length."""
+def _batches(pieces: Pieces, units: list[bytes]):
+    """Which units go together: of one length, and not too many."""
     size = np.array([len(u) for u in units])
     order = np.argsort(size, kind="stable")
-    scores, at, length = np.full((len(units), n), np.nan), np.zeros((len(units), n), np.int64), np.zeros((len(units), n), np.int64)
-    ids, base = [], 0
     for same in np.split(order, np.flatnonzero(np.diff(size[order])) + 1):
         step = max(1, min(BATCH, (1 << 20) // max(1, int(size[same[0]]) * min(int(size[same[0]]), pieces.longest)))) if len(same) else 1
         for k in range(0, len(same), step):
-            part = same[k : k + step]
-            s = solve(pieces, [units[i] for i in part.tolist()], n)
-            scores[part], at[part], length[part] = s.scores, s.at + base, s.length
-            ids.append(s.ids)
-            base += len(s.ids)
+            yield same[k : k + step]
+
+
+def solve_units(pieces: Pieces, units: list[bytes], n: int) -> Solved:
+    """Units of any length, in batches of one length."""
+    scores, at, length = np.full((len(units), n), np.nan), np.zeros((len(units), n), np.int64), np.zeros((len(units), n), np.int64)
+    ids, base = [], 0
+    for part in _batches(pieces, units):
+        s = solve(pieces, [units[i] for i in part.tolist()], n)
+        scores[part], at[part], length[part] = s.scores, s.at + base, s.length
+        ids.append(s.ids)
+        base += len(s.ids)
     return Solved(scores, np.concatenate(ids) if ids else np.zeros(0, np.int32), at, length)
 
 
+def first_of_units(pieces: Pieces, units: list[bytes]) -> tuple[Solved, np.ndarray]:
+    """``first`` of units of any length."""
+    scores, at, length, loss = np.full((len(units), 1), np.nan), np.zeros((len(units), 1), np.int64), np.zeros((len(units), 1), np.int64), np.full(len(units), np.inf)
+    ids, base = [], 0
+    for part in _batches(pieces, units):
+        s, loss[part] = first(pieces, [units[i] for i in part.tolist()])
+        scores[part], at[part], length[part] = s.scores, s.at + base, s.length
+        ids.append(s.ids)
+        base += len(s.ids)
+    return Solved(scores, np.concatenate(ids) if ids else np.zeros(0, np.int32), at, length), loss
+
+
 def n_best_sums(losses: list[list[float]], n: int) -> list[tuple[float, tuple[tuple[int, int], ...]]]:
     """The n least sums of one loss from each list, and which items other than the first
     of their lists are in each, as (list, item); each list rises from 0."""
@@ -286,6 +340,12 @@ def least_losses(loss: np.ndarray, n: int) -> list[tuple[float, tuple[tuple[int,
     return [(0.0, ())] + [(float(flat[x]), ((x // loss.shape[1], x % loss.shape[1] + 1),)) for x in have.tolist()]
 
 
+def _least(loss: np.ndarray, n: int) -> np.ndarray:
+    """Where the n least finite losses are."""
+    at = np.sort(np.argpartition(loss, n - 1)[:n]) if len(loss) > n else np.arange(len(loss))
+    return at[loss[at] < np.inf]
+
+
 def _units(pieces: Pieces, chunk):
     """The bytes of all texts, each with a space before it, and where units begin."""
     full = np.diff(chunk.offsets) > 0
@@ -319,26 +379,30 @@ class Codec:
 
     def _clear(self):
         self.known, self.number = np.zeros(0, U), np.zeros(0, np.int64)  # hashes of units in order, and their numbers
-        self.scores, self.loss = np.zeros((0, self.n)), np.zeros((0, self.n))
-        # Of each unit the pieces of all its paths.
-        self.ids, self.at, self.length = np.zeros(0, np.int32), np.zeros((0, self.n), np.int64), np.zeros((0, self.n), np.int64)
-        self.sound = np.zeros((0, self.n), bool)
+        # Of each unit the score of its best path, what the second one loses, and the pieces of the best.
+        self.scores, self.loss = np.zeros(0), np.zeros(0)
+        self.ids, self.at, self.length = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.further = {}  # of some units: losses, and (pieces, whether they spell the unit), of their further paths
 
     def _add(self, fresh: list[bytes]):
-        s = solve_units(self.pieces, fresh, self.n)
-        self.at = np.concatenate((self.at, len(self.ids) + s.at))
+        s, loss = first_of_units(self.pieces, fresh)
+        self.at = np.concatenate((self.at, len(self.ids) + s.at[:, 0]))
         self.ids = np.concatenate((self.ids, s.ids))
-        self.length = np.concatenate((self.length, s.length))
-        self.scores = np.concatenate((self.scores, s.scores))
-        self.loss = np.concatenate((self.loss, s.scores[:, :1] - s.scores))
-        # Whether a path's pieces spell its unit, for each path.
-        length, at = s.length.ravel(), s.at.ravel()
-        spelt = self._spelt(s.ids[np.repeat(at - (np.cumsum(length) - length), length) + np.arange(length.sum())])
-        ends = np.concatenate(([0], np.cumsum(self.width[s.ids])))
-        size = (ends[at + length] - ends[at]).reshape(-1, self.n)
-        begin = (np.cumsum(size.ravel()) - size.ravel()).reshape(size.shape).tolist()
-        spelt = spelt.tobytes()
-        self.sound = np.concatenate((self.sound, np.array([[spelt[b : b + len(u)] == u and z == len(u) for b, z in zip(row, sizes, strict=True)] for u, row, sizes in zip(fresh, begin, size.tolist(), strict=True)], bool).reshape(-1, self.n)))
+        self.length = np.concatenate((self.length, s.length[:, 0]))
+        self.scores = np.concatenate((self.scores, s.scores[:, 0]))
+        self.loss = np.concatenate((self.loss, loss))
+
+    def _add_further(self, units: dict[int, bytes]):
+        """The n - 1 further paths of units, by their numbers."""
+        s = solve_units(self.pieces, list(units.values()), self.n)
+        for i, (number, unit) in enumerate(units.items()):
+            best = self.ids[self.at[number] : self.at[number] + self.length[number]]
+            ways = [(k, s.ids[a : a + z]) for k, (a, z) in enumerate(zip(s.at[i].tolist(), s.length[i].tolist(), strict=True)) if not np.isnan(s.scores[i, k])]
+            # Of paths with equal scores another one than the best may come first here.
+            ways = [w for w in ways if not np.array_equal(w[1], best)][: self.n - 1]
+            loss = np.full(self.n - 1, np.nan)
+            loss[: len(ways)] = [s.scores[i, 0] - s.scores[i, k] for k, _ in ways]
+            self.further[number] = loss, [(ids.copy(), self._spelt(ids).tobytes() == unit) for _, ids in ways]
 
     def _spelt(self, ids: np.ndarray) -> np.ndarray:
         width = self.width[ids]
@@ -371,29 +435,32 @@ class Codec:
             self.number = np.insert(self.number, where, first + np.arange(len(where)))
         unit = self.number[np.searchsorted(self.known, own)][back]
         bound = np.searchsorted(cuts, at)
-        length = self.length[unit, 0]
+        length = self.length[unit]
         ends = np.concatenate(([0], np.cumsum(length)))
-        ids = self.ids[np.repeat(self.at[unit, 0] - ends[:-1], length) + np.arange(ends[-1])]
+        ids = self.ids[np.repeat(self.at[unit] - ends[:-1], length) + np.arange(ends[-1])]
         begin = ends[bound]
         scores = np.full((chunk.n, self.n), np.nan)
         # Sums of whole texts, each from its own start, so that order does not matter.
-        scores[:, 0] = [self.scores[unit[a:b], 0].sum() for a, b in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True)]
+        scores[:, 0] = [self.scores[unit[a:b]].sum() for a, b in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True)]
         further = [[] for _ in range(chunk.n)]
         if self.n > 1:
-            loss = self.loss[unit, 1:]
-            for t, (a, b) in enumerate(zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True)):
-                if b == a:
+            picks = [a + _least(self.loss[unit[a:b]], self.n - 1) for a, b in zip(bound[:-1].tolist(), bound[1:].tolist(), strict=True)]
+            some = np.concatenate([np.zeros(0, np.int64), *picks])
+            number, where = np.unique(unit[some], return_index=True)
+            asked = {u: raw[cuts[i] : stop[i]].tobytes() for u, i in zip(number.tolist(), some[where].tolist(), strict=True) if u not in self.further}
+            if asked:
+                self._add_further(asked)
+            for t, pick in enumerate(picks):
+                if not len(pick):
                     continue
-                found = least_losses(loss[a:b], self.n) if self.n <= 3 else n_best_sums([[0.0, *x[~np.isnan(x)].tolist()] for x in loss[a:b]], self.n)
+                own = unit[pick].tolist()
+                loss = np.stack([self.further[u][0] for u in own])
+                found = least_losses(loss, self.n) if self.n <= 3 else n_best_sums([[0.0, *x[~np.isnan(x)].tolist()] for x in loss], self.n)
                 for k, (lost, changed) in enumerate(found[1:], 1):
                     scores[t, k] = scores[t, 0] - lost
-                    further[t].append([self._change(unit[a + i], r, int(ends[a + i]) - int(begin[t]), int(length[a + i])) for i, r in sorted(changed)])
+                    further[t].append([(int(ends[pick[i]]) - int(begin[t]), int(ends[pick[i] + 1]) - int(begin[t]), *self.further[own[i]][1][r - 1]) for i, r in sorted(changed)])
         return ids, begin, scores, further
 
-    def _change(self, unit: int, path: int, at: int, length: int):
-        x = int(self.at[unit, path])
-        return at, at + length, self.ids[x : x + int(self.length[unit, path])], bool(self.sound[unit, path])
-
     def decode(self, ids: np.ndarray) -> bytes:
         """The text of one text's ids."""
         return self._spelt(ids).tobytes()[1:]
