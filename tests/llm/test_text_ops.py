@@ -553,3 +553,27 @@ def test_nbest_seeks_further_paths_of_few_units(monkeypatch):
         best = ids[begin[t] : begin[t + 1]]
         ways = [best, *(np.concatenate(sentencepiece_nbest.changed(best, parts)) for parts in further[t])]
         assert len({w.tobytes() for w in ways}) == 3
+
+
+def test_scores_share_normalisers_of_equal_contexts():
+    """Tokens one by one have the scores they have together, also where products are far from 0."""
+    r = np.random.default_rng(4)
+    counts = r.integers(1, 1000, 300)
+    for scale in (1, 40):
+        m = lm_scoring.Model(counts)
+        m.p["target"] *= scale
+        m.p["cluster"] *= scale
+        m.p["context"] *= scale
+        m.ready()
+        cls, one, two = r.integers(0, 300, 500), r.integers(0, 9, 500), r.integers(0, 9, 500)
+        together, asked, sums = m.log10(cls, one, two), [], lm_scoring._log_sums
+        assert np.allclose(together, [m.log10(cls[i : i + 1], one[i : i + 1], two[i : i + 1])[0] for i in range(500)], rtol=1e-4, atol=1e-4)
+        try:
+            lm_scoring._log_sums = lambda z: asked.append(len(z)) or sums(z)
+            m.log10(cls, one, two)
+        finally:
+            lm_scoring._log_sums = sums
+        contexts = {(a, b) for a, b in zip(one.tolist(), two.tolist(), strict=True)}
+        assert sum(asked) == len(contexts) + len({(a, b, c // m.width) for a, b, c in zip(one.tolist(), two.tolist(), cls.tolist(), strict=True)})
+    z = np.float32([[200, 0, -200], [-300, -310, -290]])
+    assert np.allclose(lm_scoring._log_sums(z), [200, -290], atol=1e-3)

@@ -197,10 +197,11 @@ def _tokens(chunk: Chunk, cls: np.ndarray, start: int) -> tuple[np.ndarray, np.n
 
 def _summed(rows_: np.ndarray, grads: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The sum of the gradients of each row that has some."""
-    order = np.argsort(rows_, kind="stable")
+    low = rows_.astype(np.uint16) if rows_.max() < 1 << 16 else rows_  # 16 bits are sorted by counting
+    order = np.argsort(low, kind="stable")
     own = rows_[order]
     at = np.flatnonzero(np.concatenate(([True], own[1:] != own[:-1])))
-    return own[at], np.add.reduceat(grads[order], at, axis=0)
+    return own[at], np.add.reduceat(grads.take(order, axis=0), at, axis=0)
 
 
 class Model:
@@ -230,25 +231,28 @@ class Model:
 
     def _contrast(self, q, hit, noise, vectors: str, bias: str, log_noise, rate: float):
         """One step of noise-contrastive estimation: tells each row's ``hit`` from ``noise``, which all rows share."""
-        t, b = self.p[vectors], self.p[bias][:, 0]
-        known = math.log(len(noise))
-        s_hit = np.einsum("ij,ij->i", q, t[hit]) + b[hit] - log_noise[hit] - known
-        s_noise = q @ t[noise].T + (b[noise] - log_noise[noise] - known)
-        d_hit = -1 / (1 + np.exp(np.clip(s_hit, -30, 30)))
-        d_noise = 1 / (1 + np.exp(np.clip(-s_noise, -30, 30)))
-        scale = np.float32(1 / len(q))
-        back = (d_hit[:, None] * t[hit] + d_noise @ t[noise]) * scale
-        own, grad = _summed(np.concatenate((hit, noise)), np.concatenate((d_hit[:, None] * q, d_noise.T @ q)) * scale)
-        slope = np.bincount(np.concatenate((hit, noise)), np.concatenate((d_hit, d_noise.sum(0))))[own]
+        b, to, from_ = self.p[bias][:, 0], self.p[vectors].take(hit, axis=0), self.p[vectors].take(noise, axis=0)
+        known, scale = math.log(len(noise)), np.float32(1 / len(q))
+        d_hit = np.einsum("ij,ij->i", q, to) + (b[hit] - log_noise[hit] - known)
+        d_hit = -scale / (1 + np.exp(np.clip(d_hit, -30, 30)))
+        d_noise = (b[noise] - log_noise[noise] - known)[:, None] + from_ @ q.T
+        np.clip(np.negative(d_noise, out=d_noise), -30, 30, out=d_noise)
+        np.exp(d_noise, out=d_noise)
+        d_noise += 1
+        np.divide(scale, d_noise, out=d_noise)
+        to *= d_hit[:, None]
+        to += d_noise.T @ from_
+        own, grad = _summed(np.concatenate((hit, noise)), np.concatenate((d_hit[:, None] * q, d_noise @ q)))
+        slope = np.bincount(np.concatenate((hit, noise)), np.concatenate((d_hit, d_noise.sum(1))))[own]
         self._step(vectors, own, grad, rate)
-        self._step(bias, own, (slope[:, None] * scale).astype(np.float32), rate)
-        return back
+        self._step(bias, own, slope[:, None].astype(np.float32), rate)
+        return to
 
     def train(self, cls, one, two, r, rate: float = 0.05) -> None:
         for lo in range(0, len(cls), STEP):
             w, a, b = (x[lo : lo + STEP].astype(np.int64) for x in (cls, one, two))
             k = np.minimum(np.searchsorted(self.cumulative, r.random(NOISE)), self.n - 1)
-            ca, cb = self.p["context"][a], self.p["context"][b]
+            ca, cb = (self.p["context"].take(x, axis=0) for x in (a, b))
             q = ca @ self.p["near"] + cb @ self.p["far"]
             back = self._contrast(q, w, k, "target", "bias", self.log_noise, rate)
             back += self._contrast(q, w // self.width, k // self.width, "cluster", "offset", self.log_cluster, rate)
@@ -259,40 +263,57 @@ class Model:
             self._step("far", slice(None), far, rate)
 
     def ready(self) -> Model:
-        """Products of the contexts, and targets by cluster."""
-        self.one, self.two = self.p["context"] @ self.p["near"], self.p["context"] @ self.p["far"]
-        room = self.clusters * self.width
-        self.targets = np.zeros((room, DIM), np.float32)
-        self.targets[: self.n] = self.p["target"]
-        self.targets = self.targets.reshape(self.clusters, self.width, DIM)
-        self.biases = np.full(room, -1e4, np.float32)
-        self.biases[: self.n] = self.p["bias"][:, 0]
-        self.biases = self.biases.reshape(self.clusters, self.width)
+        """Products of the contexts, with a one for the bias; clusters, and targets by cluster, as columns with their biases below."""
+        context, lone = self.p["context"], np.ones((self.n + 1, 1), np.float32)
+        self.one, self.two = np.hstack((context @ self.p["near"], lone)), np.hstack((context @ self.p["far"], 0 * lone))
+        targets = np.zeros((self.clusters * self.width, DIM + 1), np.float32)
+        targets[:, DIM] = -1e4
+        targets[: self.n] = np.hstack((self.p["target"], self.p["bias"]))
+        self.rows, self.row_heads = targets, np.hstack((self.p["cluster"], self.p["offset"]))
+        self.targets = np.ascontiguousarray(targets.reshape(self.clusters, self.width, DIM + 1).transpose(0, 2, 1))
+        self.heads = np.ascontiguousarray(self.row_heads.T)
         self.old = None
         return self
 
     def log10(self, cls, one, two) -> np.ndarray:
+        return np.concatenate([np.zeros(0), *(self._log10(cls[lo : lo + MANY], one[lo : lo + MANY], two[lo : lo + MANY]) for lo in range(0, len(cls), MANY))])
+
+    def _log10(self, cls, one, two) -> np.ndarray:
+        """Tokens after the same two classes share one normaliser over the clusters, and one over each cluster."""
+        pair, to_pair = np.unique(one.astype(np.int64) * (self.n + 1) + two, return_inverse=True)
+        cluster = cls // self.width
+        kind, to_kind = np.unique(cluster.astype(np.int64) * len(pair) + to_pair, return_inverse=True)
+        q = self.one.take(pair // (self.n + 1), axis=0) + self.two.take(pair % (self.n + 1), axis=0)
+        head, inside, own = np.empty(len(pair)), np.empty(len(kind)), kind % len(pair)
+        for x in range(0, len(pair), NEAR):
+            head[x : x + NEAR] = _log_sums(q[x : x + NEAR] @ self.heads)
+        edge = np.searchsorted(kind, np.arange(self.clusters + 1) * len(pair))
+        for c in np.flatnonzero(np.diff(edge)).tolist():
+            for x in range(edge[c], edge[c + 1], NEAR):
+                part = slice(x, min(x + NEAR, edge[c + 1]))
+                inside[part] = _log_sums(q.take(own[part], axis=0) @ self.targets[c])
+        inside += head[own]
         out = np.empty(len(cls))
-        for lo in range(0, len(cls), 1 << 15):
-            part = slice(lo, lo + (1 << 15))
-            q = self.one[one[part]] + self.two[two[part]]
-            cluster, place = cls[part] // self.width, cls[part] % self.width
-            log = _chosen(q @ self.p["cluster"].T + self.p["offset"][:, 0], cluster)
-            order = np.argsort(cluster, kind="stable")
-            edge = np.searchsorted(cluster[order], np.arange(self.clusters + 1))
-            for c in np.flatnonzero(np.diff(edge)).tolist():
-                own = order[edge[c] : edge[c + 1]]
-                log[own] += _chosen(q[own] @ self.targets[c].T + self.biases[c], place[own])
-            out[part] = log
-        return out * math.log10(math.e)
-
-
-def _chosen(z: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log of the softmax of each row at one place."""
-    z -= z.max(1, keepdims=True)
-    picked = z[np.arange(len(z)), at].astype(np.float64)
-    np.exp(z, out=z)
-    return picked - np.log(z.sum(1, dtype=np.float64))
+        for lo in range(0, len(cls), 1 << 14):
+            part = slice(lo, lo + (1 << 14))
+            x, t = q.take(to_pair[part], axis=0), self.rows.take(cls[part], axis=0)
+            t += self.row_heads.take(cluster[part], axis=0)
+            out[part] = np.einsum("ij,ij->i", x, t)
+        return (out - inside[to_kind]) * math.log10(math.e)
+
+
+MANY = 1 << 18  # tokens that are scored at once
+NEAR = 1 << 11  # rows of products that stay in the cache
+
+
+def _log_sums(z: np.ndarray) -> np.ndarray:
+    """Log of the sum of the exponentials of each row."""
+    with np.errstate(over="ignore"):
+        total = np.exp(z) @ np.ones(z.shape[1], z.dtype)
+    if total.min() > 1e-20 and total.max() < 1e30:
+        return np.log(total, dtype=np.float64)
+    top = z.max(1)
+    return top + np.log(np.exp(z - top[:, None]).sum(1, dtype=np.float64))
 
 
 ROWS = 1 << 12  # classes of a part of the tables
