@@ -577,3 +577,12 @@ def test_scores_share_normalisers_of_equal_contexts():
         assert sum(asked) == len(contexts) + len({(a, b, c // m.width) for a, b, c in zip(one.tolist(), two.tolist(), cls.tolist(), strict=True)})
     z = np.float32([[200, 0, -200], [-300, -310, -290]])
     assert np.allclose(lm_scoring._log_sums(z), [200, -290], atol=1e-3)
+
+
+def test_workers_give_memory_back(monkeypatch):
+    from tiergraph.llm import _memory
+
+    calls = []
+    monkeypatch.setattr(_memory, "freed", lambda: calls.append(1))
+    assert list(_memory.returning(lambda own: (x + 1 for x in own))(iter([1, 2]))) == [2, 3] and len(calls) == 1
+    assert _memory.returning_group(len)([1]) == 1 and _memory.returning_groups(max)(1, 2) == 2 and len(calls) == 3

@@ -48,6 +48,7 @@ from pyspark.sql import functions as F
 
 from tiergraph.components import components
 from tiergraph.llm._blocks import DEALT, TEXTS, frozen, rows, shard_of, thawed
+from tiergraph.llm._memory import returning, returning_group, returning_groups
 from tiergraph.llm._pack import pack, unpack
 from tiergraph.llm._words import U, Chunk, chunks, mix, powers, windows
 from tiergraph.plans.shared import dropped, release, written
@@ -328,13 +329,13 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     spark = docs.sparkSession
     shards = int(spark.conf.get("spark.sql.shuffle.partitions"))
     d = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t"))
-    dealt = written(d.mapInArrow(_dealt(n, lower, shards), DEALT).withColumn("own", F.col("shard") == TEXTS), "dealt", by="own")
+    dealt = written(d.mapInArrow(returning(_dealt(n, lower, shards)), DEALT).withColumn("own", F.col("shard") == TEXTS), "dealt", by="own")
     texts, asked = dealt.where("own"), dealt.where("not own")
-    answers = written(asked.drop("own").groupBy("shard").applyInArrow(_answers, DEALT), "answers")
+    answers = written(asked.drop("own").groupBy("shard").applyInArrow(returning_group(_answers), DEALT), "answers")
     dropped(dealt, "own=false")
     release(spark)
     both = texts.select("block", "data").groupBy("block").cogroup(answers.groupBy("block"))
-    met = written(both.applyInArrow(_met(n, percent, lower, shards), MET), "met")
+    met = written(both.applyInArrow(returning_groups(_met(n, percent, lower, shards)), MET), "met")
     dropped(dealt)
     dropped(answers)
     release(spark)
@@ -349,7 +350,7 @@ def ngram_jaccard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     pairs = written(pairs.distinct(), "pairs")
     side = lambda x: found.select(F.col("_k").alias(x), *[F.col(c).alias(c + x) for c in ("_n", "_map", "_data")])
     both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "_na", "_nb", "_mapa", "_mapb", "_dataa", "_datab")
-    links = written(both.mapInArrow(_verified(percent), "a long, b long"), "links")
+    links = written(both.mapInArrow(returning(_verified(percent)), "a long, b long"), "links")
     release(spark)
     part = written(_components(links), "part")
 

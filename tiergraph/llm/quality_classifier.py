@@ -21,6 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tiergraph.llm._memory import returning
 from tiergraph.llm._words import Chunk, chunks
 
 _KIND = np.zeros(256, np.uint8)
@@ -155,7 +156,7 @@ def _measured(batches):
 
 def train(docs: DataFrame, labels: DataFrame, max_train: int = 20_000, folds: int = 4, held_fold: int = 2, **columns) -> Trees:
     sample = labelled_sample(docs, labels, "quality", folds, held_fold, max_train, **columns)
-    rows = sample.mapInArrow(_measured, "_id long, _x array<double>, _y int").toPandas().sort_values("_id", kind="stable")
+    rows = sample.mapInArrow(returning(_measured), "_id long, _x array<double>, _y int").toPandas().sort_values("_id", kind="stable")
     x = np.stack(rows["_x"].to_numpy()) if len(rows) else np.zeros((0, 1))
     return train_trees(x, rows["_y"].to_numpy(float))
 
@@ -172,7 +173,7 @@ def scored(docs: DataFrame, model: Trees, text_col: str, score: str) -> DataFram
                 out[c.first : c.first + c.n] = held.value.score(statistics(c))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], [*b.schema.names, score])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())]))
+    return docs.mapInArrow(returning(run), T.StructType([*docs.schema.fields, T.StructField(score, T.DoubleType())]))
 
 
 def keep_good(docs: DataFrame, model: Trees, text_col: str = "text", threshold: float = 0.7) -> DataFrame:

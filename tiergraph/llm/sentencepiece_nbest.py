@@ -41,6 +41,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tiergraph.llm._memory import returning
 from tiergraph.llm._words import _INV, _ODD, U, chunks, mix, powers
 
 _BYTE = np.random.default_rng(77).integers(1, 1 << 63, 256, dtype=U)
@@ -521,7 +522,7 @@ def encode_nbest(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     held = docs.sparkSession.sparkContext.broadcast(Pieces(model_file))
     d = docs.select(F.col(id_col).cast("long").alias("_id"), F.col(text_col).alias("_t"))
     schema = "_id long" + "".join(f", n_pieces{_nth(k)} long, ids_sha256{_nth(k)} string, round_trip{_nth(k)} boolean, score_{k + 1} double" + f", ids{_nth(k)} array<int>" * with_ids for k in range(n))
-    return d.mapInArrow(_encoded(held, n, with_ids), schema).withColumnRenamed("_id", id_col)
+    return d.mapInArrow(returning(_encoded(held, n, with_ids)), schema).withColumnRenamed("_id", id_col)
 
 
 def decode_ids(rows: DataFrame, id_col: str = "doc_id", ids_col: str = "ids", model_file: str = MODEL) -> DataFrame:
