@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tiergraph.llm import _words, decontaminate, line_dedup, lm_scoring, ngram_jaccard, quality_classifier, quality_rules, secret_scan, sentencepiece_nbest, substring_dedup, toxicity
 
@@ -291,6 +292,27 @@ def test_line_dedup_moves_the_text_once_and_removes_its_tables(spark, docs, monk
     assert kept <= {"links", "removed"}, kept
 
 
+def test_line_dedup_takes_lines_without_the_rest_of_their_text(spark, docs, monkeypatch):
+    """A line that is looked up in its text isn't copied with all other lines."""
+    plans = {}
+    written = line_dedup.written
+    monkeypatch.setattr(line_dedup, "written", lambda df, label: (plans.setdefault(label, df._jdf.queryExecution().sparkPlan().toString()), written(df, label))[1])
+    line_dedup.line_decisions(docs)
+    assert re.search(r"Generate explode\(.*\), false, \[_at", plans["sets"])  # no column of the text beside it
+
+
+def test_line_dedup_shingles_of_all_scripts(spark):
+    """The pattern finds what its plain form, with counted characters and ranges alone, finds."""
+    r = random.Random(6)
+    odd = [chr(int(x, 16)) for x in re.findall(r"[0-9A-F]{4,5}", line_dedup.SPACED + line_dedup.DENSE)] + list("\x80\x85\u2028\u2029\xa0éü\U0001F600\r\t\x0b\x7f{}~`@[_'- ")
+    lines = ["".join(r.choice(odd if r.random() < 0.3 else "abyz019 .") for _ in range(r.choice([0, 1, 11, 12, 13, 40]))) for _ in range(3000)] + ["x" * 100_000, "a b " * 30_000]
+    df = spark.createDataFrame([(x,) for x in lines], "line string")
+    for size in (1, 5, 12):
+        plain = rf"(?=([a-z0-9\x80-\x{{10FFFF}}].{{0,{size - 1}}}))(?:[a-z0-9{line_dedup.SPACED}]++|[{line_dedup.DENSE}])"
+        same = line_dedup.shingles(F.col("line"), size).eqNullSafe(line_dedup._hashed(F.col("line"), plain))
+        assert df.where(~same).count() == 0
+
+
 def test_line_dedup_of_few_words_and_without_spaces(spark):
     han = "".join(chr(0x4E00 + 37 * i) for i in range(200))
     lines = ["Copyright notice: reserved", "Copyright notice: reserved", "internationalisation-department/headquarters", "internationalisation-department/headquarters.", han, han[:-2] + "新字",
